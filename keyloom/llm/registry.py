@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import mixing
+from . import mixing, simhash
 
-QUERIES = {"op8_mixing": mixing.query}
+QUERIES = {"op1_simhash": simhash.query, "op8_mixing": mixing.query}
 ORACLES = {"op8_mixing": mixing.ORACLE}
