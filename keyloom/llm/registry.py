@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import mixing, simhash
+from . import mixing, mpeg_audio, simhash, token_counts
 
-QUERIES = {"op1_simhash": simhash.query, "op8_mixing": mixing.query}
+QUERIES = {"op1_simhash": simhash.query, "op4_token_counts": token_counts.query, "op7_mpeg_audio": mpeg_audio.query, "op8_mixing": mixing.query}
 ORACLES = {"op8_mixing": mixing.ORACLE}
