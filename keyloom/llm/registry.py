@@ -1,6 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import mixing, mpeg_audio, simhash, token_counts
+from . import language_id, mixing, mpeg_audio, simhash, token_counts, toxicity
 
-QUERIES = {"op1_simhash": simhash.query, "op4_token_counts": token_counts.query, "op7_mpeg_audio": mpeg_audio.query, "op8_mixing": mixing.query}
+QUERIES = {
+    "op1_simhash": simhash.query,
+    "op3_toxicity": toxicity.query,
+    "op4_token_counts": token_counts.query,
+    "op5_language_id": language_id.query,
+    "op7_mpeg_audio": mpeg_audio.query,
+    "op8_mixing": mixing.query,
+}
 ORACLES = {"op8_mixing": mixing.ORACLE}
