@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import language_id, mixing, mpeg_audio, simhash, token_counts, toxicity
+from . import language_id, mixing, mpeg_audio, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -9,5 +9,6 @@ QUERIES = {
     "op5_language_id": language_id.query,
     "op7_mpeg_audio": mpeg_audio.query,
     "op8_mixing": mixing.query,
+    "op10_secrets": secrets.query,
 }
 ORACLES = {"op8_mixing": mixing.ORACLE}
