@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import language_id, mixing, mpeg_audio, secrets, simhash, token_counts, toxicity
+from . import language_id, mixing, mpeg_audio, packing, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op3_toxicity": toxicity.query,
     "op4_token_counts": token_counts.query,
     "op5_language_id": language_id.query,
+    "op6_packing": packing.query,
     "op7_mpeg_audio": mpeg_audio.query,
     "op8_mixing": mixing.query,
     "op10_secrets": secrets.query,
