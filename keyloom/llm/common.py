@@ -54,7 +54,7 @@ def slices(array: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
         start = stop
 
 
-def text_udf(make: Callable[[], Callable[[list[bytes]], list]], returns: T.StructType) -> Callable[[Column], Column]:
+def text_udf(make: Callable[[], Callable[[list[bytes]], list]], returns: T.StructType, slice_bytes: int = SLICE_BYTES) -> Callable[[Column], Column]:
     """An Arrow function from a text column to a struct.
 
     ``make`` runs once in each task and gives the kernel: UTF-8 texts in, one list of values per field out.
@@ -69,7 +69,7 @@ def text_udf(make: Callable[[], Callable[[list[bytes]], list]], returns: T.Struc
         for batch in batches:
             parts = [
                 pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(kernel(texts), arrow, strict=True)], names=names)
-                for texts in slices(batch)
+                for texts in slices(batch, slice_bytes)
             ]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(names, arrow, strict=True))))
 

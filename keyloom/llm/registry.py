@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import language_id, mixing, mpeg_audio, packing, secrets, simhash, token_counts, toxicity
+from . import language_id, language_model, mixing, mpeg_audio, packing, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_language_model": language_model.query,
     "op3_toxicity": toxicity.query,
     "op4_token_counts": token_counts.query,
     "op5_language_id": language_id.query,
