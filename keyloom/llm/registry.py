@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import language_id, language_model, mixing, mpeg_audio, packing, secrets, simhash, token_counts, toxicity
+from . import language_id, language_model, mixing, mpeg_audio, packing, retrieval, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_packing": packing.query,
     "op7_mpeg_audio": mpeg_audio.query,
     "op8_mixing": mixing.query,
+    "op9_retrieval": retrieval.query,
     "op10_secrets": secrets.query,
 }
 ORACLES = {"op8_mixing": mixing.ORACLE}
