@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import checkpoint, documents
+from .common import checkpoint, documents, stored
 
 #: Words of a text; all other characters part them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,23 +92,25 @@ def mix(
     return ranked.select("key", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
-def _sizes(docs: DataFrame, text_col: str, id_col: str, source_col: str) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-    )
+def _sizes(docs: DataFrame, text: Column, doc_id: Column, source: Column, key: Column) -> DataFrame:
+    return docs.select(key.alias("key"), doc_id.alias("doc_id"), source.alias("source"), word_count(text).alias("size"))
 
 
 def mix_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **params) -> DataFrame:
-    """The mixture itself: each row as often as it is taken, all columns kept, whatever their names."""
-    names = docs.columns
-    taken = mix(checkpoint(_sizes(docs, text_col, id_col, source_col)), **params).where("copies > 0")
-    keyed = docs.select(F.struct(*names).alias("__doc"), F.monotonically_increasing_id().alias("__key"))
+    """The mixture itself: each row as often as it is taken, all columns kept, whatever their names.
+
+    Rows are numbered and stored once, as a second scan need not number them alike once the cluster has changed.
+    """
+    keyed = stored(docs.select(F.struct(*docs.columns).alias("__doc"), F.monotonically_increasing_id().alias("__key")), "keyed")
+    doc = F.col("__doc")
+    taken = mix(checkpoint(_sizes(keyed, doc[text_col], doc[id_col], doc[source_col], F.col("__key"))), **params).where("copies > 0")
     joined = keyed.join(taken.select(F.col("key").alias("__key"), F.col("copies").alias("__copies")), "__key")
     return joined.select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select("__doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = checkpoint(_sizes(documents(spark, sf_dir), "text", "doc_id", "source"))
+    docs = documents(spark, sf_dir)
+    sizes = checkpoint(_sizes(docs, F.col("text"), F.col("doc_id"), F.col("source"), F.monotonically_increasing_id()))
     mixed = mix(sizes)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast(T.LongType()).alias("taken"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_words, checkpoint, documents, struct, text_udf
+from .common import byte_words, checkpoint, documents, stored, struct, text_udf
 from .components import components
 
 SHINGLE = 3
@@ -220,22 +220,27 @@ def classes(prints: DataFrame, *, radius: int = RADIUS, tree_limit: int = TREE_L
 
 
 def near_duplicates(
-    docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, tree_limit: int = TREE_LIMIT
+    docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", key_col: str | None = None, shingle: int = SHINGLE, radius: int = RADIUS, tree_limit: int = TREE_LIMIT
 ) -> DataFrame:
-    """(key, doc_id, bits, component_id) for each row; key is the row's number in the input."""
+    """(key, doc_id, bits, component_id) for each row; key is ``key_col``, or else the row's number in this scan."""
     value = fingerprint_udf(shingle)(F.col(text_col))
-    prints = checkpoint(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"), value.alias("r")).select("key", "doc_id", "r.bits"))
+    key = F.col(key_col) if key_col else F.monotonically_increasing_id()
+    prints = checkpoint(docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), value.alias("r")).select("key", "doc_id", "r.bits"))
     grouped = classes(prints, radius=radius, tree_limit=tree_limit)
     return prints.join(grouped.withColumnRenamed("bits", "b"), F.col("bits") == F.col("b")).drop("b")
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """The documents without near-duplicates: of each group the row with the smallest id stays (the first such row)."""
-    names = docs.columns
-    marked = near_duplicates(docs, **params)
+def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", **params) -> DataFrame:
+    """The documents without near-duplicates: of each group the row with the smallest id stays (the first such row).
+
+    Rows without an id are grouped by fingerprint where no row of their group has one. Rows are numbered and stored
+    once, as a second scan need not number them alike once the cluster has changed.
+    """
+    keyed = stored(docs.select(F.struct(*docs.columns).alias("__doc"), F.monotonically_increasing_id().alias("__key")), "keyed")
+    doc = F.col("__doc")
+    marked = near_duplicates(keyed.select("__key", doc[id_col].alias("doc_id"), doc[text_col].alias("text")), key_col="__key", **params)
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("bits")))
     kept = marked.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key"))["key"].alias("__key"))
-    keyed = docs.select(F.struct(*names).alias("__doc"), F.monotonically_increasing_id().alias("__key"))
     return keyed.join(kept.select("__key"), "__key", "left_semi").select("__doc.*")
 
 
