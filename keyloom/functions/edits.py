@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-OPS = "array<struct<op:string,i:int,j:int>>"
+OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
 
 
 def edit_script(target: str, typed: list[str] | str) -> list[tuple[str, int | None, int | None]]:

@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOWELS = frozenset("aeiou")
 _GROUP = re.compile("[aeiouy]+")
@@ -44,7 +45,7 @@ def acronym(word: str) -> str | None:
     return "".join(p[0] for p in parts) if len(parts) > 1 else None
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _sizes(words: pd.Series) -> pd.Series:
     return words.map(lambda w: [len(p) for p in syllables(w or "")])
 

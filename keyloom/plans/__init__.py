@@ -1 +1,6 @@
-"""See README.md for the operators of this subpackage."""
+"""The query catalogue: importing the modules fills the registry."""
+
+from . import corpus, keys  # noqa: F401
+from .base import ORACLES, QUERIES, Query
+
+__all__ = ["ORACLES", "QUERIES", "Query"]

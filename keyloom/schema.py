@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEYSTROKES = "PARTICIPANT_ID string, TEST_SECTION_ID string, SENTENCE string, PRESS_TIME long, LETTER string"
-SEQUENCE = T.StructType.fromDDL(
-    "participant_id string, sequence_id string, original_sequence_id string, key string, time long, is_typo boolean, typo_type string"
+SEQUENCE = T.StructType(
+    [T.StructField(name, T.StringType()) for name in ("participant_id", "sequence_id", "original_sequence_id", "key")]
+    + [T.StructField("time", T.LongType()), T.StructField("is_typo", T.BooleanType()), T.StructField("typo_type", T.StringType())]
 )
 LAYOUT_MAP = "slot string, x double, y double, finger int"
 LAYOUT = "slot string, keycode string"
