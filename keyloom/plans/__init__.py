@@ -1,6 +1,6 @@
 """The query catalogue: importing the modules fills the registry."""
 
-from . import corpus, keys  # noqa: F401
+from . import corpus, keys, timing  # noqa: F401
 from .base import ORACLES, QUERIES, Query
 
 __all__ = ["ORACLES", "QUERIES", "Query"]
