@@ -103,9 +103,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame as Parquet in the shared folder, read again; for frames of which later steps read single columns."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The frame as Parquet in the shared folder, read again; for frames of which later steps read single columns, or parts ``by`` a value."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keyloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
