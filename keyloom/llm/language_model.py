@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import byte_words, crc_mod, documents, slices, stored, struct, text_udf
 
@@ -110,13 +111,23 @@ class Vocabulary:
         return at, self.hashes[at] == hashes
 
 
-def vocabulary(counts: DataFrame, top: int = TOP, singles: int = SINGLES, endings: int = ENDINGS) -> tuple[Vocabulary, tuple[int, int]]:
-    """The vocabulary of ``counts(h, e, c)`` and the (c, h) of the last top token."""
+def cut_off(counts: DataFrame, top: int) -> int:
+    """The least count, at least TWICE, that no more than ``top`` tokens reach; found on the numbers of tokens by count."""
+    numbers = counts.where(F.col("c") >= TWICE).groupBy("c").agg(F.count("*").alias("n"))
+    upto = numbers.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)))
+    found = upto.agg(F.min(F.when(F.col("upto") <= top, F.col("c")))).first()[0]
+    return found if found is not None else 1 << 62
+
+
+def vocabulary(counts: DataFrame, top: int = TOP, singles: int = SINGLES, endings: int = ENDINGS) -> tuple[Vocabulary, int]:
+    """The vocabulary of ``counts(h, e, c)`` and the count from which on a token is a top one."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    best = counts.where(F.col("c") >= TWICE).orderBy(F.desc("c"), "h").limit(top).toArrow()
+    last = cut_off(counts, top)
+    best = counts.where(F.col("c") >= last).toArrow()
     h, e, c = (best.column(n).to_numpy() for n in ("h", "e", "c"))
-    last = (int(c[-1]), int(h[-1])) if len(c) else (1 << 62, 0)
-    rest = counts.where(~is_top(last)).groupBy("e").agg(F.sum(F.col("c") + 1).alias("mass")).toArrow()
+    order = np.lexsort((h, -c))
+    h, e, c = h[order], e[order], c[order]
+    rest = counts.where(F.col("c") < last).groupBy("e").agg(F.sum(F.col("c") + 1).alias("mass")).toArrow()
     mass = np.zeros(1 << 16)
     np.add.at(mass, e, c + 1)
     rest_mass = np.zeros(1 << 16)
@@ -134,11 +145,6 @@ def vocabulary(counts: DataFrame, top: int = TOP, singles: int = SINGLES, ending
     return Vocabulary(tokens, distinct, h.view(np.uint64)[sort], c[sort], classes[sort], groups.astype(np.int32), sizes), last
 
 
-def is_top(last: tuple[int, int]):
-    c, h = F.col("c"), F.col("h")
-    return (c > last[0]) | ((c == last[0]) & (h <= last[1]))
-
-
 class Words(dict):
     """Numbers for the words a task has met, with their hashes, classes and top counts in arrays."""
 
@@ -407,7 +413,7 @@ def score(docs: DataFrame, training: DataFrame, *, text_col: str = "text", id_co
     read = docs.select(F.col(id_col).alias("doc_id"), parts_udf(shared)(F.col(text_col)).alias("r"))
     parts = stored(read.select("doc_id", "r.*", F.monotonically_increasing_id().alias("key")), "parts")
     rare = parts.select("key", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("key", F.col("z.rare").alias("rare"), F.col("z.times").alias("times"))
-    others = counts.where(~is_top(last)).select("h", "c")
+    others = counts.where(F.col("c") < last).select("h", "c")
     joined = rare.join(others, F.col("rare") == F.col("h"), "left")
     sums = joined.groupBy(F.col("key").alias("k")).agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rare_logs"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("rare_known")

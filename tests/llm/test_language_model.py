@@ -62,7 +62,7 @@ def test_vocabulary_sums_to_one(spark):
     mass = np.zeros(vocab.n_classes)
     words = lm.Words(vocab)
     top = {int(h): (c, k) for h, c, k in zip(vocab.hashes, vocab.counts, vocab.classes, strict=True)}
-    assert len(top) == 500 == counts.where(lm.is_top(last)).count()
+    assert len(top) == sum(r.c >= last for r in rows) <= 500 < sum(r.c >= last - 1 for r in rows)
     for r in rows:
         h = r.h & (1 << 64) - 1
         k = top[h][1] if h in top else lm.SINGLES + lm.ENDINGS + vocab.groups[r.e]
