@@ -99,48 +99,63 @@ def value(chosen: set[int], entries: list[Entry], penalties: dict[tuple[int, int
     return sum(entries[i].reward for i in chosen) - sum(p for (i, j), p in penalties.items() if i in chosen and j in chosen)
 
 
+#: Up to so many entries the best set is searched for exactly, and up to so many more every exchange is followed by filling up again.
+EXACT, THOROUGH = 20, 2_000
+
+
 def choose(entries: list[Entry], penalties: dict[tuple[int, int], int], size: int, rounds: int = 20) -> set[int]:
     """A set of at most ``size`` entries, no text and no (abbreviation, form) twice, of high reward less the penalties of pairs.
 
-    The best gain first; then single exchanges (one in, for those in its way or for any other one) as long as they help.
+    The best gain first; then exchanges as long as they help: one entry comes in for those in its way, or for the one that
+    is worth least, and what still fits fills up.
     """
     near: dict[int, dict[int, int]] = {}
     for (i, j), p in penalties.items():
         near.setdefault(i, {})[j] = near.get(i, {}).get(j, 0) + p
         near.setdefault(j, {})[i] = near.get(j, {}).get(i, 0) + p
-    chosen: set[int] = set()
-    by_text: dict[str, int] = {}
-    by_abbr: dict[tuple[str, str], int] = {}
-
-    def gain(i: int, without: frozenset[int] = frozenset()) -> int:
-        return entries[i].reward - sum(p for j, p in near.get(i, {}).items() if j in chosen and j not in without)
-
-    def put(i: int) -> None:
-        chosen.add(i)
-        by_text[entries[i].text] = by_abbr[entries[i].abbr, entries[i].form] = i
-
-    def drop(i: int) -> None:
-        chosen.discard(i)
-        del by_text[entries[i].text], by_abbr[entries[i].abbr, entries[i].form]
-
-    def in_way(i: int) -> set[int]:
-        return {j for j in (by_text.get(entries[i].text), by_abbr.get((entries[i].abbr, entries[i].form))) if j is not None}
+    order = sorted(range(len(entries)), key=lambda i: (-entries[i].reward, i))
 
-    for i in sorted(range(len(entries)), key=lambda i: (-entries[i].reward, i)):
-        if len(chosen) < size and not in_way(i) and gain(i) > 0:
-            put(i)
+    def worth(i: int, chosen: set[int]) -> int:
+        return entries[i].reward - sum(p for j, p in near.get(i, {}).items() if j in chosen and j != i)
+
+    def filled(chosen: set[int]) -> set[int]:
+        texts, abbrs = {entries[i].text for i in chosen}, {(entries[i].abbr, entries[i].form) for i in chosen}
+        for i in order:
+            if len(chosen) >= size:
+                break
+            e = entries[i]
+            if i not in chosen and e.text not in texts and (e.abbr, e.form) not in abbrs and worth(i, chosen) > 0:
+                chosen.add(i)
+                texts.add(e.text)
+                abbrs.add((e.abbr, e.form))
+        return chosen
+
+    def lost(out: set[int], rest: set[int]) -> int:
+        """What a set is worth less without some of its entries."""
+        within = sum(p for i in out for j, p in near.get(i, {}).items() if j in out) // 2
+        return sum(worth(i, rest) for i in out) - within
+
+    chosen = filled(set())
+    total = value(chosen, entries, penalties)
     for _ in range(rounds):
         moved = False
-        for i in sorted(set(range(len(entries))) - chosen, key=lambda i: (-entries[i].reward, i)):
-            out = in_way(i)
-            if len(chosen) - len(out) >= size:
-                out |= {min(chosen - out, key=lambda j: (gain(j), j))}
-            lost = value(out, entries, penalties) - sum(p for a in out for b, p in near.get(a, {}).items() if b in chosen and b not in out)
-            if gain(i, frozenset(out)) > lost:
-                for j in out:
-                    drop(j)
-                put(i)
-                moved = True
+        for i in order:
+            if i in chosen:
+                continue
+            e = entries[i]
+            rest = {j for j in chosen if entries[j].text != e.text and (entries[j].abbr, entries[j].form) != (e.abbr, e.form)}
+            ways = [rest] if len(rest) < size else [rest - {min(rest, key=lambda j: (worth(j, rest), j))}] if rest else []
+            if near.get(i):
+                ways.append({j for j in ways[0] if j not in near[i]} if ways else set())
+            for way in ways:
+                now = total - lost(chosen - way, way) + worth(i, way)
+                new = way | {i}
+                if len(entries) <= THOROUGH:
+                    new = filled(new)
+                    now = value(new, entries, penalties)
+                if now > total:
+                    chosen, total, moved = new, now, True
+                    break
         if not moved:
             break
     return chosen
@@ -195,7 +210,7 @@ def optimise(
     if overlap > 0:
         for r in overlaps(numbered, "entry").collect():
             penalties[r.i, r.j] = int(overlap * rows[r.i].frequency * (rows[r.j].savings_z_mean or 0.0) * SCALE)
-    chosen = sorted(choose(entries, penalties, size))
+    chosen = sorted((best if len(entries) <= EXACT else choose)(entries, penalties, size))
     spark = df.sparkSession
     return numbered.join(F.broadcast(spark.createDataFrame([(i,) for i in chosen], "entry int")), "entry", "left_semi").drop("entry", "blend")
 

@@ -45,8 +45,11 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
         return counts.select(f"__{name}", (upto - (F.col("n") - 1) / 2).alias(name))
 
     both = df.join(ranked(x, "rx"), F.col(x) == F.col("__rx")).join(ranked(y, "ry"), F.col(y) == F.col("__ry"))
-    zero = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
-    return both.agg(zero(F.corr(F.col(x).cast("double"), F.col(y).cast("double"))).alias("pearson"), zero(F.corr("rx", "ry")).alias("spearman"))
+
+    def corr(a: Column, b: Column) -> Column:
+        return F.coalesce(F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)), F.lit(0.0))
+
+    return both.agg(corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson"), corr(F.col("rx"), F.col("ry")).alias("spearman"))
 
 
 def clusters(df: DataFrame, cluster: str, value: Column, *by: str) -> DataFrame:

@@ -48,7 +48,7 @@ def frequency_map(spark: SparkSession, path: str) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return empty
-    maps = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,double>").alias("m"))
+    maps = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,double>").alias("m"))
     return maps.where("m IS NOT NULL").select(F.explode("m").alias("item", "value"))
 
 
