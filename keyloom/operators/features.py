@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sequences import running
+from .sequences import key_pairs, running
 
 # Codes that part words (place features), and the fewer ones that part words for the frequency lookup.
 DELIMITERS = (0, 9, 10, 13, 32, 33, 34, 40, 41, 44, 46, 58, 59, 63, 91, 93, 123, 125)
@@ -77,6 +77,34 @@ def with_previous(df: DataFrame, sequence: str, order: str = "pos", columns: tup
     return df.select("*", *(F.lag(c, n).over(w).alias(f"{'p' * n}_{c}") for n in (1, 2) for c in columns))
 
 
+def pair_table(spark: SparkSession, keys: DataFrame, ways: DataFrame) -> DataFrame:
+    """All features of a key and of a key with the one before, for the 128 * 128 pairs of codes."""
+    codes = spark.range(1 << 14).select(F.col("id").cast("int").alias("pair"), (F.col("id") % 128).cast("int").alias("key_id"), F.floor(F.col("id") / 128).cast("int").alias("p_key_id"))
+    columns = ("key_id", "finger", "finger_type", "hand", "y", "slot")
+    before = keys.select(*(F.col(c).alias(f"p_{c}") for c in columns))
+    rows = with_keys(codes, keys).join(F.broadcast(before), "p_key_id", "left")
+    return movement(pair_features(rows), ways)
+
+
+def layout_features(df: DataFrame, text: str, pairs: DataFrame, *keep: str) -> DataFrame:
+    """All features that depend on the layout, for every character of each text: two joins with ``pair_table`` and no shuffle.
+
+    Features of three keys follow from those of both pairs.
+    """
+    before = pairs.select(
+        F.col("pair").alias("p_pair"), F.col("p_key_id").alias("pp_key_id"), F.col("p_finger").alias("pp_finger"), F.col("in_roll").alias("__in"), F.col("out_roll").alias("__out")
+    )
+    rows = key_pairs(df, text, *keep).join(F.broadcast(pairs.drop("slot", "p_slot")), "pair").join(F.broadcast(before), "p_pair")
+    valid = valid_pair() & (_c("pp_key_id") > 0)
+    roll = lambda a, b: (_c(a) == 1) & (_c(b) == 1)
+    rules = {name: rule() for name, rule in TRIGRAM.items() if name not in ("in_triroll", "out_triroll", "redirects")} | {
+        "in_triroll": roll("__in", "in_roll"),
+        "out_triroll": roll("__out", "out_roll"),
+        "redirects": roll("__in", "out_roll") | roll("__out", "in_roll"),
+    }
+    return rows.select(*keep, "pos", "key_id", *(c for c in ATTRIBUTES if c != "slot"), *BIGRAM, *(_flag(valid, r).alias(n) for n, r in rules.items()), "move_dist", "move_sin", "move_cos")
+
+
 def _flag(valid: Column, holds: Column) -> Column:
     return F.when(valid, F.coalesce(holds, F.lit(False)).cast("double"))
 

@@ -29,6 +29,20 @@ def characters(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return rows.withColumn("key_id", key_id(F.col("key")))
 
 
+def key_pairs(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep..., pos, pair, p_pair) for each character: its code and the one before as one number (before * 128 + code), and that number of the character before.
+
+    Codes from 128 on, and what is before the start, count as 0. The pairs are made within the text's own row, so that
+    neither a shuffle nor a sort is needed.
+    """
+    codes = F.transform(F.split(text, ""), lambda c: F.when(F.ascii(c) < 128, F.ascii(c)).otherwise(0))
+    none = F.array(F.lit(0))
+    rows = df.where(F.length(text) > 0).select(*keep, codes.alias("__c"))
+    rows = rows.select(*keep, F.zip_with(F.concat(none, F.slice("__c", F.lit(1), F.size("__c") - 1)), "__c", lambda p, c: p * 128 + c).alias("__p"))
+    zipped = F.arrays_zip(F.col("__p").alias("pair"), F.concat(none, F.slice("__p", F.lit(1), F.size("__p") - 1)).alias("p_pair"))
+    return rows.select(*keep, F.posexplode(zipped).alias("pos", "__z")).select(*keep, "pos", "__z.pair", "__z.p_pair")
+
+
 def intervals(df: DataFrame, group: str, order: list[str], time: str = "time") -> DataFrame:
     """iki: the time since the group's previous row; null for the first."""
     return df.withColumn("iki", F.col(time) - F.lag(time).over(Window.partitionBy(group).orderBy(*order)))

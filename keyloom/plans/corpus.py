@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import ngrams as ng
 from ..operators import sampling
 from ..sources import tables as src
-from ..sources.tables import table
+from ..sources.tables import corpus, table
 from .base import query
 from .keys import sql_gram_zipf, sql_grams
 
@@ -36,7 +36,7 @@ cl AS (SELECT * FROM tk WHERE len(tok) >= 2 AND NOT list_contains(tok, 'unk') AN
 
 @query(f"WITH {SQL_CLEAN} SELECT doc_id, idx, sentence FROM cl")
 def corpus_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tx.clean_sentences(docs(spark, sf_dir), "text", "doc_id")
+    return tx.clean_sentences(corpus(spark, sf_dir, "doc_id", "text"), "text", "doc_id")
 
 
 @query("SELECT doc_id, " + " OR ".join(f"contains(lower(text), '{s}')" for s in tx.SPAM) + " AS is_spam FROM documents")
@@ -68,7 +68,7 @@ def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counts(n: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ng.counted(ng.ngrams(docs(spark, sf_dir), "text", n)).where(f"n >= {ng.MIN_COUNT}")
+        return ng.counted(ng.ngrams(corpus(spark, sf_dir, "text"), "text", n)).where(f"n >= {ng.MIN_COUNT}")
 
     return run
 
@@ -82,7 +82,7 @@ for _n in (1, 2, 3):
 
 @query(f"WITH {sql_gram_zipf(2)} SELECT gram, n, round(p, 12) AS p, round(zipf, 9) AS zipf FROM z2")
 def ngram_zipf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ng.zipf(ng.counted(ng.ngrams(docs(spark, sf_dir), "text", 2)))
+    rows = ng.zipf(ng.counted(ng.ngrams(corpus(spark, sf_dir, "text"), "text", 2)))
     return rows.select("gram", "n", F.round("p", 12).alias("p"), F.round("zipf", 9).alias("zipf"))
 
 
@@ -101,7 +101,7 @@ SQL_WORDS = "SELECT unnest(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)*'
 
 @query(f"SELECT word, count(*) AS n FROM ({SQL_WORDS}) GROUP BY word ORDER BY n DESC, word LIMIT 400")
 def word_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ng.top(ng.word_counts(docs(spark, sf_dir), "text"), "word", 400)
+    return ng.top(ng.word_counts(corpus(spark, sf_dir, "text"), "text"), "word", 400)
 
 
 SQL_SUFFIXES = f"""
@@ -111,13 +111,13 @@ sx AS (SELECT right(word, l) AS suffix, sum(n)::BIGINT AS n, count(*) AS n_words
 
 @query(f"WITH {SQL_SUFFIXES} SELECT * FROM sx WHERE n_words >= 50 ORDER BY n DESC, suffix LIMIT 500")
 def suffix_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ng.suffixes(ng.word_counts(docs(spark, sf_dir), "text"))
+    return ng.suffixes(ng.word_counts(corpus(spark, sf_dir, "text"), "text"))
 
 
 @query(f"""WITH {SQL_SUFFIXES}, tw AS (SELECT word FROM w ORDER BY n DESC, word LIMIT 400)
 SELECT * FROM sx WHERE n_words >= 50 AND suffix NOT IN (SELECT word FROM tw) ORDER BY n DESC, suffix LIMIT 500""")
 def suffix_minus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = ng.word_counts(docs(spark, sf_dir), "text")
+    words = ng.word_counts(corpus(spark, sf_dir, "text"), "text")
     return ng.suffixes(words, exclude=ng.top(words, "word", 400))
 
 
@@ -147,6 +147,6 @@ u AS (SELECT gram, zipf, 1 AS size FROM z1 UNION ALL SELECT {_T}, m, 1 FROM m UN
  UNION ALL SELECT a || b, m, 2 FROM m, (VALUES ({_T}), ({_R})) AS v(a), (VALUES ({_T}), ({_R})) AS w(b))
 SELECT gram, size, round(zipf, 9) AS zipf FROM u""")
 def augmented_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, two = ng.augmented(*(ng.zipf(ng.counted(ng.ngrams(docs(spark, sf_dir), "text", n))) for n in (1, 2)))
+    one, two = ng.augmented(*(ng.zipf(ng.counted(ng.ngrams(corpus(spark, sf_dir, "text"), "text", n))) for n in (1, 2)))
     both = one.withColumn("size", F.lit(1)).unionByName(two.withColumn("size", F.lit(2)))
     return both.select("gram", "size", F.round("zipf", 9).alias("zipf"))

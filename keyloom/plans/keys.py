@@ -10,7 +10,7 @@ from ..operators import features as feat
 from ..operators import layout
 from ..operators.ngrams import counted, ngrams, zipf
 from ..operators.sequences import characters, key_name
-from ..sources.tables import table
+from ..sources.tables import corpus, table
 from .base import query
 
 
@@ -104,7 +104,7 @@ FROM lg WHERE key_id > 0 AND p_k > 0 AND q_k > 0 GROUP BY lang"""
 
 @query(_sql_rates("qwerty"))
 def flagship_layout_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout_rates(table(spark, sf_dir, "documents"), layout.key_dim(*layout.dimensions(spark)), "lang")
+    return layout_rates(corpus(spark, sf_dir, "lang", "text"), layout.key_dim(*layout.dimensions(spark)), "lang")
 
 
 @query(f"""WITH q AS ({_sql_rates("qwerty")}), d AS ({_sql_rates("dvorak")})
@@ -113,7 +113,7 @@ def layout_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same-finger rates under two layouts, one counted corpus for both."""
     from ..operators.metrics import pivoted
 
-    docs = table(spark, sf_dir, "documents")
+    docs = corpus(spark, sf_dir, "lang", "text")
     both: DataFrame | None = None
     for name in ("qwerty", "dvorak"):
         one = layout_rates(docs, layout.key_dim(*layout.dimensions(spark, name)), "lang").select("lang", F.lit(name).alias("layout"), "same_finger_rate")
@@ -234,7 +234,7 @@ wz AS (SELECT word, greatest(0.0, least(10.0, log10(n / (SELECT sum(n) FROM wc))
 def word_zipf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ngrams import word_counts
 
-    return zipf(word_counts(table(spark, sf_dir, "documents"), "text"), "word")
+    return zipf(word_counts(corpus(spark, sf_dir, "text"), "text"), "word")
 
 
 @query(f"""WITH {SQL_WORD_ZIPF}, {sql_chars("benchmark", "item_id")}, {_sql_runs(feat.FREQUENCY_DELIMITERS)}
@@ -246,7 +246,7 @@ def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gram_zipf(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return zipf(counted(ngrams(table(spark, sf_dir, "documents"), "text", n)))
+    return zipf(counted(ngrams(corpus(spark, sf_dir, "text"), "text", n)))
 
 
 def sql_grams(n: int, table_: str = "documents", key: str = "doc_id") -> str:
@@ -283,3 +283,41 @@ def syllable_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = characters(table(spark, sf_dir, "benchmark"), "text", "item_id")
     rows = feat.word_position(feat.word_runs(chars, "item_id"), "item_id")
     return syllables.positions(rows, "item_id").select("item_id", "pos", "is_syllable_start", "is_syllable_end")
+
+
+LAYOUT_COLUMNS = ("finger", "hand", "x", "y", "shift", "move_dist", *feat.BIGRAM, *feat.TRIGRAM)
+
+
+def _summed(columns) -> list:
+    return [F.round(F.sum(F.col(c).cast("double")), 4).alias(c) for c in columns]
+
+
+@query(f"""WITH {sql_keys()}, {SQL_WAYS}, {sql_chars("documents", "doc_id AS item_id, lang")}, {SQL_LAGS},
+fx AS (SELECT *, {_sql_flags(SQL_PAIRS, "key_id > 0 AND p_k > 0")}, {_sql_flags(SQL_TRIPLES, "key_id > 0 AND p_k > 0 AND q_k > 0")} FROM lg)
+SELECT lang, count(*) AS n, {", ".join(f"round(sum({c}::DOUBLE), 4) AS {c}" for c in LAYOUT_COLUMNS)} FROM fx LEFT JOIN ways ON p_slot = s1 AND slot = s2 GROUP BY lang""")
+def enrich_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every layout feature of every character of the corpus, added up by language."""
+    pairs = feat.pair_table(spark, layout.key_dim(*layout.dimensions(spark)), layout.movement_dim(layout.dimensions(spark)[1]))
+    rows = feat.layout_features(corpus(spark, sf_dir, "lang", "text"), "text", pairs, "lang")
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), *_summed(LAYOUT_COLUMNS))
+
+
+LINGUISTIC_COLUMNS = ("sequence_pos", "sequence_relative_pos", "word_index", "word_length", "word_relative_pos", "is_word_start", "is_word_end")
+
+
+def linguistic(df: DataFrame, *keep: str) -> DataFrame:
+    """Place features of every character; one exchange by text serves all windows."""
+    chars = characters(df, "text", "doc_id", *keep)
+    return feat.word_position(feat.word_runs(feat.sequence_position(chars, "doc_id"), "doc_id"), "doc_id")
+
+
+@query(f"""WITH {sql_chars("documents", "doc_id AS item_id, lang")},
+dl AS (SELECT *, key_id IN {feat.DELIMITERS} AS d, count(*) OVER (PARTITION BY item_id) AS sl FROM chars),
+rn AS (SELECT *, sum(d::INT) OVER (PARTITION BY item_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM dl),
+ix AS (SELECT *, row_number() OVER (PARTITION BY item_id, run, d ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY item_id, run, d) AS n FROM rn)
+SELECT lang, count(*) AS n, sum(pos)::DOUBLE AS sequence_pos, round(sum(CASE WHEN sl > 1 THEN pos::DOUBLE / (sl - 1) ELSE 0.0 END), 4) AS sequence_relative_pos, sum(CASE WHEN NOT d THEN i::DOUBLE END) AS word_index,
+ sum(CASE WHEN NOT d THEN n::DOUBLE END) AS word_length, round(sum(CASE WHEN d THEN NULL WHEN n > 1 THEN i::DOUBLE / (n - 1) ELSE 0.0 END), 4) AS word_relative_pos,
+ sum((NOT d AND i = 0)::INT)::DOUBLE AS is_word_start, sum((NOT d AND i = n - 1)::INT)::DOUBLE AS is_word_end FROM ix GROUP BY lang""")
+def enrich_linguistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linguistic(corpus(spark, sf_dir, "doc_id", "lang", "text"), "lang")
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), *_summed(LINGUISTIC_COLUMNS))

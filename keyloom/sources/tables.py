@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan has fewer partitions than there are cores; a large input stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents, spread before their texts are taken apart."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def participants(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
 
