@@ -86,15 +86,12 @@ def pair_table(spark: SparkSession, keys: DataFrame, ways: DataFrame) -> DataFra
     return movement(pair_features(rows), ways)
 
 
-def layout_features(df: DataFrame, text: str, pairs: DataFrame, *keep: str) -> DataFrame:
-    """All features that depend on the layout, for every character of each text: two joins with ``pair_table`` and no shuffle.
-
-    Features of three keys follow from those of both pairs.
-    """
+def from_pairs(rows: DataFrame, pairs: DataFrame, *keep: str) -> DataFrame:
+    """Layout features of rows (keep..., pos, pair, p_pair): two joins with ``pair_table``; those of three keys follow from both pairs."""
     before = pairs.select(
         F.col("pair").alias("p_pair"), F.col("p_key_id").alias("pp_key_id"), F.col("p_finger").alias("pp_finger"), F.col("in_roll").alias("__in"), F.col("out_roll").alias("__out")
     )
-    rows = key_pairs(df, text, *keep).join(F.broadcast(pairs.drop("slot", "p_slot")), "pair").join(F.broadcast(before), "p_pair")
+    rows = rows.join(F.broadcast(pairs.drop("slot", "p_slot")), "pair").join(F.broadcast(before), "p_pair")
     valid = valid_pair() & (_c("pp_key_id") > 0)
     roll = lambda a, b: (_c(a) == 1) & (_c(b) == 1)
     rules = {name: rule() for name, rule in TRIGRAM.items() if name not in ("in_triroll", "out_triroll", "redirects")} | {
@@ -105,6 +102,11 @@ def layout_features(df: DataFrame, text: str, pairs: DataFrame, *keep: str) -> D
     return rows.select(*keep, "pos", "key_id", *(c for c in ATTRIBUTES if c != "slot"), *BIGRAM, *(_flag(valid, r).alias(n) for n, r in rules.items()), "move_dist", "move_sin", "move_cos")
 
 
+def layout_features(df: DataFrame, text: str, pairs: DataFrame, *keep: str) -> DataFrame:
+    """All features that depend on the layout, for every character of each text, without a shuffle."""
+    return from_pairs(key_pairs(df, text, *keep), pairs, *keep)
+
+
 def _flag(valid: Column, holds: Column) -> Column:
     return F.when(valid, F.coalesce(holds, F.lit(False)).cast("double"))
 

@@ -124,6 +124,18 @@ def movement_dim(slots: DataFrame) -> DataFrame:
     return pairs.select("slot_1", "slot_2", dist.alias("move_dist"), F.sin(angle).alias("move_sin"), F.cos(angle).alias("move_cos"))
 
 
+def reach_dim(slots: DataFrame) -> DataFrame:
+    """(slot, move_dist, move_sin, move_cos): the way to each key from its finger's home place."""
+    ways = movement_dim(slots)
+    fingers = slots.select("slot", "finger")
+    homes = [(f, k) for f, k in HOME.items()] + [(9, REPEAT)]
+    table = slots.sparkSession.createDataFrame(homes, "finger int, home string")
+    here = table.join(slots.select(F.col("slot").alias("home")), "home")
+    return ways.join(F.broadcast(fingers.join(here, "finger").select(F.col("slot").alias("slot_2"), F.col("home").alias("slot_1"))), ["slot_1", "slot_2"]).select(
+        F.col("slot_2").alias("slot"), "move_dist", "move_sin", "move_cos"
+    )
+
+
 def drawing(slots: DataFrame) -> DataFrame:
     """Where a picture of the keyboard has each key: the right hand mirrored, so that x runs from left to right."""
     right = F.col("finger") > 5

@@ -136,3 +136,72 @@ SELECT user_id, start, n FROM g WHERE "end" <= (SELECT max(epoch_us(ts)) FROM ev
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that the watermark has closed."""
     return _drained(spark, sf_dir, lambda s: st.sessions(s, "1 day"), "sessions").select("user_id", F.unix_micros("start").alias("start"), "n")
+
+
+def _corpus_costs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """What the benchmark texts cost under two layouts and a small linear model."""
+    from ..operators import features as feat
+    from ..operators import inference, layout
+
+    texts = table(spark, sf_dir, "benchmark").select("item_id", "text", F.length("text").alias("n"))
+    rows = inference.linguistic_frame(texts, "text", "item_id")
+    model = inference.LinearModel(["same_finger", "in_roll", "shift", "word_index"], [([0.0] * 4 + [0.5, -0.25, 0.125, 0.0625], 0.0), ([0.0] * 4 + [0.25, -0.25, 0.125, 0.03125], 0.5)], back=1, ahead=0)
+    out = {}
+    for name in ("qwerty", "dvorak"):
+        dims = layout.dimensions(spark, name)
+        out[name] = inference.predict_texts(texts, "item_id", "n", rows, model, feat.pair_table(spark, layout.key_dim(*dims), layout.movement_dim(dims[1])))
+    return out
+
+
+def _sql_costs(name: str) -> str:
+    from ..operators.features import DELIMITERS
+    from .keys import SQL_LAGS, SQL_PAIRS, sql_chars, sql_keys
+
+    flag = lambda c: f"CASE WHEN key_id > 0 AND p_k > 0 THEN coalesce(({SQL_PAIRS[c]})::INT, 0) ELSE -1 END"
+    return f"""WITH {sql_keys(name)}, {sql_chars("benchmark", "item_id")}, {SQL_LAGS},
+dl AS (SELECT *, key_id IN {DELIMITERS} AS d FROM lg), rn AS (SELECT *, sum(d::INT) OVER (PARTITION BY item_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM dl),
+ix AS (SELECT *, CASE WHEN d THEN -1 ELSE row_number() OVER (PARTITION BY item_id, run, d ORDER BY pos) - 1 END AS wi FROM rn),
+fx AS (SELECT item_id, pos, {flag("same_finger")} AS sf, {flag("in_roll")} AS ir, coalesce(shift, -1) AS sh, wi FROM ix),
+pr AS (SELECT *, 0.5 * sf - 0.25 * ir + 0.125 * sh + 0.0625 * wi AS a, 0.25 * sf - 0.25 * ir + 0.125 * sh + 0.03125 * wi + 0.5 AS b FROM fx WHERE pos >= 1),
+su AS (SELECT item_id, sum((a + b) / 2)::DOUBLE AS cost, sqrt(sum(((a - b) / 2) * ((a - b) / 2)))::DOUBLE AS std FROM pr GROUP BY item_id),
+ct AS (SELECT item_id, length(text) AS n, coalesce(cost, 0.0) AS cost, coalesce(std, 0.0) AS std FROM benchmark LEFT JOIN su USING (item_id))
+SELECT item_id, round(cost, 6) AS cost, round(std, 6) AS std, round(cost / greatest(n - 1, 1), 8) AS mean_z, round(std / sqrt(greatest(n - 1, 1)), 8) AS std_z FROM ct"""
+
+
+@query(_sql_costs("qwerty"))
+def predict_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to features to windows to an ensemble's predictions to costs by text."""
+    rows = _corpus_costs(spark, sf_dir)["qwerty"]
+    return rows.select("item_id", F.round("cost", 6).alias("cost"), F.round("std", 6).alias("std"), F.round("mean_z", 8).alias("mean_z"), F.round("std_z", 8).alias("std_z"))
+
+
+@query(f"WITH q AS ({_sql_costs('qwerty')}), v AS ({_sql_costs('dvorak')}) SELECT item_id, round(q.mean_z - v.mean_z, 6) AS diff FROM q JOIN v USING (item_id)")
+def compare_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.inference import compare
+
+    both = _corpus_costs(spark, sf_dir)
+    return compare(both["qwerty"], both["dvorak"], "item_id").select("item_id", F.round("diff", 6).alias("diff"))
+
+
+@query()
+def hpo_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of penalties for the linear model, poor ones pruned; best first in the phase table."""
+    from ..operators.tuning import search, study_name
+
+    rows = _target(spark, sf_dir)
+
+    def evaluate(params: dict, fold: int) -> float:
+        w, b = models.fit_linear(rows.where(F.col("fold") != fold), "v", "y", reg=params["reg"], l1_share=params["l1"])
+        return metrics.errors(rows.where(F.col("fold") == fold).withColumn("g", models.linear("v", w, b)), "y", "g").first().mae
+
+    trials = search(spark, study_name("linreg_w", 0, 0), {"reg": [0.01, 0.1, 1.0, 10.0], "l1": [0.5]}, evaluate, 3, warm=2)
+    return metrics.phase_table(trials, 10)
+
+
+@query("SELECT p_partkey FROM part WHERE starts_with(p_name, 'small') OR starts_with(p_name, 'red')")
+def prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from functools import reduce
+    from operator import or_
+
+    names = F.col("p_name")
+    return table(spark, sf_dir, "part").where(reduce(or_, (names.startswith(p) for p in ("small", "red")))).select("p_partkey")

@@ -155,3 +155,73 @@ def test_streams(spark, stream_dir):
     assert sum(v is None for v in iki.values()) == 1 and sorted(v for v in iki.values() if v is not None)[:2] == [60_000_000, 120_000_000]
     assert sorted(r.n for r in run(st.sessions(src, "30 minutes"), "sessions")) == [3, 4]
     assert sum(r.n for r in run(st.windows(src, "1 hour"), "windows")) == 7
+
+
+def test_inference_with_a_constant_model(spark, tmp_path):
+    from keyloom.operators import features as feat
+    from keyloom.operators import inference, layout
+
+    dims = layout.dimensions(spark)
+    pairs = feat.pair_table(spark, layout.key_dim(*dims), layout.movement_dim(dims[1]))
+    texts = spark.createDataFrame([("a", "The cat sat.", 12), ("b", "x", 1), ("c", "", 0)], "id string, text string, n int")
+    words = spark.createDataFrame([("cat", 5.0)], "word string, zipf double")
+    grams = spark.createDataFrame([("ca", 4.0)], "gram string, zipf double")
+    rows = inference.linguistic_frame(texts, "text", "id", unigrams=grams, bigrams=grams, words=words)
+    full = inference.with_layout(rows, "id", pairs)
+    from keyloom.operators.windows import all_features
+
+    assert set(all_features()) <= set(full.columns)
+    inference.LinearModel(["x"], [([0.0, 0.0], 1.0), ([0.0, 0.0], 3.0)], back=1, ahead=0).save(spark, str(tmp_path / "m"))
+    model = inference.load_model(spark, str(tmp_path / "m"), 2)
+    got = {r.id: (r.cost, r.std, r.mean_z) for r in inference.predict_texts(texts, "id", "n", rows, model, pairs).collect()}
+    assert got == {"a": (22.0, pytest.approx(11**0.5), 2.0), "b": (0.0, 0.0, 0.0), "c": (0.0, 0.0, 0.0)}
+    with pytest.raises(FileNotFoundError):
+        spark.createDataFrame([], "fold int, weights array<double>, bias double, spec string").write.json(str(tmp_path / "none"))
+        inference.load_model(spark, str(tmp_path / "none"))
+
+
+def test_strip_savings(spark):
+    from keyloom.operators import inference
+    from keyloom.operators.sequences import characters
+
+    strips = spark.createDataFrame([(1, "   word  ", "   w\x01  ", 4, 2), (2, "abc", "ab", 3, 2)], "k int, word_ks string, abbr_ks string, word_len int, abbr_len int")
+    one = lambda t: characters(t, "text", "k").withColumn("pred_mean", F.lit(1.0)).withColumn("pred_std", F.lit(0.0))
+    assert {r.k: r.saving for r in inference.strip_savings(strips.where("k = 1"), "k", 3, one).collect()} == {1: 2.0}
+    assert {r.k: r.saving for r in inference.strip_savings(strips.where("k = 2"), "k", 0, one).collect()} == {2: 1.0}
+
+
+def test_pairs_give_the_features_of_windows(spark):
+    from keyloom.operators import features as feat
+    from keyloom.operators import layout
+    from keyloom.operators.sequences import characters
+
+    dims = layout.dimensions(spark)
+    keys = layout.key_dim(*dims)
+    df = spark.createDataFrame([("a", "Fast asdf redé dsa, poppy level!"), ("b", ""), ("c", "z")], "id string, text string")
+    columns = ["id", "pos", "key_id", "finger", "x", *feat.BIGRAM, *feat.TRIGRAM]
+    slow = feat.triple_features(feat.pair_features(feat.with_previous(feat.with_keys(characters(df, "text", "id"), keys), "id"))).select(columns)
+    fast = feat.layout_features(df, "text", feat.pair_table(spark, keys, layout.movement_dim(dims[1])), "id").select(columns)
+    order = lambda rows: sorted(map(tuple, rows), key=lambda r: r[:2])
+    assert order(slow.collect()) == order(fast.collect())
+
+
+def test_reach(spark):
+    from keyloom.operators import layout
+
+    reach = {r.slot: r.move_dist for r in layout.reach_dim(layout.dimensions(spark)[1]).collect()}
+    assert len(reach) == 46 and reach["f"] == 0 and reach["r"] == pytest.approx((0.25**2 + 1) ** 0.5)
+
+
+def test_search_prunes(spark, tmp_path):
+    from keyloom.operators.tuning import Paths, parameters, search, study_name
+
+    errors = {1: 0.5, 2: 0.4, 3: 0.6, 9: 5.0}
+    trials = search(spark, study_name("s_w", 3, 1), {"p": [1, 2, 3, 9]}, lambda p, fold: errors[p["p"]], 3)
+    got = {r.trial: (r.state, round(r.value, 3)) for r in trials.collect()}
+    assert got == {0: ("COMPLETE", 0.5), 1: ("COMPLETE", 0.4), 2: ("COMPLETE", 0.6), 3: ("PRUNED", 5.0)}
+    assert metrics.best_trials(trials).first().trial == 1
+    with pytest.raises(FileNotFoundError):
+        parameters(str(tmp_path / "no.json"))
+    (tmp_path / "p.json").write_text('{"w_back": 3}')
+    assert parameters(str(tmp_path / "p.json")) == {"w_back": 3}
+    assert Paths("/d", repeat_key=False).abbreviations("a.json") == "/d/abbr_dict/a_rptoff.json" and Paths("/d").models("x") == "/d/models/x/ensemble"
