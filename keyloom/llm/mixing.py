@@ -21,7 +21,7 @@ from .common import checkpoint, documents, stored
 #: Words of a text; all other characters part them.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one window partition holds, about; sources with more are numbered in several.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -118,7 +118,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substring(md5('7:' || doc_id), 1, 8))::BIGINT % greatest(1, ((SELECT count(*) FROM documents) + 49999) // 50000) AS bucket
+         ('0x' || substring(md5('7:' || doc_id), 1, 8))::BIGINT % greatest(1, ((SELECT count(*) FROM documents) + 3999) // 4000) AS bucket
   FROM documents),
 tot AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 wt AS (SELECT *, 3 * source_size AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM tot),
