@@ -2,7 +2,9 @@
 
 Every source gets a target number of words; a document's expected copies are its source's target over its source's
 size. The expected copies are prefix-summed within the source, one random offset is added, and a document is emitted
-once for each integer boundary that its interval crosses, so it comes floor or ceil of the expected number of times.
+once for each integer boundary that its interval crosses, so it comes floor or ceil of the expected number of times. The
+offset is a hash of the source, moved on by that one of ``STEPS`` equal steps with which the taken words come nearest to
+the target; all of them are sums over the same rows.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a null id is an id like
 another; repeated rows are separate documents; an empty table gives an empty result; a source without words has target
@@ -24,6 +26,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 4_000
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
+STEPS = 32
 MAX_REPEAT = 3
 SEED = 7
 
@@ -86,10 +89,18 @@ def mix(
     inner = Window.partitionBy("source", "bucket").orderBy("size", "doc_id", "key")
     ranked = dealt.withColumn("rn", F.row_number().over(inner)).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     offset = _unit(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("source"), F.lit(""))))
-    crossed = lambda n: F.floor(n * F.col("rate") + offset)
-    place = F.col("start") + F.col("rn")
-    copies = F.least(crossed(place) - crossed(place - 1), F.lit(max_repeat)).cast("long")
-    return ranked.select("key", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    place = (F.col("start") + F.col("rn")).alias("place")
+    placed = checkpoint(ranked.select("key", "doc_id", "source", "size", "source_size", "target", "rate", place, offset.alias("u")))
+
+    def copies(step) -> Column:
+        crossed = lambda n: F.floor(n * F.col("rate") + (F.col("u") + step / F.lit(float(STEPS))))
+        return F.least(crossed(F.col("place")) - crossed(F.col("place") - 1), F.lit(max_repeat)).cast("long")
+
+    taken = placed.groupBy("source", "target").agg(*(F.sum(copies(F.lit(j)) * F.col("size")).alias(f"t{j}") for j in range(STEPS)))
+    misses = F.array(*(F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("miss"), F.lit(j).alias("step")) for j in range(STEPS)))
+    chosen = taken.select(F.col("source").alias("s"), F.array_min(misses)["step"].alias("step"))
+    rows = placed.join(chosen, F.col("source").eqNullSafe(F.col("s")))
+    return rows.select("key", "doc_id", "source", "size", "source_size", "target", copies(F.col("step")).alias("copies"))
 
 
 def _sizes(docs: DataFrame, text: Column, doc_id: Column, source: Column, key: Column) -> DataFrame:
@@ -132,8 +143,13 @@ goal AS (
          CASE WHEN source_size > 0 THEN least(cap::DOUBLE, fixed * w) / source_size ELSE 0.0 END AS rate,
          ('0x' || substring(md5('7/' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u
   FROM sh, fx),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, size, doc_id) AS place FROM docs)
-SELECT doc_id, size, source_size, target,
-       (least(floor(place * rate + u)::BIGINT - floor((place - 1) * rate + u)::BIGINT, 3) * size)::BIGINT AS taken
-FROM ranked JOIN goal ON ranked.source IS NOT DISTINCT FROM goal.source
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, size, doc_id) AS place FROM docs),
+steps AS (
+  SELECT doc_id, size, ranked.source, source_size, target, j,
+         least(floor(place * rate + (u + j / 32.0::DOUBLE))::BIGINT - floor((place - 1) * rate + (u + j / 32.0::DOUBLE))::BIGINT, 3) * size AS taken
+  FROM ranked JOIN goal ON ranked.source IS NOT DISTINCT FROM goal.source, range(32) AS r(j)),
+best AS (
+  SELECT source, j FROM (SELECT source, j, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - any_value(target)), j) AS rn FROM steps GROUP BY source, j) WHERE rn = 1)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken
+FROM steps JOIN best ON steps.source IS NOT DISTINCT FROM best.source AND steps.j = best.j
 """
