@@ -61,9 +61,8 @@ def load_model(spark: SparkSession, path: str, n_folds: int = 10) -> LinearModel
     return LinearModel(spec["features"], [(list(r.weights), r.bias) for r in rows], spec["back"], spec["ahead"])
 
 
-def linguistic_frame(df: DataFrame, text: str, key: str, *, unigrams: DataFrame | None = None, bigrams: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
-    """Every character of each text with the features that no layout changes; made once, used for every layout."""
-    rows = characters(df, text, key)
+def linguistic_features(rows: DataFrame, key: str, *, unigrams: DataFrame | None = None, bigrams: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """Rows (key, pos, key, key_id) with the features that no layout changes: places in sequence, word and syllable, frequencies."""
     rows = feat.sequence_position(rows, key)
     if words is not None:
         rows = feat.word_frequency(rows, key, words)
@@ -76,6 +75,11 @@ def linguistic_frame(df: DataFrame, text: str, key: str, *, unigrams: DataFrame
     return rows
 
 
+def linguistic_frame(df: DataFrame, text: str, key: str, **tables: DataFrame) -> DataFrame:
+    """``linguistic_features`` of every character of each text; made once, used for every layout."""
+    return linguistic_features(characters(df, text, key), key, **tables)
+
+
 def with_layout(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """The features of a layout (``features.pair_table``) added to a linguistic frame."""
     w = Window.partitionBy(key).orderBy("pos")
