@@ -87,7 +87,7 @@ def pair_table(spark: SparkSession, keys: DataFrame, ways: DataFrame) -> DataFra
 
 
 def from_pairs(rows: DataFrame, pairs: DataFrame, *keep: str) -> DataFrame:
-    """Layout features of rows (keep..., pos, pair, p_pair): two joins with ``pair_table``; those of three keys follow from both pairs."""
+    """Layout features of rows (keep..., pair, p_pair): two joins with ``pair_table``; those of three keys follow from both pairs."""
     before = pairs.select(
         F.col("pair").alias("p_pair"), F.col("p_key_id").alias("pp_key_id"), F.col("p_finger").alias("pp_finger"), F.col("in_roll").alias("__in"), F.col("out_roll").alias("__out")
     )
@@ -99,12 +99,12 @@ def from_pairs(rows: DataFrame, pairs: DataFrame, *keep: str) -> DataFrame:
         "out_triroll": roll("__out", "out_roll"),
         "redirects": roll("__in", "out_roll") | roll("__out", "in_roll"),
     }
-    return rows.select(*keep, "pos", "key_id", *(c for c in ATTRIBUTES if c != "slot"), *BIGRAM, *(_flag(valid, r).alias(n) for n, r in rules.items()), "move_dist", "move_sin", "move_cos")
+    return rows.select(*keep, "key_id", *(c for c in ATTRIBUTES if c != "slot"), *BIGRAM, *(_flag(valid, r).alias(n) for n, r in rules.items()), "move_dist", "move_sin", "move_cos")
 
 
 def layout_features(df: DataFrame, text: str, pairs: DataFrame, *keep: str) -> DataFrame:
     """All features that depend on the layout, for every character of each text, without a shuffle."""
-    return from_pairs(key_pairs(df, text, *keep), pairs, *keep)
+    return from_pairs(key_pairs(df, text, *keep), pairs, *keep, "pos")
 
 
 def _flag(valid: Column, holds: Column) -> Column:

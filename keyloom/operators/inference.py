@@ -85,7 +85,7 @@ def with_layout(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     w = Window.partitionBy(key).orderBy("pos")
     before = lambda n: F.coalesce(F.lag("key_id", n).over(w), F.lit(0))
     rows = rows.select("*", (before(1) * 128 + F.col("key_id")).alias("pair"), (before(2) * 128 + before(1)).alias("p_pair"))
-    enriched = feat.from_pairs(rows.drop("key_id"), pairs, *[c for c in rows.columns if c not in ("key_id", "pair", "p_pair", "pos")])
+    enriched = feat.from_pairs(rows.drop("key_id"), pairs, *[c for c in rows.columns if c not in ("key_id", "pair", "p_pair")])
     return enriched.select("*", (F.col("key_id") == 0).cast("double").alias("is_pad"), *(c for n, m in (("finger", 10), ("finger_type", 5), ("hand", 3)) for c in feat.one_hot(n, m)))
 
 

@@ -9,7 +9,7 @@ from ..functions import syllables
 from ..operators import features as feat
 from ..operators import layout
 from ..operators.ngrams import counted, ngrams, zipf
-from ..operators.sequences import characters, key_name
+from ..operators.sequences import characters, key_name, key_pairs
 from ..sources.tables import corpus, table
 from .base import query
 
@@ -71,28 +71,24 @@ def typed(spark: SparkSession, sf_dir: str, name: str = "qwerty") -> DataFrame:
     return feat.with_previous(feat.with_keys(chars, layout.key_dim(*layout.dimensions(spark, name))), "item_id")
 
 
-def triples(df: DataFrame, keys: DataFrame, *by: str) -> DataFrame:
-    """(by..., n) and the attributes of three characters in a row: counted first, so that features are looked up once a kind."""
-    grams = ngrams(df, "text", 3, *by).groupBy(*by, "gram").agg(F.count("*").alias("n"))
-    out = grams
-    for i, prefix in ((1, "pp_"), (2, "p_"), (3, "")):
-        code = F.ascii(F.substring("gram", i, 1))
-        out = out.withColumn(f"{prefix}key_id", F.when(code < 128, code).otherwise(0))
-        side = keys.select(*(F.col(c).alias(prefix + c) for c in ("key_id", "finger", "finger_type", "hand", "y")))
-        out = out.join(F.broadcast(side), f"{prefix}key_id", "left")
-    return out
-
-
 FLAGSHIP = ("same_finger", "in_roll", "redirects")
 
 
-def layout_rates(df: DataFrame, keys: DataFrame, by: str) -> DataFrame:
-    """Shares of all known triples that are same-finger, inward or redirecting, by group."""
-    rows = feat.triple_features(feat.pair_features(triples(df, keys, by)))
-    known = rows.where(F.col("redirects").isNotNull())
+def layout_rates(df: DataFrame, pairs: DataFrame, by: str) -> DataFrame:
+    """Shares of all known triples of keys that are same-finger, inward or redirecting, by group.
+
+    Triples are counted first, as numbers, so that features are looked up once a kind and not once a character.
+    """
+    counts = key_pairs(df, "text", by).groupBy(by, "pair", "p_pair").agg(F.count("*").alias("n"))
+    known = feat.from_pairs(counts, pairs, by, "n").where(F.col("redirects").isNotNull())
     return known.groupBy(by).agg(F.sum("n").alias("n"), *((F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"{c}_rate") for c in FLAGSHIP))
 
 
+def pair_table(spark: SparkSession, name: str = "qwerty") -> DataFrame:
+    dims = layout.dimensions(spark, name)
+    return feat.pair_table(spark, layout.key_dim(*dims), layout.movement_dim(dims[1]))
+
+
 def _sql_rates(name: str) -> str:
     return f"""WITH {sql_keys(name)}, {sql_chars("documents", "doc_id, lang")},
 ka AS (SELECT c.*, finger, ft, hand, y FROM chars c LEFT JOIN kd USING (key_id)),
@@ -104,7 +100,7 @@ FROM lg WHERE key_id > 0 AND p_k > 0 AND q_k > 0 GROUP BY lang"""
 
 @query(_sql_rates("qwerty"))
 def flagship_layout_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout_rates(corpus(spark, sf_dir, "lang", "text"), layout.key_dim(*layout.dimensions(spark)), "lang")
+    return layout_rates(corpus(spark, sf_dir, "lang", "text"), pair_table(spark), "lang")
 
 
 @query(f"""WITH q AS ({_sql_rates("qwerty")}), d AS ({_sql_rates("dvorak")})
@@ -116,7 +112,7 @@ def layout_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir, "lang", "text")
     both: DataFrame | None = None
     for name in ("qwerty", "dvorak"):
-        one = layout_rates(docs, layout.key_dim(*layout.dimensions(spark, name)), "lang").select("lang", F.lit(name).alias("layout"), "same_finger_rate")
+        one = layout_rates(docs, pair_table(spark, name), "lang").select("lang", F.lit(name).alias("layout"), "same_finger_rate")
         both = one if both is None else both.unionByName(one)
     return pivoted(both, "lang", "layout", ["qwerty", "dvorak"], "same_finger_rate", "qwerty")
 
@@ -297,8 +293,7 @@ fx AS (SELECT *, {_sql_flags(SQL_PAIRS, "key_id > 0 AND p_k > 0")}, {_sql_flags(
 SELECT lang, count(*) AS n, {", ".join(f"round(sum({c}::DOUBLE), 4) AS {c}" for c in LAYOUT_COLUMNS)} FROM fx LEFT JOIN ways ON p_slot = s1 AND slot = s2 GROUP BY lang""")
 def enrich_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every layout feature of every character of the corpus, added up by language."""
-    pairs = feat.pair_table(spark, layout.key_dim(*layout.dimensions(spark)), layout.movement_dim(layout.dimensions(spark)[1]))
-    rows = feat.layout_features(corpus(spark, sf_dir, "lang", "text"), "text", pairs, "lang")
+    rows = feat.layout_features(corpus(spark, sf_dir, "lang", "text"), "text", pair_table(spark), "lang")
     return rows.groupBy("lang").agg(F.count("*").alias("n"), *_summed(LAYOUT_COLUMNS))
 
 

@@ -119,4 +119,4 @@ def test_triples_are_counted_like_rows(spark):
     chars = feat.with_previous(feat.with_keys(characters(docs, "text", "lang"), dim), "lang")
     rows = feat.triple_features(feat.pair_features(chars)).where(F.col("redirects").isNotNull())
     want = {r.lang: (r.n, r.s) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg("redirects").alias("s")).collect()}
-    assert {r.lang: (r.n, pytest.approx(r.redirects_rate)) for r in keys.layout_rates(docs, dim, "lang").collect()} == want
+    assert {r.lang: (r.n, pytest.approx(r.redirects_rate)) for r in keys.layout_rates(docs, keys.pair_table(spark), "lang").collect()} == want
