@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +64,18 @@ def shift_rows() -> list[tuple[str, str]]:
     return [*SHIFTED.items(), *((c, c.upper()) for c in "abcdefghijklmnopqrstuvwxyz")]
 
 
+def small(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A few rows as a local relation, whose size the optimiser knows."""
+    values = list(zip(*rows, strict=True)) or [()] * len(columns)
+    return spark.createDataFrame(pa.table({name: pa.array(v, kind) for (name, kind), v in zip(columns.items(), values, strict=True)}))
+
+
 def dimensions(spark: SparkSession, name: str = "qwerty", repeat_key: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The layout, slot and shift tables; each is a few dozen rows."""
     return (
-        spark.createDataFrame(layout_rows(name, repeat_key), "slot string, keycode string"),
-        spark.createDataFrame(slot_rows(repeat_key), "slot string, x double, y double, finger int"),
-        spark.createDataFrame(shift_rows(), "base string, shift string"),
+        small(spark, layout_rows(name, repeat_key), slot=pa.string(), keycode=pa.string()),
+        small(spark, slot_rows(repeat_key), slot=pa.string(), x=pa.float64(), y=pa.float64(), finger=pa.int32()),
+        small(spark, shift_rows(), base=pa.string(), shift=pa.string()),
     )
 
 
@@ -129,7 +136,7 @@ def reach_dim(slots: DataFrame) -> DataFrame:
     ways = movement_dim(slots)
     fingers = slots.select("slot", "finger")
     homes = [(f, k) for f, k in HOME.items()] + [(9, REPEAT)]
-    table = slots.sparkSession.createDataFrame(homes, "finger int, home string")
+    table = small(slots.sparkSession, homes, finger=pa.int32(), home=pa.string())
     here = table.join(slots.select(F.col("slot").alias("home")), "home")
     return ways.join(F.broadcast(fingers.join(here, "finger").select(F.col("slot").alias("slot_2"), F.col("home").alias("slot_1"))), ["slot_1", "slot_2"]).select(
         F.col("slot_2").alias("slot"), "move_dist", "move_sin", "move_cos"

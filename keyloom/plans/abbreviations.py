@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..operators.abbreviations import candidates as cand
 from ..operators.abbreviations import contexts as ctx
 from ..operators.abbreviations import rewriting as rw
 from ..operators.abbreviations import selection as sel
+from ..operators.layout import small
 from ..operators.models import costs, milliseconds, per_key
 from ..operators.sequences import characters
 from ..sources.tables import table
@@ -33,7 +35,7 @@ ENTRIES = [
 
 
 def entries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ENTRIES, "text string, abbr string, trigger_form string, type string")
+    return small(spark, ENTRIES, text=pa.string(), abbr=pa.string(), trigger_form=pa.string(), type=pa.string())
 
 
 SQL_ENTRIES = "en(text, abbr, form, type) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in ENTRIES) + ")"
