@@ -113,8 +113,3 @@ def ordinal_fold(item: Column, n: int = 10) -> Column:
     """The sum of the characters' codes modulo n; 0 for null and empty."""
     codes = F.aggregate(F.split(item, ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c))
     return F.coalesce(F.when(item == "", F.lit(0)).otherwise(codes % n), F.lit(0)).cast("int")
-
-
-def padded_left(text: Column, n: int) -> Column:
-    """The last n characters, filled up with blanks on the left."""
-    return F.lpad(F.right(text, F.lit(n)), n, " ")

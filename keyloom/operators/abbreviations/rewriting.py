@@ -129,5 +129,12 @@ def by_entry(df: DataFrame, keys: str, ms: str, normal_ms: str) -> DataFrame:
     return stats.withColumn("speedup_pct", F.when(F.col("__t") > 0, F.col("mean_ms") / F.col("__t") * 100).otherwise(0.0)).drop("__t")
 
 
-def per_match(ms: Column, keys: Column) -> Column:
-    return ms / F.size(keys)
+def by_kind(df: DataFrame, ms: str) -> DataFrame:
+    """(singleword_ms, suffix_ms): mean saving a match over the texts that have matches of a kind; matches of a text share alike."""
+    each = F.col(ms) / (F.col("n_words") + F.col("n_suffixes"))
+    return df.agg(F.avg(F.when(F.col("n_words") > 0, each)).alias("singleword_ms"), F.avg(F.when(F.col("n_suffixes") > 0, each)).alias("suffix_ms"))
+
+
+def with_entries(stats: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per-entry figures with the entry's abbreviation and form; figures of unknown entries stay."""
+    return stats.join(F.broadcast(entries.select(F.lower("text").alias("text"), "abbr", "trigger_form")), "text", "left")

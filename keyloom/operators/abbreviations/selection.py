@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 SCALE = 100_000
 MIN_SAVING = 0.25
-DEFAULTS = {"lambda_": 0.5, "overlap": 1.0, "sigma": 1.0, "floor": 0.30, "size": 160}
 
 
 def effective(mean: Column, std: Column, sigma: float) -> Column:

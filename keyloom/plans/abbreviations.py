@@ -298,6 +298,19 @@ def entry_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("text", "uses", F.round("mean_ms", 6).alias("mean_ms"), F.round("std_ms", 6).alias("std_ms"), F.round("total_ms", 4).alias("total_ms"), F.round("speedup_pct", 8).alias("speedup_pct"))
 
 
+@query(f"""WITH {SQL_VALUED} SELECT round(avg(CASE WHEN n_words > 0 THEN (t0 - t1) / (n_words + n_suffixes) END), 6) AS singleword_ms, round(avg(CASE WHEN n_suffixes > 0 THEN (t0 - t1) / (n_words + n_suffixes) END), 6) AS suffix_ms FROM va""")
+def savings_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = lambda n, z: milliseconds(F.col(n), F.col(z), 110.5, 50.4)
+    rows = valued(spark, sf_dir).withColumn("ms", ms("n_normal", "z_normal") - ms("n_abbr", "z_abbr")).where("n_words + n_suffixes > 0")
+    return rw.by_kind(rows, "ms").select(F.round("singleword_ms", 6).alias("singleword_ms"), F.round("suffix_ms", 6).alias("suffix_ms"))
+
+
+@query(f"""WITH {SQL_VALUED}, x AS (SELECT unnest(keys) AS text FROM va), c AS (SELECT text, count(*) AS uses FROM x GROUP BY text) SELECT c.text, uses, en.abbr, en.form AS trigger_form FROM c LEFT JOIN en ON en.text = c.text""")
+def entry_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = rewritten(spark, sf_dir).select(F.explode("keys").alias("text")).groupBy("text").agg(F.count("*").alias("uses"))
+    return rw.with_entries(uses, entries(spark))
+
+
 SQL_COST = f"""{sql_chars("benchmark", "item_id")}, pc AS (SELECT item_id, pos, ((key_id % 7) - 3)::DOUBLE / 10 AS m, ((key_id % 5) + 1)::DOUBLE / 10 AS s FROM chars)"""
 
 
@@ -331,6 +344,16 @@ def oneshot_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oneshot.transformed(bench(spark, sf_dir).where(F.length("text") > 0), "text").select("item_id", "oss_text", "n_oss", "starts_oss")
 
 
+@query(f"""WITH {SQL_ONE}, cl AS (SELECT item_id AS id, trim(regexp_replace(oss_text, '[ \\t\\n\\v\\f\\r]+', ' ', 'g'), ' ') AS t FROM os),
+cc AS (SELECT id, unnest(range(length(t))) AS pos, unnest(string_split(t, '')) AS k FROM cl WHERE length(t) > 0),
+gr AS (SELECT k || lead(k) OVER (PARTITION BY id ORDER BY pos) AS gram FROM cc), gc AS (SELECT gram, count(*) AS n FROM gr WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) >= 5)
+SELECT gram, n, round(greatest(0.0, least(10.0, log10(n / (SELECT sum(n) FROM gc)) + 9)), 9) AS zipf FROM gc""")
+def oneshot_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the transformed texts."""
+    pairs = oneshot.frequencies(bench(spark, sf_dir), "text")[1]
+    return pairs.select("gram", "n", F.round("zipf", 9).alias("zipf"))
+
+
 SQL_ONE_REPORT = f"""{SQL_ONE}, rp AS (SELECT greatest(0, length(text) - 1) * {{m}}::DOUBLE + (length(text) - 1) * 0.1::DOUBLE * 52.4::DOUBLE AS b, greatest(0, length(oss_text) - starts_with(oss_text, chr(2))::INT - 1) * {{m}}::DOUBLE + (length(oss_text) - 1) * 0.1::DOUBLE * 52.4::DOUBLE AS o, n_oss FROM os JOIN benchmark USING (item_id))"""
 
 

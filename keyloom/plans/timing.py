@@ -105,7 +105,12 @@ def participants_without_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id, event_type AS key, epoch_us(ts) AS time, CASE event_type WHEN 'error' THEN -1 ELSE 1 END AS d FROM events WHERE event_type <> 'signup'),
+s AS (SELECT *, sum(d) OVER w AS s, sum((d = 1)::INT) OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id, day ORDER BY time, event_id ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id, day ORDER BY time, event_id ROWS UNBOUNDED PRECEDING)) AS h FROM s),
+f AS (SELECT *, d = -1 AND h < coalesce(lag(h) OVER w, 0) AS popped, min(h) OVER (PARTITION BY user_id, day ORDER BY time, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS low FROM h WINDOW w AS (PARTITION BY user_id, day ORDER BY time, event_id)),
+p AS (SELECT DISTINCT user_id, day, n + 1 AS n, true AS corrected FROM f WHERE popped)
+SELECT user_id, day, row_number() OVER (PARTITION BY user_id, day ORDER BY time, event_id) - 1 AS pos, key, time, coalesce(corrected, false) AS corrected FROM f LEFT JOIN p USING (user_id, day, n) WHERE d = 1 AND (low IS NULL OR low >= h)""")
 def backspace_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user and day as typed keys, errors as backspaces, signups as shift keys."""
     rows = log(spark, sf_dir).withColumn("day", F.to_date("ts").cast("string"))
@@ -266,7 +271,10 @@ def fold_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.balance(_lines(spark, sf_dir), "fold_word", "q").select("folds", F.round("mean", 6).alias("mean"), F.round("spread", 9).alias("spread"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT p_partkey::VARCHAR AS item, p_retailprice::DOUBLE AS weight, row_number() OVER (ORDER BY p_retailprice::DOUBLE DESC, p_partkey::VARCHAR) AS i FROM part),
+g AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS item, -1 AS fold, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS t
+  UNION ALL SELECT w.i, w.item, (list_position(t, list_min(t)) - 1)::INT, list_transform(t, lambda x, k: CASE WHEN k = list_position(t, list_min(t)) THEN x + w.weight ELSE x END) FROM g JOIN w ON w.i = g.i + 1)
+SELECT item, fold FROM g WHERE i > 0""")
 def fold_pack_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("item"), F.col("p_retailprice").cast("double").alias("weight"))
     return folds.balanced_table(weights)

@@ -14,7 +14,6 @@ SEQUENCE = T.StructType(
 LAYOUT_MAP = "slot string, x double, y double, finger int"
 LAYOUT = "slot string, keycode string"
 SHIFTS = "base string, shift string"
-CORPUS = "body string, source string"
 SAVING = "struct<mean:double,std:double>"
 CANDIDATES = (
     "items array<struct<text:string,type:string,frequency:long,candidates:array<struct<abbr:string,trigger_form:string,"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import clean_sentences, is_header, is_spam
 from ..operators.sampling import first_rows
@@ -103,7 +102,3 @@ def filtered_participants(df: DataFrame, *, equal: dict[str, object] | None = No
     if n:
         out = (out.orderBy(order) if order else out).limit(n)
     return out
-
-
-def has_columns(df: DataFrame, schema: T.StructType) -> bool:
-    return {f.name for f in schema} <= set(df.columns)

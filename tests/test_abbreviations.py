@@ -86,6 +86,13 @@ def test_candidates():
     assert len(cand.candidates("information", 7)) == 7
 
 
+def test_validity_in_sql_is_that_in_python(spark):
+    pairs = [(a, w) for a in ("", "a", "aa", "bb", "abc", "abcd") for w in ("a", "abc", "abcd", "abcdef", "xyz")]
+    df = spark.createDataFrame(pairs, "a string, w string")
+    got = [r.v for r in df.select(cand.is_valid_column(F.col("a"), F.col("w")).alias("v")).collect()]
+    assert got == [cand.is_valid(a, w) for a, w in pairs]
+
+
 def test_trigger_forms_are_cheaper(spark):
     df = spark.createDataFrame([("see", "ee"), ("see", "s"), ("abc", "xx"), ("it", "t")], "text string, abbr string")
     on = {(r.text, r.abbr, r.trigger_form) for r in cand.with_triggers(df, True).collect()}
