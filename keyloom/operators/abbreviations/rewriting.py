@@ -99,7 +99,7 @@ def patched_pairs(chars: DataFrame, key: str, special: DataFrame, plain: DataFra
     rows = rows.withColumn("__g", F.when(odd, F.concat("__p", "key"))).withColumn("__h", F.when((F.col("__p") == marker) | (F.col("key") == marker), F.concat("__pr", "real")))
     one = special.select(F.col("gram").alias("__g"), F.col("zipf").alias("__a"))
     two = plain.select(F.col("gram").alias("__h"), F.col("zipf").alias("__b"))
-    joined = rows.join(F.broadcast(one), "__g", "left").join(F.broadcast(two), "__h", "left")
+    joined = rows.join(F.broadcast(one), "__g", "left").join(two, "__h", "left")
     return joined.withColumn(value, F.coalesce("__a", "__b", value)).drop("__p", "__pr", "__g", "__h", "__a", "__b", "real")
 
 

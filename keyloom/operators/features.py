@@ -180,5 +180,5 @@ def word_frequency(df: DataFrame, sequence: str, words: DataFrame, order: str =
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Left lookup of a frequency; what the table lacks is null."""
-    return df.join(F.broadcast(table.select(*keys, value)), keys, "left")
+    """Left lookup of a frequency; what the table lacks is null. How large a table is depends on the corpus, so Spark picks the join."""
+    return df.join(table.select(*keys, value), keys, "left")
