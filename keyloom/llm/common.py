@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,10 +37,6 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def crc_mod_py(value: int, modulus: int) -> int:
-    return zlib.crc32(str(value).encode()) % modulus
-
-
 def slices(array: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
     """The texts of an Arrow string array as UTF-8 bytes (null: empty), in lists of bounded size."""
     array = array.cast(pa.binary()) if not pa.types.is_binary(array.type) else array

@@ -3,7 +3,6 @@ import random
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from keyloom.llm import simhash
 
