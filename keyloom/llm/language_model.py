@@ -4,9 +4,8 @@ The probability of a token is that of its class, given by a gated recurrent unit
 of the token in its class, (count + 1) / (sum over the class). Counts are exact and from all training documents; the
 most frequent tokens are classes of their own, the others are classed by their last bytes, apart for the ``top`` most
 frequent ones and the rest. Each class of the rest has one place for tokens never seen, so the probabilities of all
-events sum to 1. The unit is trained in numpy by truncated backpropagation, in every partition on its share of the
-training documents, a fixed share of the corpus plus some thousand documents; the weights are averaged over partitions,
-and that is repeated. A text is scored whole: the state is carried from window to window up to its end token.
+events sum to 1. The unit is trained in numpy by truncated backpropagation, in every partition on all its training
+documents; the weights are averaged over partitions, and that is repeated. A text is scored whole: the state is carried from window to window up to its end token.
 
 Tokens travel as XXH64 hashes. The table of the ``top`` tokens has a fixed size and is broadcast; counts of all others
 are joined, one row for a distinct rare token of a document.
@@ -39,8 +38,6 @@ TOP, SINGLES, ENDINGS = 300_000, 48, 32
 TWICE = 2
 HIDDEN = 24
 LANES, WINDOW, RATE, ROUNDS = 32, 16, 0.01, 2
-#: Training documents that the recurrent unit learns from: this share, and so many more.
-SHARE, MORE = 1 / 16, 2_500
 SEED = 5
 #: No word can be this, so its hash stands for the end of a text.
 END = b"\n"
@@ -405,10 +402,7 @@ def score(docs: DataFrame, training: DataFrame, *, text_col: str = "text", id_co
     counted = training.select(text_col).mapInArrow(_count, "h long, e int, n long")
     counts = stored(counted.groupBy("h").agg(F.min("e").alias("e"), F.sum("n").alias("c")), "counts")
     vocab, last = vocabulary(counts, top)
-    n_docs = training.count()
-    share = min(1.0, SHARE + MORE / n_docs) if n_docs else 0.0
-    drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20))
-    unit = train(training.where(drawn).select(text_col), vocab)
+    unit = train(training.select(text_col), vocab)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, unit))
     read = docs.select(F.col(id_col).alias("doc_id"), parts_udf(shared)(F.col(text_col)).alias("r"))
     parts = stored(read.select("doc_id", "r.*", F.monotonically_increasing_id().alias("key")), "parts")

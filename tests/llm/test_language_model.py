@@ -104,3 +104,15 @@ def test_rows_of_every_kind(spark):
     assert len(none) == 44 and all(r.n_known == 0 and r.base_score == 0 for r in none)
     empty = docs.where("false")
     assert lm.score(empty, empty).count() == 0
+
+
+def test_unit_learns_from_all_training_documents(spark, monkeypatch):
+    seen = []
+
+    def train(texts, vocab):
+        seen.append(texts.count())
+        return lm.Unit.start(vocab.sizes / vocab.sizes.sum())
+
+    monkeypatch.setattr(lm, "train", train)
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('some words ', id % 50) AS text")
+    assert lm.score(docs, docs).count() == 4000 and seen == [4000]
