@@ -3,8 +3,8 @@
 Every source gets a target number of words; a document's expected copies are its source's target over its source's
 size. The expected copies are prefix-summed within the source, one random offset is added, and a document is emitted
 once for each integer boundary that its interval crosses, so it comes floor or ceil of the expected number of times. The
-offset is a hash of the source, moved on by that one of ``STEPS`` equal steps with which the taken words come nearest to
-the target; all of them are sums over the same rows.
+offset is a hash of the source, so reruns agree. Documents stand in hashed buckets, by size within and up and down by
+turns, so what is taken stays near the target for any offset.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a null id is an id like
 another; repeated rows are separate documents; an empty table gives an empty result; a source without words has target
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import checkpoint, documents, stored
+from .common import checkpoint, documents, stored, whole_rows
 
 #: Words of a text; all other characters part them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,7 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 4_000
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
-STEPS = 32
+#: Parts into which the rows of a source fall when they are joined with its target.
+SALTS = 64
 MAX_REPEAT = 3
 SEED = 7
 
@@ -35,10 +36,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _unit(key: Column, buckets: int | None = None) -> Column:
-    """A draw from the first 32 bits of an md5: in [0, 1), or an integer below ``buckets``."""
-    bits = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
-    return bits % buckets if buckets else bits.cast("double") / F.lit(4294967296.0)
+def _bits(key: Column) -> Column:
+    """A draw: the first 32 bits of an md5."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -70,13 +70,17 @@ def mix(
 ) -> DataFrame:
     """(key, doc_id, source, size) -> the same with source_size, target and copies.
 
-    Rows are numbered within their source by (bucket, size, id, key); the buckets, dealt by a hash of the id, keep a
-    window partition small however large the source is, and the order by size keeps the taken words near the target.
+    Rows are numbered within their source by (bucket, size, id, key); the buckets, dealt by a hash of the id (of the key
+    where it is null), keep a window partition small however large the source is.
     """
-    rows = sizes.count()
-    buckets = max(1, -(-rows // bucket_rows))
-    dealt = sizes.withColumn("bucket", F.coalesce(_unit(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")), buckets), F.lit(0)))
-    goal = targets(sizes, weights, max_repeat)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate")
+    buckets = F.ceil(F.col("source_docs") / bucket_rows).alias("buckets")
+    goal = targets(sizes, weights, max_repeat).select(F.col("source").alias("g"), "source_size", "target", rate, buckets)
+    # A source may hold most rows, so each has a row in ``goal`` for every salt.
+    goal = goal.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
+    draw = _bits(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("/"), F.col("key")))))
+    dealt = sizes.withColumn("salted", salt).join(goal, F.col("source").eqNullSafe(F.col("g")) & (F.col("salted") == F.col("salt"))).withColumn("bucket", draw % F.col("buckets")).drop("g", "salt", "salted", "buckets")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         dealt.groupBy("source", "bucket")
@@ -84,23 +88,15 @@ def mix(
         .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .select(F.col("source").alias("s"), F.col("bucket").alias("b"), "start")
     )
-    goal = goal.select(F.col("source").alias("g"), "source_size", "target", (F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias("rate"))
-    starts = starts.join(goal, F.col("s").eqNullSafe(F.col("g"))).drop("g")
-    inner = Window.partitionBy("source", "bucket").orderBy("size", "doc_id", "key")
+    # Every other bucket is in descending order, so that what one bucket takes too much the next takes too little.
+    snake = F.when(F.col("bucket") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
+    inner = Window.partitionBy("source", "bucket").orderBy(snake, "doc_id", "key")
     ranked = dealt.withColumn("rn", F.row_number().over(inner)).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    offset = _unit(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("source"), F.lit(""))))
-    place = (F.col("start") + F.col("rn")).alias("place")
-    placed = checkpoint(ranked.select("key", "doc_id", "source", "size", "source_size", "target", "rate", place, offset.alias("u")))
-
-    def copies(step) -> Column:
-        crossed = lambda n: F.floor(n * F.col("rate") + (F.col("u") + step / F.lit(float(STEPS))))
-        return F.least(crossed(F.col("place")) - crossed(F.col("place") - 1), F.lit(max_repeat)).cast("long")
-
-    taken = placed.groupBy("source", "target").agg(*(F.sum(copies(F.lit(j)) * F.col("size")).alias(f"t{j}") for j in range(STEPS)))
-    misses = F.array(*(F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("miss"), F.lit(j).alias("step")) for j in range(STEPS)))
-    chosen = taken.select(F.col("source").alias("s"), F.array_min(misses)["step"].alias("step"))
-    rows = placed.join(chosen, F.col("source").eqNullSafe(F.col("s")))
-    return rows.select("key", "doc_id", "source", "size", "source_size", "target", copies(F.col("step")).alias("copies"))
+    offset = _bits(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("source"), F.lit("")))).cast("double") / F.lit(4294967296.0)
+    crossed = lambda n: F.floor(n * F.col("rate") + F.col("u"))
+    copies = F.least(crossed(F.col("place")) - crossed(F.col("place") - 1), F.lit(max_repeat)).cast("long")
+    placed = ranked.withColumn("place", F.col("start") + F.col("rn")).withColumn("u", offset)
+    return placed.select("key", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def _sizes(docs: DataFrame, text: Column, doc_id: Column, source: Column, key: Column) -> DataFrame:
@@ -112,7 +108,7 @@ def mix_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc
 
     Rows are numbered and stored once, as a second scan need not number them alike once the cluster has changed.
     """
-    keyed = stored(docs.select(F.struct(*docs.columns).alias("__doc"), F.monotonically_increasing_id().alias("__key")), "keyed")
+    keyed = stored(docs.select(whole_rows(), F.monotonically_increasing_id().alias("__key")), "keyed")
     doc = F.col("__doc")
     taken = mix(checkpoint(_sizes(keyed, doc[text_col], doc[id_col], doc[source_col], F.col("__key"))), **params).where("copies > 0")
     joined = keyed.join(taken.select(F.col("key").alias("__key"), F.col("copies").alias("__copies")), "__key")
@@ -129,7 +125,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substring(md5('7:' || doc_id), 1, 8))::BIGINT % greatest(1, ((SELECT count(*) FROM documents) + 3999) // 4000) AS bucket
+         ('0x' || substring(md5('7:' || doc_id), 1, 8))::BIGINT % ((count(*) OVER (PARTITION BY source) + 3999) // 4000) AS bucket
   FROM documents),
 tot AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 wt AS (SELECT *, 3 * source_size AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM tot),
@@ -143,13 +139,9 @@ goal AS (
          CASE WHEN source_size > 0 THEN least(cap::DOUBLE, fixed * w) / source_size ELSE 0.0 END AS rate,
          ('0x' || substring(md5('7/' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u
   FROM sh, fx),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, size, doc_id) AS place FROM docs),
-steps AS (
-  SELECT doc_id, size, ranked.source, source_size, target, j,
-         least(floor(place * rate + (u + j / 32.0::DOUBLE))::BIGINT - floor((place - 1) * rate + (u + j / 32.0::DOUBLE))::BIGINT, 3) * size AS taken
-  FROM ranked JOIN goal ON ranked.source IS NOT DISTINCT FROM goal.source, range(32) AS r(j)),
-best AS (
-  SELECT source, j FROM (SELECT source, j, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - any_value(target)), j) AS rn FROM steps GROUP BY source, j) WHERE rn = 1)
-SELECT doc_id, size, source_size, target, taken::BIGINT AS taken
-FROM steps JOIN best ON steps.source IS NOT DISTINCT FROM best.source AND steps.j = best.j
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, CASE WHEN bucket % 2 = 0 THEN size ELSE -size END, doc_id) AS place FROM docs)
+SELECT doc_id, size, source_size, target,
+       (least(floor(place * rate + u)::BIGINT - floor((place - 1) * rate + u)::BIGINT, 3) * size)::BIGINT AS taken
+FROM ranked JOIN goal ON ranked.source IS NOT DISTINCT FROM goal.source
 """

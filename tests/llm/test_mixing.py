@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 
 import pytest
@@ -49,6 +51,20 @@ def test_copies(spark, bucket_rows):
         assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) <= max(r.size for r in mine)
 
 
+def test_one_offset_by_source_crosses_integers(spark):
+    """Copies are those of a plain walk along each source with one offset."""
+    rng = random.Random(8)
+    rows = [(i, i, rng.choice("ab"), rng.randrange(1, 900)) for i in range(300)]
+    got = {r.key: r for r in mixing.mix(spark.createDataFrame(rows, "key long, doc_id long, source string, size long"), bucket_rows=40).collect()}
+    draw = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    for source in "ab":
+        bucket = {i: draw(f"7:{i}") % -(-sum(r[2] == source for r in rows) // 40) for _, i, s, _ in rows if s == source}
+        order = sorted(bucket, key=lambda i: (bucket[i], rows[i][3] * (1 if bucket[i] % 2 == 0 else -1), i))
+        rate, at = got[order[0]].target / got[order[0]].source_size, draw(f"7/{source}") / 2**32
+        for place, i in enumerate(order, 1):
+            assert got[i].copies == math.floor(place * rate + at) - math.floor((place - 1) * rate + at)
+
+
 def test_word_count(spark):
     texts = [None, "", " \t\n", "a", "a b c", "x\x1cy\x0bz", "wörd " * 1000]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
