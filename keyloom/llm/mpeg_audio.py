@@ -5,9 +5,11 @@ side information (which says that no audio data follows) the rest of a frame bel
 holds the payload's length and CRC-32, and a Xing frame the frame count, the stream's bytes and a table of 100 seek
 points; the bit rate varies, so the last frame is as short as it can be.
 
-The reader skips ID3v2, ID3v1 and APEv2 tags, finds the first frame header that another one follows, walks from header
-to header, looks for the next one when a header is broken, verifies each protected frame's CRC-16, and gives exact
-durations in samples and the offset of every frame.
+The reader skips an ID3v2 tag, finds the first frame header that another one follows, walks from header to header, looks
+for the next one when a header is broken, verifies each protected frame's CRC-16 (of all three layers), and gives exact
+durations in samples and the offset of every frame. APEv2 and ID3v1 tags are looked for only where frames have ended, so
+bytes within a frame are never taken for a tag. The seek points of Xing and VBRI tables are read and held against the
+offsets of the frames.
 
 Defined results: null and empty payloads make a stream without audio frames; bytes that hold no MPEG frame have 0
 frames and no payload; free-format frames are not read. Any bytes may be stored, sync words among them.
@@ -16,6 +18,7 @@ frames and no payload; free-format frames are not read. Any bytes may be stored,
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct as st
 import zlib
 from dataclasses import dataclass, field
@@ -41,6 +44,8 @@ HZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000
 # What the writer makes: MPEG-1 layer III, mono, 32 kHz, where a frame of r kbit/s has just 4.5 r bytes.
 WRITE_HZ, FRAME_SAMPLES, SIDE = 32000, 1152, 17
 HEAD = 4 + 2 + SIDE
+#: Bytes of texts or streams that one call of a kernel takes.
+HELD = 1 << 20
 
 
 def _crc_table() -> list[int]:
@@ -56,11 +61,14 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
-def crc16(data: bytes) -> int:
-    """The frame checksum: polynomial 0x8005, start 0xFFFF, no reflection."""
-    c = 0xFFFF
-    for b in data:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The frame checksum over the data, or its first bits: polynomial 0x8005, start 0xFFFF, no reflection."""
+    c, whole = 0xFFFF, len(data) if bits is None else bits // 8
+    for b in data[:whole]:
         c = (c << 8 & 0xFF00) ^ _CRC[c >> 8 ^ b]
+    for i in range(0 if bits is None else bits % 8):
+        top = (c >> 15) ^ (data[whole] >> (7 - i) & 1)
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
     return c
 
 
@@ -75,6 +83,7 @@ class Header:
     samples: int
     length: int
     side: int
+    bound: int
 
 
 def header(raw: bytes) -> Header | None:
@@ -89,7 +98,47 @@ def header(raw: bytes) -> Header | None:
     samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
     length = (12000 * kbps // hz + pad) * 4 if layer == 1 else samples * 125 * kbps // hz + pad
     side = 0 if layer != 3 else ((17 if mono else 32) if first else (9 if mono else 17))
-    return Header(version, layer, not raw[1] & 1, kbps, hz, mono, samples, length, side)
+    bound = 4 * (raw[3] >> 4 & 3) + 4 if raw[3] >> 6 == 1 else 32
+    return Header(version, layer, not raw[1] & 1, kbps, hz, mono, samples, length, side, bound)
+
+
+# Fixed values of the standards: bits of a layer II allocation as (subbands, bits), by the table that rate and frequency choose.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _allocation(head: Header) -> list[int]:
+    """Bits of a subband's allocation, for each subband of a layer I or II frame."""
+    if head.layer == 1:
+        return [4] * 32
+    each = head.kbps if head.mono else head.kbps // 2
+    if head.version != 3:
+        table = "low"
+    elif each <= 48:
+        table = "d" if head.hz == 32000 else "c"
+    else:
+        table = "a" if each <= 80 or head.hz == 48000 else "b"
+    return [bits for n, bits in ALLOCATION[table] for _ in range(n)]
+
+
+def protected_bits(head: Header, body: bytes) -> int:
+    """How many bits of a frame behind its checksum the checksum covers."""
+    if head.layer == 3:
+        return 8 * head.side
+    bits, channels = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 1 if head.mono else 2
+    at = chosen = 0
+    for band, width in enumerate(_allocation(head)):
+        shared = channels == 2 and band >= head.bound
+        for _ in range(1 if shared else channels):
+            if bits >> (512 - at - width) & (1 << width) - 1:
+                chosen += 2 if shared else 1
+            at += width
+    return at + (2 * chosen if head.layer == 2 else 0)
 
 
 def _frames(capacity_needed: int) -> list[int]:
@@ -144,6 +193,9 @@ class Stream:
     table: str = ""
     table_frames: int = -1
     table_bytes: int = -1
+    points: list[int] = field(default_factory=list)
+    table_good: bool | None = None
+    points_step: int = 0
     kbps: set[int] = field(default_factory=set)
     payload: bytes | None = None
 
@@ -172,44 +224,74 @@ def _id3(data: bytes, tags: dict[str, str]) -> int:
 
 
 def _vbr(frame: bytes, head: Header, out: Stream) -> bool:
-    """Read a Xing, Info or VBRI table; whether the frame is one."""
+    """Read a Xing, Info or VBRI table, its seek points as bytes from the table's frame on; whether the frame is one."""
     for at in {4 + head.side, 4 + head.side + 2, 36}:
         if (name := frame[at : at + 4]) in (b"Xing", b"Info"):
             flags, at = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
             if flags & 1:
                 out.table_frames, at = int.from_bytes(frame[at : at + 4], "big"), at + 4
             if flags & 2:
-                out.table_bytes = int.from_bytes(frame[at : at + 4], "big")
+                out.table_bytes, at = int.from_bytes(frame[at : at + 4], "big"), at + 4
+            if flags & 4 and len(frame) >= at + 100:
+                out.points = [p * max(out.table_bytes, 0) // 256 for p in frame[at : at + 100]]
             out.table = name.decode()
             return True
-        if name == b"VBRI":
-            out.table_bytes, out.table_frames = st.unpack(">II", frame[at + 10 : at + 18])
+        if name == b"VBRI" and len(frame) >= at + 26:
+            out.table_bytes, out.table_frames, n, scale, width, out.points_step = st.unpack(">IIHHHH", frame[at + 10 : at + 26])
+            steps = [frame[at + 26 + i * width : at + 26 + (i + 1) * width] for i in range(n)]
+            out.points = list(itertools.accumulate(int.from_bytes(s, "big") * scale for s in steps if len(s) == width))
             out.table = "VBRI"
             return True
     return False
 
 
-def read_stream(data: bytes) -> Stream:
-    """Walk a stream's frames; with the payload if the writer made it and all of it is sound."""
-    out = Stream()
-    at, end = _id3(data, out.tags), len(data)
+def _points_good(out: Stream, start: int, end: int) -> bool | None:
+    """Whether each seek point lies about where its frame is: within the grain of the table and two frames."""
+    if not out.points or not out.offsets:
+        return None
+    longest = max((b - a for a, b in zip(out.offsets, [*out.offsets[1:], end], strict=True)), default=0)
+    if out.table == "VBRI":
+        # Point i lies behind i + 1 times as many frames as an entry spans, the table's own frame not counted.
+        places, grain = [(i + 1) * out.points_step for i in range(len(out.points))], 0
+    else:
+        places, grain = [i * out.frames // 100 for i in range(100)], out.table_bytes // 256 + 1
+    true = [out.offsets[n] if n < out.frames else end for n in places]
+    return all(abs(start + p - t) <= grain + 2 * longest for p, t in zip(out.points, true, strict=True))
+
+
+def _tail(data: bytes, at: int, tags: dict[str, str]) -> bool:
+    """Whether all that follows are an APEv2 tag, an ID3v1 tag or both, which are read."""
+    end, found = len(data), {}
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        out.tags["ID3v1"] = data[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1")
+        found["ID3v1"] = data[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1")
         end -= 128
     if end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size, _, flags = st.unpack("<III", data[end - 20 : end - 8])
-        out.tags["APEv2"] = str(size)
+        found["APEv2"] = str(size)
         end -= size + (32 if flags >> 31 else 0)
+    if end != at or not found:
+        return False
+    tags.update(found)
+    return True
+
+
+def read_stream(data: bytes) -> Stream:
+    """Walk a stream's frames; with the payload if the writer made it and all of it is sound."""
+    out = Stream()
+    at, end = _id3(data, out.tags), len(data)
     heads: dict[bytes, Header | None] = {}
     sums: dict[bytes, int] = {}
-    parts, first, synced = [], True, False
+    parts, first, synced, start = [], True, False, 0
     while at + 4 <= end:
         raw = data[at : at + 4]
         if raw not in heads:
             heads[raw] = header(raw)
         head = heads[raw]
         stop = at + head.length if head else 0
-        if not head or stop > end or not (synced or stop == end or header(data[stop : stop + 4])):
+        if not head or stop > end or not (synced or stop == end or header(data[stop : stop + 4]) or _tail(data, stop, {})):
+            if _tail(data, at, out.tags):
+                end = at
+                break
             if synced:
                 out.resyncs += 1
                 synced = False
@@ -218,16 +300,17 @@ def read_stream(data: bytes) -> Stream:
                 break
             continue
         synced = True
-        if first and _vbr(data[at : min(stop, at + 192)], head, out):
-            first, at = False, stop
+        if first and _vbr(data[at:stop], head, out):
+            first, start, at = False, at, stop
             continue
         first = False
         begin = at + 4
-        if head.protected and head.layer == 3:
+        if head.protected:
             begin += 2
-            covered = data[at + 2 : at + 4] + data[begin : begin + head.side]
+            bits = 16 + protected_bits(head, data[begin:stop])
+            covered = data[at + 2 : at + 4] + data[begin : begin + (bits + 7) // 8 - 2]
             if covered not in sums:
-                sums[covered] = crc16(covered)
+                sums[covered] = crc16(covered, min(bits, 8 * len(covered)))
             if sums[covered] == data[at + 4] << 8 | data[at + 5]:
                 out.crc_good += 1
             else:
@@ -239,6 +322,7 @@ def read_stream(data: bytes) -> Stream:
         out.kbps.add(head.kbps)
         parts.append(data[begin + head.side : stop])
         at = stop
+    out.table_good = _points_good(out, start, end)
     if "payload" in out.tags:
         size, _, check = out.tags["payload"].partition(":")
         joined = b"".join(parts)[: int(size)]
@@ -253,7 +337,7 @@ def store(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("
     def make():
         return lambda texts: [[write_stream(pad(t)) for t in texts]]
 
-    return with_fields(docs, list(keep), text_udf(make, struct(media=T.BinaryType()))(F.col(text_col)))
+    return with_fields(docs, list(keep), text_udf(make, struct(media=T.BinaryType()), HELD)(F.col(text_col)))
 
 
 def pad(text: bytes, unit: int = 64) -> bytes:
@@ -262,7 +346,8 @@ def pad(text: bytes, unit: int = 64) -> bytes:
 
 MEDIA = struct(
     frames=T.LongType(), samples=T.LongType(), hz=T.IntegerType(), seconds=T.DoubleType(), offsets=T.ArrayType(T.LongType()), crc_good=T.LongType(),
-    crc_bad=T.LongType(), resyncs=T.LongType(), table=T.StringType(), table_frames=T.LongType(), table_bytes=T.LongType(), payload=T.BinaryType(),
+    crc_bad=T.LongType(), resyncs=T.LongType(), table=T.StringType(), table_frames=T.LongType(), table_bytes=T.LongType(), points=T.ArrayType(T.LongType()),
+    table_good=T.BooleanType(), payload=T.BinaryType(),
 )
 
 
@@ -276,7 +361,7 @@ def probe(media: DataFrame, *, media_col: str = "media", keep: tuple[str, ...] =
 
         return kernel
 
-    return with_fields(media, list(keep), text_udf(make, MEDIA)(F.col(media_col)))
+    return with_fields(media, list(keep), text_udf(make, MEDIA, HELD)(F.col(media_col)))
 
 
 def feature(stream: Stream) -> str:
@@ -308,4 +393,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return kernel
 
     sized = streams.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
-    return with_fields(sized, ["doc_id", "n_bytes"], text_udf(make, digest)(F.col("media")))
+    return with_fields(sized, ["doc_id", "n_bytes"], text_udf(make, digest, HELD)(F.col("media")))
