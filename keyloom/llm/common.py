@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,12 +81,28 @@ def with_fields(df: DataFrame, keep: list[str], value: Column) -> DataFrame:
     return df.select(*keep, value.alias("__r")).select(*keep, "__r.*")
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives the value in any task. Its size must be bounded.
+
+    What is broadcast are bytes that hold the classes of this package by value, as executors need not have it installed.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(held.value)
+
+
+def whole_rows() -> Column:
+    """The row as one struct, whatever the names of its columns."""
+    return F.struct(F.col("*")).alias("__doc")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a local one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all is local one of this machine (tests)."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         found = sc._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = found.get() if found.isDefined() else f"file://{tempfile.gettempdir()}/keyloom-checkpoints-{os.getuid()}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(configured)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTERS, crc_mod, documents, slices, struct, text_udf, with_fields
+from .common import LETTERS, crc_mod, documents, share, slices, struct, text_udf, with_fields
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -153,10 +153,10 @@ def fit(docs: DataFrame, *, max_fit: int = MAX_FIT) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` with lang_pred, score (its calibrated probability) and accepted (score reaches the threshold)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def make():
-        m = shared.value
+        m = shared()
 
         def one(text: bytes) -> tuple[str, float, bool]:
             if m is None or not _LETTER.search(text.decode("utf-8", "replace")):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_words, checkpoint, documents, stored, struct, text_udf
+from .common import byte_words, checkpoint, documents, stored, struct, text_udf, whole_rows
 from .components import components
 
 SHINGLE = 3
@@ -236,7 +236,7 @@ def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
     Rows without an id are grouped by fingerprint where no row of their group has one. Rows are numbered and stored
     once, as a second scan need not number them alike once the cluster has changed.
     """
-    keyed = stored(docs.select(F.struct(*docs.columns).alias("__doc"), F.monotonically_increasing_id().alias("__key")), "keyed")
+    keyed = stored(docs.select(whole_rows(), F.monotonically_increasing_id().alias("__key")), "keyed")
     doc = F.col("__doc")
     marked = near_duplicates(keyed.select("__key", doc[id_col].alias("doc_id"), doc[text_col].alias("text")), key_col="__key", **params)
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("bits")))

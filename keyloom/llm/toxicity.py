@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTERS, crc_mod, documents, slices, struct, text_udf, with_fields
+from .common import LETTERS, crc_mod, documents, slices, struct, text_udf, whole_rows, with_fields
 
 BUCKETS = 1 << 22
 #: Labelled documents that the model is fitted on, at most.
@@ -98,8 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", max_fit
     # max_fit bounds the side that is broadcast.
     chosen = known.orderBy(F.xxhash64("__id"), "__id", "y").limit(max_fit)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    ordered = rows.select("text", "y", F.xxhash64("__id").alias("h"), "__id").repartition(1).sortWithinPartitions("h", "__id", "y", "text")
-    got = ordered.select("text", "y").mapInArrow(fit_rows, "bias double, at array<long>, w array<double>").first()
+    # An id may come in any number of documents, so the joined rows are bounded as well.
+    ordered = rows.select("text", "y", F.xxhash64("__id").alias("h"), "__id", F.xxhash64("text").alias("t")).orderBy("h", "__id", "y", "t").limit(max_fit)
+    got = ordered.select("text", "y").coalesce(1).mapInArrow(fit_rows, "bias double, at array<long>, w array<double>").first()
     if got is None:
         return 0.0, np.zeros(0, np.int64), np.zeros(0)
     return got.bias, np.array(got.at, np.int64), np.array(got.w)
@@ -126,8 +127,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], *, text_
 
 def drop_toxic(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows whose score is below the threshold, all columns kept."""
-    names = docs.columns
-    scored = score(docs.select(F.struct(*names).alias("__doc"), F.col(text_col).alias("__text")), model, text_col="__text", keep=("__doc",))
+    scored = score(docs.select(whole_rows(), F.col(text_col).alias("__text")), model, text_col="__text", keep=("__doc",))
     return scored.where(F.col("score") < threshold).select("__doc.*")
 
 
