@@ -1,14 +1,19 @@
-"""Gated recurrent language model with class-factored output.
+"""Gated recurrent language model with class-factored output softmax.
 
-The probability of a token is that of its class, given by a gated recurrent unit over the classes before it, times that
-of the token in its class, (count + 1) / (sum over the class). Counts are exact and from all training documents; the
-most frequent tokens are classes of their own, the others are classed by their last bytes, apart for the ``top`` most
-frequent ones and the rest. Each class of the rest has one place for tokens never seen, so the probabilities of all
-events sum to 1. The unit is trained in numpy by truncated backpropagation, in every partition on all its training
-documents; the weights are averaged over partitions, and that is repeated. A text is scored whole: the state is carried from window to window up to its end token.
+The most frequent tokens (``OWN`` at most) are words of their own: each has its own input vector, stands in a class of
+``MEMBERS`` words of like frequency, and its probability is the softmax of its class times the softmax of the word within
+the class, both from the state of a gated recurrent unit. All other tokens share classes by their last bytes, apart for
+the ``top`` most frequent ones and the rest; in such a class a token has its share of the counts, (count + 1) / (sum over
+the class), and the class is what the unit reads. Each class of the rest has one place for tokens never seen, so the
+probabilities of all events sum to 1.
 
-Tokens travel as XXH64 hashes. The table of the ``top`` tokens has a fixed size and is broadcast; counts of all others
-are joined, one row for a distinct rare token of a document.
+The unit is trained in numpy by truncated backpropagation on every training document once, in two rounds: a quarter of
+the documents, drawn by hash, then the others. In a round every partition starts from the same weights, and the average
+weighted by tokens is what the round gives; so results depend on how the table is partitioned, though not on the order in
+which tasks run. A text is scored whole: the state is carried from window to window up to its end token.
+
+Tokens travel as XXH64 hashes (two tokens with one hash would be counted as one). The table of the ``top`` tokens has a
+fixed size and is broadcast; counts of all others are joined, one row for a distinct rare token of a document.
 
 Defined results: a null or wordless text is just its end token; a null id is neither held out nor learned from; without
 training documents every token is unknown; repeated rows count and are scored each; an empty table gives an empty result.
@@ -16,6 +21,7 @@ training documents every token is unknown; repeated rows count and are scored ea
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -30,21 +36,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import byte_words, crc_mod, documents, slices, stored, struct, text_udf
+from .common import byte_words, crc_mod, documents, share, slices, stored, struct, text_udf
 
-#: Tokens whose counts are broadcast, tokens that are classes of their own, classes of endings (a quarter of them by hash).
-TOP, SINGLES, ENDINGS = 300_000, 48, 32
+#: Tokens whose counts are broadcast, words of their own, words in a class, classes of endings (a quarter of them by hash).
+TOP, OWN, MEMBERS, ENDINGS = 300_000, 2_048, 64, 24
 #: Tokens seen less often stand with the rest, so that training meets the classes in which unseen tokens will be.
 TWICE = 2
 HIDDEN = 24
-LANES, WINDOW, RATE, ROUNDS = 32, 16, 0.01, 2
+#: Streams that are read side by side in training and in scoring, steps of a window, tokens whose outputs are computed at once.
+LANES, SCORE_LANES, WINDOW, BLOCK = 128, 256, 32, 1 << 13
+RATE = 0.01
+#: Eighths of the training documents that each round learns from, from the first to below the second.
+ROUNDS = ((0, 2), (2, 8))
 SEED = 5
+#: Rows that averages of weights are gathered in.
+SLOTS = 8
 #: No word can be this, so its hash stands for the end of a text.
 END = b"\n"
 #: Distinct words that a task remembers at once.
 REMEMBERED = 400_000
-#: Bytes of text that are scored side by side.
-SIDE_BY_SIDE = 32 << 20
+#: Bytes of text that are read side by side.
+SIDE_BY_SIDE = 16 << 20
 
 
 def token_hash(word: bytes) -> int:
@@ -86,19 +98,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """What is known of tokens without a join: the frequent ones, and how classes are made up."""
+    """What is known of tokens without a join: the frequent ones, and how classes are made up.
+
+    Symbols are what the unit reads and predicts: places of words of their own (``members`` for each class), then classes
+    of endings; the symbol after the last one starts a text.
+    """
 
     tokens: int
     distinct: int
     hashes: np.ndarray  # of the top tokens, ascending
     counts: np.ndarray
-    classes: np.ndarray  # of the top tokens
+    symbols: np.ndarray  # of the top tokens
     groups: np.ndarray  # class of endings by ending
-    sizes: np.ndarray  # sum of (count + 1) by class, places for unseen tokens included
+    sizes: np.ndarray  # by class of endings: sum of (count + 1), places for unseen tokens included
+    own: np.ndarray  # counts by (class, member), 0 where a class is not full
 
     @property
-    def n_classes(self) -> int:
-        return len(self.sizes)
+    def places(self) -> int:
+        return self.own.size
+
+    @property
+    def n_symbols(self) -> int:
+        return self.own.size + len(self.sizes)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the top tokens, whether it is one)."""
@@ -116,7 +137,7 @@ def cut_off(counts: DataFrame, top: int) -> int:
     return found if found is not None else 1 << 62
 
 
-def vocabulary(counts: DataFrame, top: int = TOP, singles: int = SINGLES, endings: int = ENDINGS) -> tuple[Vocabulary, int]:
+def vocabulary(counts: DataFrame, top: int = TOP, own: int = OWN, members: int = MEMBERS, endings: int = ENDINGS) -> tuple[Vocabulary, int]:
     """The vocabulary of ``counts(h, e, c)`` and the count from which on a token is a top one."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     last = cut_off(counts, top)
@@ -126,31 +147,33 @@ def vocabulary(counts: DataFrame, top: int = TOP, singles: int = SINGLES, ending
     h, e, c = h[order], e[order], c[order]
     rest = counts.where(F.col("c") < last).groupBy("e").agg(F.sum(F.col("c") + 1).alias("mass")).toArrow()
     mass = np.zeros(1 << 16)
-    np.add.at(mass, e, c + 1)
+    np.add.at(mass, e[own:], c[own:] + 1)
     rest_mass = np.zeros(1 << 16)
     rest_mass[rest.column("e").to_numpy()] = rest.column("mass").to_numpy()
-    own = endings - endings // 4
-    groups = own + np.arange(1 << 16) % (endings // 4)
-    order = np.argsort(-(mass + rest_mass), kind="stable")[:own]
-    groups[order] = np.arange(own)
-    classes = np.where(np.arange(len(c)) < singles, np.arange(len(c)), singles + groups[e]).astype(np.int32)
-    sizes = np.zeros(singles + 2 * endings)
-    np.add.at(sizes, classes, c + 1.0)
-    np.add.at(sizes, singles + endings + groups, rest_mass)
-    sizes[singles + endings :] += 1
+    alone = endings - endings // 4
+    groups = alone + np.arange(1 << 16) % (endings // 4)
+    groups[np.argsort(-(mass + rest_mass), kind="stable")[:alone]] = np.arange(alone)
+    n_own = min(own, len(c))
+    table = np.zeros(-(-n_own // members) * members, np.int64)
+    table[:n_own] = c[:n_own]
+    symbols = np.where(np.arange(len(c)) < own, np.arange(len(c)), table.size + groups[e]).astype(np.int32)
+    sizes = np.zeros(2 * endings)
+    np.add.at(sizes, groups[e[own:]], c[own:] + 1.0)
+    np.add.at(sizes, endings + groups, rest_mass)
+    sizes[endings:] += 1
     sort = np.argsort(h.view(np.uint64))
-    return Vocabulary(tokens, distinct, h.view(np.uint64)[sort], c[sort], classes[sort], groups.astype(np.int32), sizes), last
+    return Vocabulary(tokens, distinct, h.view(np.uint64)[sort], c[sort], symbols[sort], groups.astype(np.int32), sizes, table.reshape(-1, members)), last
 
 
 class Words(dict):
-    """Numbers for the words a task has met, with their hashes, classes and top counts in arrays."""
+    """Numbers for the words a task has met, with their hashes, symbols and top counts in arrays."""
 
     def __init__(self, vocab: Vocabulary) -> None:
         super().__init__()
         self.vocab = vocab
         self.new: list[bytes] = []
         self.hash = np.zeros(0, np.uint64)
-        self.cls = np.zeros(0, np.int32)
+        self.symbol = np.zeros(0, np.int32)
         self.count = np.zeros(0, np.int64)  # -1: not a top token
 
     def __missing__(self, word: bytes) -> int:
@@ -167,11 +190,10 @@ class Words(dict):
             return
         v = self.vocab
         h = np.fromiter(map(token_hash, self.new), np.uint64, len(self.new))
-        group = v.groups[np.fromiter(map(ending, self.new), np.int64, len(self.new))]
+        rest = v.places + len(v.sizes) // 2 + v.groups[np.fromiter(map(ending, self.new), np.int64, len(self.new))]
         at, known = v.find(h)
-        rest = (v.n_classes - SINGLES) // 2 + SINGLES + group
-        cls, count = (np.where(known, v.classes[at], rest), np.where(known, v.counts[at], -1)) if len(v.hashes) else (rest, np.full(len(h), -1))
-        self.hash, self.cls, self.count = np.append(self.hash, h), np.append(self.cls, cls.astype(np.int32)), np.append(self.count, count)
+        symbol, count = (np.where(known, v.symbols[at], rest), np.where(known, v.counts[at], -1)) if len(v.hashes) else (rest, np.full(len(h), -1))
+        self.hash, self.symbol, self.count = np.append(self.hash, h), np.append(self.symbol, symbol.astype(np.int32)), np.append(self.count, count)
         self.new = []
 
 
@@ -185,26 +207,38 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Unit:
-    """A gated recurrent unit over classes; the class after the last one starts a text."""
+    """A gated recurrent unit over symbols with an output softmax over classes and one within each class of words."""
 
-    inp: np.ndarray  # (classes + 1, 3 hidden): gates r, z and candidate
+    inp: np.ndarray  # (symbols + 1, 3 hidden): gates r, z and candidate
     rec: np.ndarray  # (hidden, 3 hidden)
     out: np.ndarray  # (hidden, classes)
     bias: np.ndarray  # (classes)
+    inner: np.ndarray  # (classes of words, members, hidden)
+    inner_bias: np.ndarray  # (classes of words, members)
     moments: list = field(default_factory=list)
     steps: int = 0
 
     @staticmethod
-    def start(shares: np.ndarray, hidden: int = HIDDEN, seed: int = SEED) -> Unit:
-        """Small random weights; the output starts from the classes' shares of the training tokens."""
+    def start(vocab: Vocabulary, hidden: int = HIDDEN, seed: int = SEED) -> Unit:
+        """Small random weights; the outputs start from the shares of the training tokens."""
         rng = np.random.default_rng(seed)
-        n = len(shares)
-        draw = lambda *shape: rng.normal(0, 0.15, shape).astype(np.float32)
-        return Unit(draw(n + 1, 3 * hidden), draw(hidden, 3 * hidden), draw(hidden, n) * np.float32(0.1), np.log(np.maximum(shares, 1e-9)).astype(np.float32))
+        mass = np.append((vocab.own + (vocab.own > 0)).sum(axis=1), vocab.sizes)
+        draw = lambda spread, *shape: rng.normal(0, spread, shape).astype(np.float32)
+        # A member that is no word has no weight; exp() of so low a bias is 0.
+        within = np.where(vocab.own > 0, np.log(vocab.own + 1.0), -1e9).astype(np.float32)
+        within -= within.max(axis=1, keepdims=True, initial=0)
+        return Unit(
+            draw(0.15, vocab.n_symbols + 1, 3 * hidden),
+            draw(0.15, hidden, 3 * hidden),
+            draw(0.015, hidden, len(mass)),
+            np.log(np.maximum(mass / mass.sum(), 1e-9)).astype(np.float32),
+            draw(0.015, *vocab.own.shape, hidden),
+            within,
+        )
 
     @property
     def parts(self) -> list[np.ndarray]:
-        return [self.inp, self.rec, self.out, self.bias]
+        return [self.inp, self.rec, self.out, self.bias, self.inner, self.inner_bias]
 
     def vector(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
@@ -213,13 +247,32 @@ class Unit:
         ends = np.cumsum([p.size for p in self.parts])[:-1]
         return Unit(*(v.reshape(p.shape).astype(np.float32) for v, p in zip(np.split(vector, ends), self.parts, strict=True)))
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def step(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after h for inputs ``a``, rows of ``inp``, and what the way back needs."""
         k = h.shape[1]
-        a, g = self.inp[x], h @ self.rec
+        g = h @ self.rec
         gates = _sigmoid(a[:, : 2 * k] + g[:, : 2 * k])
         r, z = gates[:, :k], gates[:, k:]
-        n = np.tanh(a[:, 2 * k :] + r * g[:, 2 * k :])
-        return n + z * (h - n), r, z, n, g[:, 2 * k :]
+        n = r * g[:, 2 * k :]
+        n += a[:, 2 * k :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return after, r, z, n, g[:, 2 * k :]
+
+    def classes(self, symbols: np.ndarray) -> np.ndarray:
+        places, (n, members) = self.inner_bias.size, self.inner_bias.shape
+        return np.where(symbols < places, symbols // members, symbols - places + n)
+
+    def by_class(self, symbols: np.ndarray):
+        """(class, places of its words among the symbols) for each class of words that occurs."""
+        own = np.flatnonzero(symbols < self.inner_bias.size)
+        cls = symbols[own] // self.inner_bias.shape[1]
+        order = np.argsort(cls, kind="stable")
+        own, ends = own[order], np.cumsum(np.bincount(cls, minlength=len(self.inner)))
+        for c in np.flatnonzero(np.diff(ends, prepend=0)):
+            yield c, own[ends[c - 1] if c else 0 : ends[c]]
 
     def learn(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, rate: float = RATE) -> tuple[np.ndarray, float]:
         """One window (steps, lanes): forward from h, back through the window, one Adam step; the state after it and the loss."""
@@ -228,164 +281,222 @@ class Unit:
             self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parts]
         self.steps += 1
         scale = rate * math.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
-        for p, g, (m, v) in zip(self.parts, grads, self.moments, strict=True):
+        (rows, g), *dense = grads
+        np.clip(g, -0.25, 0.25, out=g)
+        m, v = self.moments[0]
+        # Of the input vectors only those that the window has read move.
+        m[rows] = m_rows = 0.9 * m[rows] + 0.1 * g
+        v[rows] = v_rows = 0.999 * v[rows] + 0.001 * (g * g)
+        self.inp[rows] -= scale * m_rows / (np.sqrt(v_rows) + 1e-8)
+        for p, g, (m, v) in zip(self.parts[1:], dense, self.moments[1:], strict=True):
             np.clip(g, -0.25, 0.25, out=g)
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= scale * m / (np.sqrt(v) + 1e-8)
         # Bounded output weights keep exp() of the logits finite.
         np.clip(self.out, -3, 3, out=self.out)
+        np.clip(self.inner, -3, 3, out=self.inner)
         return h, loss
 
-    def gradients(self, x, y, fresh, h) -> tuple[list[np.ndarray], float, np.ndarray]:
+    def gradients(self, x, y, fresh, h) -> tuple[list, float, np.ndarray]:
+        """Gradients of the mean loss over a window in which y of -1 is no token; those of ``inp`` as (rows, values)."""
         k, (steps, lanes) = h.shape[1], x.shape
+        a, some = self.inp[x], fresh.any(axis=1)
         kept = []
         for t in range(steps):
-            h = h * ~fresh[t][:, None]
+            if some[t]:
+                h = h * ~fresh[t][:, None]
             before = h
-            h, r, z, n, gn = self.step(x[t], h)
+            h, r, z, n, gn = self.step(a[t], h)
             kept.append((before, h, r, z, n, gn))
-        states = np.concatenate([s[1] for s in kept])
-        p = np.exp(states @ self.out + self.bias)
+        flat = y.ravel()
+        real = np.flatnonzero(flat >= 0)
+        states, symbols, rows, total = np.concatenate([s[1] for s in kept])[real], flat[real], np.arange(len(real)), max(len(real), 1)
+        p, cls = np.exp(states @ self.out + self.bias), self.classes(symbols)
         p /= p.sum(axis=1, keepdims=True)
-        flat, rows = y.ravel(), np.arange(y.size)
-        loss = -float(np.log(np.maximum(p[rows, flat], 1e-30)).mean())
-        p[rows, flat] -= 1
-        p /= y.size
-        d_out, d_bias = states.T @ p, p.sum(axis=0)
-        d_states = (p @ self.out.T).reshape(steps, lanes, k)
-        d_inp, d_rec, back = np.zeros_like(self.inp), np.zeros_like(self.rec), np.zeros((lanes, k), np.float32)
+        loss = -float(np.log(np.maximum(p[rows, cls], 1e-30)).sum())
+        p[rows, cls] -= 1
+        p /= total
+        d_out, d_bias, d_real = states.T @ p, p.sum(axis=0), p @ self.out.T
+        d_inner, d_inner_bias = np.zeros_like(self.inner), np.zeros_like(self.inner_bias)
+        for c, at in self.by_class(symbols):
+            s, member = states[at], (np.arange(len(at)), symbols[at] % self.inner_bias.shape[1])
+            q = np.exp(s @ self.inner[c].T + self.inner_bias[c])
+            q /= q.sum(axis=1, keepdims=True)
+            loss -= float(np.log(np.maximum(q[member], 1e-30)).sum())
+            q[member] -= 1
+            q /= total
+            d_inner[c], d_inner_bias[c] = q.T @ s, q.sum(axis=0)
+            d_real[at] += q @ self.inner[c]
+        d_states = np.zeros((steps * lanes, k), d_real.dtype)
+        d_states[real] = d_real
+        d_states = d_states.reshape(steps, lanes, k)
+        da, dg, back = np.empty((steps, lanes, 3 * k), a.dtype), np.empty((steps, lanes, 3 * k), a.dtype), np.zeros((lanes, k), a.dtype)
         for t in range(steps - 1, -1, -1):
             before, _, r, z, n, gn = kept[t]
             d = d_states[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            da = np.concatenate([dr, dz, dn], axis=1)
-            np.add.at(d_inp, x[t], da)
-            dg = np.concatenate([dr, dz, dn * r], axis=1)
-            d_rec += before.T @ dg
-            back = (d * z + dg @ self.rec.T) * ~fresh[t][:, None]
-        return [d_inp, d_rec, d_out, d_bias], loss, h
-
-    def score(self, texts: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
-        """Natural log likelihood of each class sequence (at least one long), side by side, the state carried to each text's end."""
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        lengths = np.array([len(texts[i]) for i in order])
-        ends = np.cumsum(lengths)
-        begins = ends - lengths
-        flat = np.concatenate([texts[i] for i in order]) if order else np.zeros(0, np.int32)
-        total = np.zeros(len(texts))
-        h = np.zeros((len(texts), self.rec.shape[0]), np.float32)
-        x = np.full(len(texts), self.out.shape[1], np.int32)
-        t, live = 0, len(texts)
-        while live:
-            states, targets, widths = [], [], []
-            # As many steps as make a block of work, at least one.
-            while live and sum(widths) < 8192 and len(widths) < max(window, 512):
-                h = self.step(x[:live], h[:live])[0]
-                x = flat[begins[:live] + t]
+            dz_ = d * z
+            dn = (d - dz_) * (1 - n * n)
+            da[t, :, 2 * k :] = dn
+            dg[t, :, 2 * k :] = dn * r
+            da[t, :, k : 2 * k] = (before - n) * dz_ * (1 - z)
+            da[t, :, :k] = dn * gn * r * (1 - r)
+            dg[t, :, : 2 * k] = da[t, :, : 2 * k]
+            back = dz_ + dg[t] @ self.rec.T
+            if some[t]:
+                back *= ~fresh[t][:, None]
+        order = np.argsort(x, axis=None, kind="stable")
+        ordered = x.ravel()[order]
+        starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+        d_inp = np.add.reduceat(da.reshape(-1, 3 * k)[order], starts, axis=0)
+        d_rec = np.concatenate([s[0] for s in kept]).T @ dg.reshape(-1, 3 * k)
+        return [(ordered[starts], d_inp), d_rec, d_out, d_bias, d_inner, d_inner_bias], loss / total, h
+
+    def log_odds(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Natural log probability of each symbol after its state."""
+        logits = states @ self.out
+        logits += self.bias
+        got = logits[np.arange(len(symbols)), self.classes(symbols)].astype(np.float64)
+        got -= np.log(np.exp(logits, out=logits).sum(axis=1))
+        for c, at in self.by_class(symbols):
+            logits = states[at] @ self.inner[c].T
+            logits += self.inner_bias[c]
+            got[at] += logits[np.arange(len(at)), symbols[at] % self.inner_bias.shape[1]]
+            got[at] -= np.log(np.exp(logits, out=logits).sum(axis=1))
+        return got
+
+    def score(self, texts: list[np.ndarray], lanes: int = SCORE_LANES) -> np.ndarray:
+        """Natural log likelihood of each sequence of symbols (at least one long).
+
+        Whole texts queue up in lanes that are read side by side; a text starts from the zero state, and the state is
+        carried to its end.
+        """
+        if not texts:
+            return np.zeros(0)
+        lengths = np.array([len(t) for t in texts])
+        lanes = max(1, min(lanes, len(texts), int(lengths.sum() // lengths.max())))
+        loads, queues = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
+        for i in np.argsort(-lengths, kind="stable"):
+            load, lane = heapq.heappop(loads)
+            queues[lane].append(i)
+            heapq.heappush(loads, (load + int(lengths[i]), lane))
+        queues.sort(key=lambda q: -int(lengths[q].sum()))
+        ends = np.array([int(lengths[q].sum()) for q in queues])
+        y, fresh = np.zeros((ends[0], lanes), np.int32), np.zeros((ends[0], lanes), bool)
+        for lane, queue in enumerate(queues):
+            y[: ends[lane], lane] = np.concatenate([texts[i] for i in queue])
+            fresh[np.append(0, np.cumsum(lengths[queue])[:-1]), lane] = True
+        some, logs = fresh.any(axis=1), np.zeros(y.shape)
+        h, start = np.zeros((lanes, self.rec.shape[0]), np.float32), len(self.inp) - 1
+        t = 0
+        while t < ends[0]:
+            live = int(np.searchsorted(-ends, -t, side="left"))
+            stop = min(int(ends[live - 1]), t + max(1, BLOCK // live))
+            states, h = [], h[:live]
+            for u in range(t, stop):
+                x = np.where(fresh[u, :live], start, y[u - 1, :live]) if some[u] else y[u - 1, :live]
+                if some[u]:
+                    h = h * ~fresh[u, :live, None]
+                h = self.step(self.inp[x], h)[0]
                 states.append(h)
-                targets.append(x)
-                widths.append(live)
-                t += 1
-                live = int(np.searchsorted(-lengths, -t, side="left"))
-            s, y = np.concatenate(states), np.concatenate(targets)
-            logits = s @ self.out
-            logits += self.bias
-            picked = logits[np.arange(len(y)), y]
-            np.exp(logits, out=logits)
-            got = picked.astype(np.float64) - np.log(logits.sum(axis=1, dtype=np.float32))
-            at = 0
-            for w in widths:
-                total[:w] += got[at : at + w]
-                at += w
+            logs[t:stop, :live] = self.log_odds(np.concatenate(states), y[t:stop, :live].ravel()).reshape(-1, live)
+            t = stop
         result = np.zeros(len(texts))
-        result[order] = total
+        for lane, queue in enumerate(queues):
+            result[queue] = np.add.reduceat(logs[: ends[lane], lane], np.append(0, np.cumsum(lengths[queue])[:-1]))
         return result
 
 
 def _streams(texts: list[np.ndarray], start: int, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts end to end in equal lanes: (class before, class, whether a text starts), each (steps, lanes)."""
+    """All texts end to end in equal lanes: (symbol before, symbol, whether a text starts), each (steps, lanes).
+
+    Small parts are read in fewer lanes, so that they make more windows. Behind the last text symbols are -1.
+    """
     y = np.concatenate(texts)
     fresh = np.zeros(len(y), bool)
     fresh[np.cumsum([0, *map(len, texts[:-1])])] = True
     x = np.append(start, y[:-1]).astype(np.int32)
     x[fresh] = start
-    lanes = min(lanes, len(y))
-    n = len(y) // lanes
-    return tuple(a[: n * lanes].reshape(lanes, n).T for a in (x, y, fresh))
+    lanes = max(1, min(lanes, max(len(y) // 4096, 16), len(y)))
+    n = -(-len(y) // lanes)
+    fill = lambda a, v: np.append(a, np.full(n * lanes - len(y), v, a.dtype)).reshape(lanes, n).T
+    return fill(x, start), fill(y.astype(np.int32), -1), fill(fresh, False)
 
 
-def _class_texts(texts: list[bytes], words: Words) -> list[np.ndarray]:
+def _symbol_texts(texts: list[bytes], words: Words) -> list[np.ndarray]:
     numbers = [words.numbers([*byte_words(t), END]) for t in texts]
     words.settle()
-    return [words.cls[n] for n in numbers]
+    return [words.symbol[n] for n in numbers]
 
 
 def _train_task(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, unit, rate = shared.value
-        unit = unit.filled(unit.vector())
+        vocab, unit, rate = shared()
         words, n = Words(vocab), 0
         for b in batches:
             for texts in slices(b.column(0), SIDE_BY_SIDE):
-                x, y, fresh = _streams(_class_texts(texts, words), vocab.n_classes, LANES)
+                x, y, fresh = _streams(_symbol_texts(texts, words), vocab.n_symbols, LANES)
                 h = np.zeros((x.shape[1], HIDDEN), np.float32)
                 for t in range(0, len(x), WINDOW):
                     h, _ = unit.learn(x[t : t + WINDOW], y[t : t + WINDOW], fresh[t : t + WINDOW], h, rate)
-                n += y.size
+                n += int((y >= 0).sum())
                 if len(words) > REMEMBERED:
                     words = Words(vocab)
         if n:
-            slot = TaskContext.get().partitionId() % 64
-            weighted = (unit.vector().astype(np.float64) * n).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([n]), pa.array([weighted], pa.binary())], names=["slot", "n", "v"])
+            slot = TaskContext.get().partitionId() % SLOTS
+            yield pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([n]), pa.array([unit.vector().tobytes()], pa.binary())], names=["slot", "n", "v"])
 
     return run
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(v.as_py(), np.float64) for v in table.column("v"))
-    n = sum(table.column("n").to_pylist())
-    return pa.table({"n": pa.array([n], pa.int64()), "v": pa.array([total.tobytes()], pa.binary())})
-
-
-def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Unit:
-    """The unit after some rounds over ``texts(text)``, each started in every partition from the last round's average."""
-    unit = Unit.start(vocab.sizes / vocab.sizes.sum())
-    for i in range(rounds):
-        shared = texts.sparkSession.sparkContext.broadcast((vocab, unit, RATE / (1 + i)))
-        trained = texts.mapInArrow(_train_task(shared), "slot long, n long, v binary")
+def _add_up(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums over a slot's rows of n and of weights times n, added one row after another."""
+    total, n = 0.0, 0
+    for b in batches:
+        for m, v in zip(b.column("n").to_pylist(), b.column("v"), strict=True):
+            total, n = total + m * np.frombuffer(v.as_py(), np.float32).astype(np.float64), n + m
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "v"])
+
+
+def train(texts: DataFrame, vocab: Vocabulary, rounds: tuple = ROUNDS) -> Unit:
+    """The unit after the rounds over ``texts(text)``, each started in every partition from the last round's average."""
+    unit = Unit.start(vocab)
+    part = F.pmod(F.xxhash64(texts.columns[0]), F.lit(8))
+    for i, (low, high) in enumerate(rounds):
+        shared = share(texts.sparkSession, (vocab, unit, RATE / (1 + i)))
+        trained = texts.where((part >= low) & (part < high)).mapInArrow(_train_task(shared), "slot long, n long, v binary")
         rows = trained.groupBy("slot").applyInArrow(_add_up, "n long, v binary").collect()
-        if not rows:
-            break
-        unit = unit.filled(sum(np.frombuffer(bytes(r.v), np.float64) for r in rows) / sum(r.n for r in rows))
+        if rows:
+            unit = unit.filled(sum(np.frombuffer(bytes(r.v), np.float64) for r in rows) / sum(r.n for r in rows))
     return unit
 
 
-PARTS = struct(n_tokens=T.LongType(), n_top=T.LongType(), top_logs=T.DoubleType(), class_logs=T.DoubleType(), rare=T.ArrayType(T.LongType()), times=T.ArrayType(T.IntegerType()))
+PARTS = struct(
+    n_tokens=T.LongType(), n_top=T.LongType(), top_logs=T.DoubleType(), rest_logs=T.DoubleType(), unit_logs=T.DoubleType(), rare=T.ArrayType(T.LongType()), times=T.ArrayType(T.IntegerType())
+)
 
 
 def parts_udf(shared):
-    """Text to PARTS: what of its scores follows from the top tokens and classes, and its other tokens with their numbers."""
+    """Text to PARTS: what of its scores follows from the top tokens and the unit, and its other tokens with their numbers."""
 
     def make():
-        vocab, unit = shared.value
+        vocab, unit = shared()
         state = {"words": Words(vocab)}
-        log_sizes = np.log10(np.maximum(vocab.sizes, 1))
+        log_sizes = np.append(np.zeros(vocab.places), np.log10(np.maximum(vocab.sizes, 1)))
 
         def kernel(texts: list[bytes]) -> list:
             words = state["words"]
             numbers = [words.numbers([*byte_words(t), END]) for t in texts]
             words.settle()
-            class_texts = [words.cls[n] for n in numbers]
-            logs = unit.score(class_texts) / math.log(10)
+            symbol_texts = [words.symbol[n] for n in numbers]
+            unit_logs = unit.score(symbol_texts) / math.log(10)
             out: list[list] = [[] for _ in PARTS]
-            top_log = np.where(words.count >= 0, np.log10(words.count + 1.0, where=words.count >= 0, out=np.zeros(len(words.count))), 0.0)
-            for n, cls, log in zip(numbers, class_texts, logs, strict=True):
-                far, times = np.unique(n[words.count[n] < 0], return_counts=True)
-                values = (len(n), len(n) - int(times.sum()), float(top_log[n].sum()), float(log - log_sizes[cls].sum()), words.hash[far].view(np.int64), times.astype(np.int32))
+            top_log = np.log10(np.maximum(words.count, 0) + 1.0)
+            rest_log = np.where(words.symbol < vocab.places, 0.0, top_log) - log_sizes[words.symbol]
+            far_word = words.count < 0
+            for n, log in zip(numbers, unit_logs, strict=True):
+                far, times = np.unique(n[far_word[n]], return_counts=True)
+                values = (len(n), len(n) - int(times.sum()), float(top_log[n].sum()), float(rest_log[n].sum()), float(log), words.hash[far].view(np.int64), times.astype(np.int32))
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             if len(words) > REMEMBERED:
@@ -403,7 +514,7 @@ def score(docs: DataFrame, training: DataFrame, *, text_col: str = "text", id_co
     counts = stored(counted.groupBy("h").agg(F.min("e").alias("e"), F.sum("n").alias("c")), "counts")
     vocab, last = vocabulary(counts, top)
     unit = train(training.select(text_col), vocab)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, unit))
+    shared = share(docs.sparkSession, (vocab, unit))
     read = docs.select(F.col(id_col).alias("doc_id"), parts_udf(shared)(F.col(text_col)).alias("r"))
     parts = stored(read.select("doc_id", "r.*", F.monotonically_increasing_id().alias("key")), "parts")
     rare = parts.select("key", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("key", F.col("z.rare").alias("rare"), F.col("z.times").alias("times"))
@@ -412,15 +523,15 @@ def score(docs: DataFrame, training: DataFrame, *, text_col: str = "text", id_co
     sums = joined.groupBy(F.col("key").alias("k")).agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rare_logs"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("rare_known")
     )
-    whole = parts.select("key", "doc_id", "n_tokens", "n_top", "top_logs", "class_logs").join(sums, F.col("key") == F.col("k"), "left")
-    logs = F.col("top_logs") + F.coalesce("rare_logs", F.lit(0.0))
+    whole = parts.select("key", "doc_id", "n_tokens", "n_top", "top_logs", "rest_logs", "unit_logs").join(sums, F.col("key") == F.col("k"), "left")
+    rare_logs = F.coalesce("rare_logs", F.lit(0.0))
     return whole.select(
         "doc_id",
         "n_tokens",
         (F.col("n_top") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(math.log10(vocab.tokens + vocab.distinct + 1))).alias("base_score"),
-        (logs + F.col("class_logs")).alias("score"),
+        (F.col("top_logs") + rare_logs - F.col("n_tokens") * F.lit(math.log10(vocab.tokens + vocab.distinct + 1))).alias("base_score"),
+        (F.col("unit_logs") + F.col("rest_logs") + rare_logs).alias("score"),
     )
 
 

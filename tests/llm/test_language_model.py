@@ -10,15 +10,34 @@ from keyloom.llm import language_model as lm
 SF = "/root/testdata/sf0.001"
 
 
+def small(rng=None, classes=2, members=3, rest=2, hidden=4):
+    """A unit over few symbols; its places, if ``rng`` is given, are drawn in double precision."""
+    vocab = lm.Vocabulary(0, 0, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int32), np.zeros(0), np.full(rest, 5.0), np.full((classes, members), 7))
+    unit = lm.Unit.start(vocab, hidden=hidden)
+    return unit if rng is None else lm.Unit(*(rng.normal(0, 0.5, p.shape) for p in unit.parts))
+
+
+def plain_log_odds(unit, h, y):
+    z = (h @ unit.out + unit.bias).astype(float)
+    places, members = unit.inner_bias.size, unit.inner_bias.shape[1]
+    c = y // members if y < places else len(unit.inner) + y - places
+    got = z[c] - np.log(np.exp(z).sum())
+    if y < places:
+        z = (unit.inner[c] @ h + unit.inner_bias[c]).astype(float)
+        got += z[y % members] - np.log(np.exp(z).sum())
+    return got
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
-    unit = lm.Unit.start(np.full(6, 1 / 6), hidden=4)
-    unit = lm.Unit(*(rng.normal(0, 0.5, p.shape) for p in unit.parts))
-    x, y, fresh = rng.integers(0, 7, (5, 3)), rng.integers(0, 6, (5, 3)), rng.random((5, 3)) < 0.3
+    unit = small(rng)
+    x, y, fresh = rng.integers(0, 9, (5, 3)), rng.integers(-1, 8, (5, 3)), rng.random((5, 3)) < 0.3
     h = rng.normal(0, 0.5, (3, 4))
-    grads, _, _ = unit.gradients(x, y, fresh, h)
-    for p, g in zip(unit.parts, grads, strict=True):
-        for i in list(np.ndindex(p.shape))[::7]:
+    (rows, g_inp), *grads = unit.gradients(x, y, fresh, h)[0]
+    whole = np.zeros_like(unit.inp)
+    whole[rows] = g_inp
+    for p, g in zip(unit.parts, [whole, *grads], strict=True):
+        for i in list(np.ndindex(p.shape))[::3]:
             old, eps = p[i], 1e-5
             p[i] = old + eps
             up = unit.gradients(x, y, fresh, h)[1]
@@ -30,50 +49,70 @@ def test_gradients_match_differences():
 
 def test_scores_side_by_side_are_those_of_single_texts():
     rng = np.random.default_rng(2)
-    unit = lm.Unit.start(np.full(9, 1 / 9), hidden=5)
-    texts = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 40, 7, 7, 900, 1)]
-    got = unit.score(texts)
-    for t, score in zip(texts, got, strict=True):
-        h, x, total = np.zeros((1, 5), np.float32), 9, 0.0
-        for y in t:
-            h = unit.step(np.array([x]), h)[0]
-            z = (h @ unit.out + unit.bias)[0].astype(float)
-            total += z[y] - np.log(np.exp(z).sum())
-            x = y
-        assert math.isclose(score, total, rel_tol=1e-4)
+    unit = small(hidden=5)
+    unit = unit.filled(rng.normal(0, 0.5, unit.vector().shape))
+    texts = [rng.integers(0, 8, n).astype(np.int32) for n in (1, 40, 7, 7, 900, 1, 33, 900, 2000, 5)]
+    for lanes in (1, 3, 256):
+        for t, score in zip(texts, unit.score(texts, lanes), strict=True):
+            h, x, total = np.zeros((1, 5), np.float32), 8, 0.0
+            for y in t:
+                h = unit.step(unit.inp[[x]], h)[0]
+                total += plain_log_odds(unit, h[0], y)
+                x = y
+            assert math.isclose(score, total, rel_tol=1e-4)
+
+
+def test_all_events_sum_to_one():
+    unit = small()
+    unit = unit.filled(np.random.default_rng(3).normal(0, 0.5, unit.vector().shape))
+    h = np.random.default_rng(4).normal(0, 0.5, (1, 4)).astype(np.float32)
+    assert math.isclose(np.exp(unit.log_odds(np.repeat(h, 8, axis=0), np.arange(8))).sum(), 1, rel_tol=1e-5)
 
 
 def test_training_lowers_the_loss():
-    unit = lm.Unit.start(np.full(4, 0.25))
-    y = np.tile(np.array([[0], [1], [2], [3]], np.int32), (8, 4))
-    x = np.vstack([np.full((1, 4), 4, np.int32), y[:-1]])
+    unit = small(hidden=lm.HIDDEN)
+    y = np.tile(np.array([[0], [4], [6], [3]], np.int32), (8, 4))
+    x = np.vstack([np.full((1, 4), 8, np.int32), y[:-1]])
     fresh, h, losses = np.zeros(y.shape, bool), np.zeros((4, lm.HIDDEN), np.float32), []
-    for _ in range(200):
+    for _ in range(300):
         h, loss = unit.learn(x, y, fresh, h)
         losses.append(loss)
     assert losses[-1] < 0.1 * losses[0]
 
 
+def test_no_token_is_left_out_of_training():
+    texts = [np.arange(n, dtype=np.int32) for n in (5, 1, 70, 3)]
+    for lanes in (1, 4, 16, 128):
+        x, y, fresh = lm._streams(texts, 99, lanes)
+        flat = y.T.ravel()
+        assert flat[flat >= 0].tolist() == np.concatenate(texts).tolist()
+        firsts = fresh.T.ravel()
+        assert firsts.sum() == 4 and (flat[firsts] == 0).all() and (x.T.ravel()[firsts] == 99).all()
+
+
 def test_vocabulary_sums_to_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     counts = docs.select("text").mapInArrow(lm._count, "h long, e int, n long").groupBy("h").agg({"e": "min", "n": "sum"}).toDF("h", "e", "c")
-    vocab, last = lm.vocabulary(counts, top=500)
+    vocab, last = lm.vocabulary(counts, top=500, own=100, members=16)
     rows = counts.collect()
-    mass = np.zeros(vocab.n_classes)
-    words = lm.Words(vocab)
-    top = {int(h): (c, k) for h, c, k in zip(vocab.hashes, vocab.counts, vocab.classes, strict=True)}
+    top = {int(h): (c, k) for h, c, k in zip(vocab.hashes, vocab.counts, vocab.symbols, strict=True)}
     assert len(top) == sum(r.c >= last for r in rows) <= 500 < sum(r.c >= last - 1 for r in rows)
+    sizes, own = np.zeros(len(vocab.sizes)), np.zeros(vocab.own.size)
     for r in rows:
         h = r.h & (1 << 64) - 1
-        k = top[h][1] if h in top else lm.SINGLES + lm.ENDINGS + vocab.groups[r.e]
-        mass[k] += r.c + 1
-    mass[lm.SINGLES + lm.ENDINGS :] += 1
-    assert np.allclose(mass, vocab.sizes) and vocab.tokens == sum(r.c for r in rows) and not words
+        k = top[h][1] if h in top else vocab.places + lm.ENDINGS + vocab.groups[r.e]
+        if k < vocab.places:
+            own[k] = r.c
+        else:
+            sizes[k - vocab.places] += r.c + 1
+    sizes[lm.ENDINGS :] += 1
+    assert np.allclose(sizes, vocab.sizes) and (own == vocab.own.ravel()).all() and (own > 0).sum() == 100
+    assert min(own[own > 0]) >= max(c for c, k in top.values() if k >= vocab.places)
+    assert vocab.tokens == sum(r.c for r in rows) and not lm.Words(vocab)
 
 
 @pytest.mark.parametrize("top", [lm.TOP, 300])
-def test_base_columns_match_plain_counts(spark, top, monkeypatch):
-    monkeypatch.setattr(lm, "ROUNDS", 1)
+def test_base_columns_match_plain_counts(spark, top):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
@@ -106,13 +145,16 @@ def test_rows_of_every_kind(spark):
     assert lm.score(empty, empty).count() == 0
 
 
-def test_unit_learns_from_all_training_documents(spark, monkeypatch):
-    seen = []
+def test_unit_learns_from_each_training_document_once(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('some words ', id) AS text")
+    part = lm.F.pmod(lm.F.xxhash64("text"), lm.F.lit(8))
+    seen = [docs.where((part >= low) & (part < high)).count() for low, high in lm.ROUNDS]
+    assert sum(seen) == 4000 and min(seen) > 800
+    got = []
 
     def train(texts, vocab):
-        seen.append(texts.count())
-        return lm.Unit.start(vocab.sizes / vocab.sizes.sum())
+        got.append(texts.count())
+        return lm.Unit.start(vocab)
 
     monkeypatch.setattr(lm, "train", train)
-    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('some words ', id % 50) AS text")
-    assert lm.score(docs, docs).count() == 4000 and seen == [4000]
+    assert lm.score(docs, docs).count() == 4000 and got == [4000]
