@@ -48,13 +48,25 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     for start in range(0, total, BLOCK):
         part = words[start : start + BLOCK + shingle - 1]
         grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-        hashes = np.fromiter(map(digest, grams), dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        full = len(bits) // 255 * 255
-        ones += bits[:full].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[full:].sum(axis=0, dtype=np.int64)
+        ones += _ones(np.fromiter(map(digest, grams), dtype="<u8"))
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    full = len(bits) // 255 * 255
+    return bits[:full].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[full:].sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashed shingles; 0 of none."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), BLOCK):
+        ones += _ones(hashes[start : start + BLOCK])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint_udf(shingle: int = SHINGLE, seed: int = SEED):
     """Text column to struct<bits: long>, the fingerprint's 64 bits as a signed number."""
 
