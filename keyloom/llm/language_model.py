@@ -43,8 +43,8 @@ TOP, OWN, MEMBERS, ENDINGS = 300_000, 2_048, 64, 24
 #: Tokens seen less often stand with the rest, so that training meets the classes in which unseen tokens will be.
 TWICE = 2
 HIDDEN = 24
-#: Streams that are read side by side in training and in scoring, steps of a window, tokens whose outputs are computed at once.
-LANES, SCORE_LANES, WINDOW, BLOCK = 128, 256, 32, 1 << 13
+#: Streams that are read side by side in training and in scoring, steps of a window, tokens that are scored in one block, and whose outputs are computed at once.
+LANES, SCORE_LANES, WINDOW, BLOCK, PART = 128, 256, 32, 1 << 13, 1 << 10
 RATE = 0.01
 #: Eighths of the training documents that each round learns from, from the first to below the second.
 ROUNDS = ((0, 2), (2, 8))
@@ -198,11 +198,22 @@ class Words(dict):
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.multiply(x, 0.5, out=x)
-    np.tanh(x, out=x)
+    """In place; exp() may overflow to infinity, which gives 0."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
     x += 1
-    x *= 0.5
-    return x
+    return np.reciprocal(x, out=x)
+
+
+class Buffers(dict):
+    """Arrays that are used again from one window to the next, as memory for new ones is what small steps would wait for."""
+
+    def get(self, name: str, shape: tuple[int, ...], dtype) -> np.ndarray:
+        size = math.prod(shape)
+        held = super().get(name)
+        if held is None or held.size < size or held.dtype != dtype:
+            held = self[name] = np.empty(size, dtype)
+        return held[:size].reshape(shape)
 
 
 @dataclass
@@ -217,6 +228,7 @@ class Unit:
     inner_bias: np.ndarray  # (classes of words, members)
     moments: list = field(default_factory=list)
     steps: int = 0
+    buffers: Buffers = field(default_factory=Buffers)
 
     @staticmethod
     def start(vocab: Vocabulary, hidden: int = HIDDEN, seed: int = SEED) -> Unit:
@@ -247,19 +259,21 @@ class Unit:
         ends = np.cumsum([p.size for p in self.parts])[:-1]
         return Unit(*(v.reshape(p.shape).astype(np.float32) for v, p in zip(np.split(vector, ends), self.parts, strict=True)))
 
-    def step(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The state after h for inputs ``a``, rows of ``inp``, and what the way back needs."""
-        k = h.shape[1]
-        g = h @ self.rec
-        gates = _sigmoid(a[:, : 2 * k] + g[:, : 2 * k])
-        r, z = gates[:, :k], gates[:, k:]
-        n = r * g[:, 2 * k :]
+    def step(self, a: np.ndarray, h: np.ndarray, out: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """The state after h for inputs ``a``, rows of ``inp``; into ``out``, (gates, candidate, its recurrent part, state), if given."""
+        k, lanes = h.shape[1], len(h)
+        gates, n, gn, after = out or (np.empty((lanes, w), h.dtype) for w in (2 * k, k, k, k))
+        g = np.matmul(h, self.rec, out=self.buffers.get("g", (lanes, 3 * k), h.dtype))
+        np.add(a[:, : 2 * k], g[:, : 2 * k], out=gates)
+        _sigmoid(gates)
+        gn[:] = g[:, 2 * k :]
+        np.multiply(gates[:, :k], gn, out=n)
         n += a[:, 2 * k :]
         np.tanh(n, out=n)
-        after = h - n
-        after *= z
+        np.subtract(h, n, out=after)
+        after *= gates[:, k:]
         after += n
-        return after, r, z, n, g[:, 2 * k :]
+        return after
 
     def classes(self, symbols: np.ndarray) -> np.ndarray:
         places, (n, members) = self.inner_bias.size, self.inner_bias.shape
@@ -267,7 +281,7 @@ class Unit:
 
     def by_class(self, symbols: np.ndarray):
         """(class, places of its words among the symbols) for each class of words that occurs."""
-        own = np.flatnonzero(symbols < self.inner_bias.size)
+        own = np.flatnonzero((symbols >= 0) & (symbols < self.inner_bias.size))
         cls = symbols[own] // self.inner_bias.shape[1]
         order = np.argsort(cls, kind="stable")
         own, ends = own[order], np.cumsum(np.bincount(cls, minlength=len(self.inner)))
@@ -300,69 +314,108 @@ class Unit:
 
     def gradients(self, x, y, fresh, h) -> tuple[list, float, np.ndarray]:
         """Gradients of the mean loss over a window in which y of -1 is no token; those of ``inp`` as (rows, values)."""
-        k, (steps, lanes) = h.shape[1], x.shape
-        a, some = self.inp[x], fresh.any(axis=1)
-        kept = []
+        k, (steps, lanes), kind = h.shape[1], x.shape, self.inp.dtype
+        room = lambda name, width: self.buffers.get(name, (steps, lanes, width), kind)
+        a, gates, n, gn, states, before = (room(name, w) for name, w in (("a", 3 * k), ("rz", 2 * k), ("cand", k), ("part", k), ("states", k), ("before", k)))
+        np.take(self.inp, x, axis=0, out=a, mode="clip")
+        going = None if not fresh.any() else (~fresh).astype(kind)[:, :, None]
         for t in range(steps):
-            if some[t]:
-                h = h * ~fresh[t][:, None]
-            before = h
-            h, r, z, n, gn = self.step(a[t], h)
-            kept.append((before, h, r, z, n, gn))
-        flat = y.ravel()
-        real = np.flatnonzero(flat >= 0)
-        states, symbols, rows, total = np.concatenate([s[1] for s in kept])[real], flat[real], np.arange(len(real)), max(len(real), 1)
-        p, cls = np.exp(states @ self.out + self.bias), self.classes(symbols)
-        p /= p.sum(axis=1, keepdims=True)
-        loss = -float(np.log(np.maximum(p[rows, cls], 1e-30)).sum())
-        p[rows, cls] -= 1
-        p /= total
-        d_out, d_bias, d_real = states.T @ p, p.sum(axis=0), p @ self.out.T
-        d_inner, d_inner_bias = np.zeros_like(self.inner), np.zeros_like(self.inner_bias)
-        for c, at in self.by_class(symbols):
-            s, member = states[at], (np.arange(len(at)), symbols[at] % self.inner_bias.shape[1])
-            q = np.exp(s @ self.inner[c].T + self.inner_bias[c])
-            q /= q.sum(axis=1, keepdims=True)
-            loss -= float(np.log(np.maximum(q[member], 1e-30)).sum())
-            q[member] -= 1
-            q /= total
-            d_inner[c], d_inner_bias[c] = q.T @ s, q.sum(axis=0)
-            d_real[at] += q @ self.inner[c]
-        d_states = np.zeros((steps * lanes, k), d_real.dtype)
-        d_states[real] = d_real
+            if going is None:
+                before[t] = h
+            else:
+                np.multiply(h, going[t], out=before[t])
+            h = self.step(a[t], before[t], (gates[t], n[t], gn[t], states[t]))
+        h = h.copy()
+        flat, every = y.ravel(), states.reshape(-1, k)
+        total = max(int((flat >= 0).sum()), 1)
+        d_states, loss, outer = self._outputs(every, flat, total)
         d_states = d_states.reshape(steps, lanes, k)
-        da, dg, back = np.empty((steps, lanes, 3 * k), a.dtype), np.empty((steps, lanes, 3 * k), a.dtype), np.zeros((lanes, k), a.dtype)
+        da, dg = room("da", 3 * k), room("dg", 3 * k)
+        back, d, dn = (self.buffers.get(name, (lanes, k), kind) for name in ("back", "d", "dn"))
+        back[:] = 0
+        rec = np.ascontiguousarray(self.rec.T)
         for t in range(steps - 1, -1, -1):
-            before, _, r, z, n, gn = kept[t]
-            d = d_states[t] + back
-            dz_ = d * z
-            dn = (d - dz_) * (1 - n * n)
+            r, z = gates[t, :, :k], gates[t, :, k:]
+            np.add(d_states[t], back, out=d)
+            # d times z goes on to the state before; the rest to the candidate.
+            np.multiply(d, z, out=back)
+            d -= back
+            np.multiply(n[t], n[t], out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= d
             da[t, :, 2 * k :] = dn
-            dg[t, :, 2 * k :] = dn * r
-            da[t, :, k : 2 * k] = (before - n) * dz_ * (1 - z)
-            da[t, :, :k] = dn * gn * r * (1 - r)
+            np.multiply(dn, r, out=dg[t, :, 2 * k :])
+            np.subtract(before[t], n[t], out=d)
+            d *= back
+            np.subtract(1, z, out=da[t, :, k : 2 * k])
+            da[t, :, k : 2 * k] *= d
+            np.subtract(1, r, out=da[t, :, :k])
+            dn *= r
+            dn *= gn[t]
+            da[t, :, :k] *= dn
             dg[t, :, : 2 * k] = da[t, :, : 2 * k]
-            back = dz_ + dg[t] @ self.rec.T
-            if some[t]:
-                back *= ~fresh[t][:, None]
+            back += np.matmul(dg[t], rec, out=d)
+            if going is not None:
+                back *= going[t]
         order = np.argsort(x, axis=None, kind="stable")
         ordered = x.ravel()[order]
         starts = np.flatnonzero(np.diff(ordered, prepend=-1))
-        d_inp = np.add.reduceat(da.reshape(-1, 3 * k)[order], starts, axis=0)
-        d_rec = np.concatenate([s[0] for s in kept]).T @ dg.reshape(-1, 3 * k)
-        return [(ordered[starts], d_inp), d_rec, d_out, d_bias, d_inner, d_inner_bias], loss / total, h
+        sorted_ = np.take(da.reshape(-1, 3 * k), order, axis=0, out=a.reshape(-1, 3 * k), mode="clip")
+        d_inp = np.add.reduceat(sorted_, starts, axis=0)
+        d_rec = before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+        return [(ordered[starts], d_inp), d_rec, *outer], loss / total, h
+
+    def _outputs(self, states: np.ndarray, symbols: np.ndarray, total: int) -> tuple[np.ndarray, float, list[np.ndarray]]:
+        """(gradients of the states, summed loss, gradients of out, bias, inner, inner_bias) over symbols, -1 being none."""
+        cls, kind, loss = self.classes(symbols), states.dtype, 0.0
+        d_states = self.buffers.get("d_states", states.shape, kind)
+        d_out, d_bias, ones = np.zeros_like(self.out), np.zeros_like(self.bias), np.ones(max(self.out.shape[1], self.inner_bias.shape[1]), kind)
+        turned = np.ascontiguousarray(self.out.T)
+        for lo in range(0, len(symbols), PART):
+            s, y, c = states[lo : lo + PART], symbols[lo : lo + PART], cls[lo : lo + PART]
+            p = np.matmul(s, self.out, out=self.buffers.get("p", (len(s), self.out.shape[1]), kind))
+            p += self.bias
+            np.exp(p, out=p)
+            p *= 1 / (p @ ones[: p.shape[1]])[:, None]
+            real = y >= 0
+            at = np.flatnonzero(real)
+            loss -= float(np.log(np.maximum(p[at, c[at]], 1e-30)).sum())
+            p[at, c[at]] -= 1
+            p *= 1 / total if len(at) == len(y) else (real / total).astype(kind)[:, None]
+            d_out += s.T @ p
+            d_bias += np.ones(len(s), kind) @ p
+            np.matmul(p, turned, out=d_states[lo : lo + PART])
+        d_inner, d_inner_bias = np.zeros_like(self.inner), np.zeros_like(self.inner_bias)
+        for c, at in self.by_class(symbols):
+            s, member, w = states[at], (np.arange(len(at)), symbols[at] % self.inner_bias.shape[1]), self.inner[c]
+            q = np.matmul(s, w.T, out=self.buffers.get("q", (len(s), len(w)), kind))
+            q += self.inner_bias[c]
+            np.exp(q, out=q)
+            q *= 1 / (q @ ones[: len(w)])[:, None]
+            loss -= float(np.log(np.maximum(q[member], 1e-30)).sum())
+            q[member] -= 1
+            q *= 1 / total
+            np.matmul(q.T, s, out=d_inner[c])
+            d_inner_bias[c] = np.ones(len(s), kind) @ q
+            d_states[at] += q @ w
+        return d_states, loss, [d_out, d_bias, d_inner, d_inner_bias]
 
     def log_odds(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log probability of each symbol after its state."""
-        logits = states @ self.out
-        logits += self.bias
-        got = logits[np.arange(len(symbols)), self.classes(symbols)].astype(np.float64)
-        got -= np.log(np.exp(logits, out=logits).sum(axis=1))
+        got, cls, kind = np.empty(len(symbols)), self.classes(symbols), states.dtype
+        ones = np.ones(max(self.out.shape[1], self.inner_bias.shape[1]), kind)
+        for lo in range(0, len(symbols), PART):
+            s = states[lo : lo + PART]
+            logits = np.matmul(s, self.out, out=self.buffers.get("p", (len(s), self.out.shape[1]), kind))
+            logits += self.bias
+            picked = logits[np.arange(len(s)), cls[lo : lo + PART]]
+            got[lo : lo + PART] = picked - np.log(np.exp(logits, out=logits) @ ones[: logits.shape[1]])
         for c, at in self.by_class(symbols):
-            logits = states[at] @ self.inner[c].T
+            w = self.inner[c]
+            logits = np.matmul(states[at], w.T, out=self.buffers.get("q", (len(at), len(w)), kind))
             logits += self.inner_bias[c]
-            got[at] += logits[np.arange(len(at)), symbols[at] % self.inner_bias.shape[1]]
-            got[at] -= np.log(np.exp(logits, out=logits).sum(axis=1))
+            picked = logits[np.arange(len(at)), symbols[at] % len(w)]
+            got[at] += picked - np.log(np.exp(logits, out=logits) @ ones[: len(w)])
         return got
 
     def score(self, texts: list[np.ndarray], lanes: int = SCORE_LANES) -> np.ndarray:
@@ -392,15 +445,17 @@ class Unit:
         while t < ends[0]:
             live = int(np.searchsorted(-ends, -t, side="left"))
             stop = min(int(ends[live - 1]), t + max(1, BLOCK // live))
-            states, h = [], h[:live]
+            states = self.buffers.get("states", (stop - t, live, h.shape[1]), h.dtype)
+            a, gates, n, gn = (self.buffers.get(name, (live, w * h.shape[1]), h.dtype) for name, w in (("a", 3), ("rz", 2), ("cand", 1), ("part", 1)))
+            h = h[:live]
             for u in range(t, stop):
                 x = np.where(fresh[u, :live], start, y[u - 1, :live]) if some[u] else y[u - 1, :live]
                 if some[u]:
                     h = h * ~fresh[u, :live, None]
-                h = self.step(self.inp[x], h)[0]
-                states.append(h)
-            logs[t:stop, :live] = self.log_odds(np.concatenate(states), y[t:stop, :live].ravel()).reshape(-1, live)
-            t = stop
+                np.take(self.inp, x, axis=0, out=a, mode="clip")
+                h = self.step(a, h, (gates, n, gn, states[u - t]))
+            logs[t:stop, :live] = self.log_odds(states.reshape(-1, h.shape[1]), y[t:stop, :live].ravel()).reshape(-1, live)
+            h, t = h.copy(), stop
         result = np.zeros(len(texts))
         for lane, queue in enumerate(queues):
             result[queue] = np.add.reduceat(logs[: ends[lane], lane], np.append(0, np.cumsum(lengths[queue])[:-1]))
