@@ -256,6 +256,13 @@ def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
     return keyed.join(kept.select("__key"), "__key", "left_semi").select("__doc.*")
 
 
+def keep_one_similar(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The documents without near-duplicates at an exact five-word Jaccard similarity of 0.8 or more; see ``similar``."""
+    from .similar import keep_one
+
+    return keep_one(docs, text_col=text_col, id_col=id_col)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = near_duplicates(documents(spark, sf_dir))
     return marked.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")

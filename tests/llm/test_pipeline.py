@@ -8,7 +8,7 @@ import corpus_pipeline as cp
 from keyloom.llm import common, mixing, toxicity
 from tests.llm.test_packing import check
 from tests.llm.test_secrets import plain as plain_spans
-from tests.llm.test_simhash import plain_classes, plain_fingerprint
+from tests.llm.test_similar import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,13 +39,9 @@ def test_toxic_documents_go(spark, steps):
 
 
 def test_one_of_each_group_stays(steps):
+    """Against all pairs of the stage's documents at five words and a similarity of 0.8."""
     before, after = steps[1]
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in before.collect()}
-    roots = plain_classes(list(prints.values()))
-    first = {}
-    for i in sorted(prints):
-        first.setdefault(roots[prints[i]], i)
-    assert sorted(r.doc_id for r in after.collect()) == sorted(first.values())
+    assert sorted(r.doc_id for r in after.collect()) == plain_kept([(r.doc_id, r.text) for r in before.collect()])
 
 
 def test_secrets_are_masked(steps):

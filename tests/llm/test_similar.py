@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 import corpus_pipeline as cp
 from keyloom.llm import simhash, similar
 
@@ -39,6 +41,26 @@ def corpus():
     return list(enumerate([*rows, "", None, " "], 10))
 
 
+def test_similar_texts_are_within_the_radius():
+    """Of long texts at a similarity of 0.8, the least that counts, none may differ in more bits than the filter lets pass."""
+    rng, most = np.random.default_rng(5), 0
+    for n in (64, 100, 1000):
+        for _ in range(300):
+            pool = rng.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
+            x, y = np.unique(pool[:n]), np.unique(pool[n // 9 : n + n // 9])
+            assert len(np.intersect1d(x, y)) * 5 >= 4 * len(np.union1d(x, y)) - 5
+            most = max(most, (simhash.majority(x) ^ simhash.majority(y)).bit_count())
+    assert 12 < most <= similar.RADIUS
+
+
+def test_fingerprint_is_the_majority():
+    text = " ".join(f"w{i % 50}" for i in range(400)).encode()
+    bits = [sum(int(h) >> k & 1 for h in similar.shingles(text)) for k in range(64)]
+    n = len(similar.shingles(text))
+    assert simhash.majority(similar.shingles(text)) == sum(1 << k for k, ones in enumerate(bits) if 2 * ones > n)
+    assert simhash.majority(np.zeros(0, np.uint64)) == 0
+
+
 def test_all_similar_pairs_are_joined(spark):
     rows = corpus()
     got = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
