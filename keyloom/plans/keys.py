@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import syllables
+from ..operators import enrichment
 from ..operators import features as feat
 from ..operators import layout
 from ..operators.ngrams import counted, ngrams, zipf
@@ -274,45 +275,69 @@ def bigram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.lookup(pairs, gram_zipf(spark, sf_dir, 2), ["gram"], "zipf").select("item_id", "pos", F.round("zipf", 9).alias("bigram_frequency"))
 
 
-@query()
-def syllable_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = characters(table(spark, sf_dir, "benchmark"), "text", "item_id")
-    rows = feat.word_position(feat.word_runs(chars, "item_id"), "item_id")
-    return syllables.positions(rows, "item_id").select("item_id", "pos", "is_syllable_start", "is_syllable_end")
+def _summed(columns) -> list:
+    return [F.round(F.sum(F.col(c).cast("double")), 4).alias(c) for c in columns]
 
 
-LAYOUT_COLUMNS = ("finger", "hand", "x", "y", "shift", "move_dist", *feat.BIGRAM, *feat.TRIGRAM)
+def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every layout feature of every character of the corpus."""
+    return enrichment.layout_rows(corpus(spark, sf_dir, "lang", "text"), "text", pair_table(spark), "lang")
 
 
-def _summed(columns) -> list:
-    return [F.round(F.sum(F.col(c).cast("double")), 4).alias(c) for c in columns]
+def linguistic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature of every character of the corpus that no layout changes, with frequencies from the corpus itself."""
+    tables = {"unigrams": gram_zipf(spark, sf_dir, 1), "bigrams": gram_zipf(spark, sf_dir, 2), "vocabulary": word_zipf(spark, sf_dir)}
+    return enrichment.linguistic_rows(corpus(spark, sf_dir, "lang", "text"), "text", "lang", **tables)
+
+
+_SQL_LAYOUT = {"finger_type": "ft"} | {f"{c}_{i}": f"coalesce(({'ft' if c == 'finger_type' else c} = {i})::INT, 0)" for c, n in enrichment.ONE_HOT.items() for i in range(n)}
 
 
 @query(f"""WITH {sql_keys()}, {SQL_WAYS}, {sql_chars("documents", "doc_id AS item_id, lang")}, {SQL_LAGS},
 fx AS (SELECT *, {_sql_flags(SQL_PAIRS, "key_id > 0 AND p_k > 0")}, {_sql_flags(SQL_TRIPLES, "key_id > 0 AND p_k > 0 AND q_k > 0")} FROM lg)
-SELECT lang, count(*) AS n, {", ".join(f"round(sum({c}::DOUBLE), 4) AS {c}" for c in LAYOUT_COLUMNS)} FROM fx LEFT JOIN ways ON p_slot = s1 AND slot = s2 GROUP BY lang""")
+SELECT lang, count(*) AS n, {", ".join(f"round(sum(({_SQL_LAYOUT.get(c, c)})::DOUBLE), 4) AS {c}" for c in enrichment.LAYOUT)} FROM fx LEFT JOIN ways ON p_slot = s1 AND slot = s2 GROUP BY lang""")
 def enrich_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every layout feature of every character of the corpus, added up by language."""
-    rows = feat.layout_features(corpus(spark, sf_dir, "lang", "text"), "text", pair_table(spark), "lang")
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), *_summed(LAYOUT_COLUMNS))
+    """``layout_rows`` added up by language."""
+    return layout_rows(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), *_summed(enrichment.LAYOUT))
 
 
-LINGUISTIC_COLUMNS = ("sequence_pos", "sequence_relative_pos", "word_index", "word_length", "word_relative_pos", "is_word_start", "is_word_end")
+def sql_syllables(chars: str = "ix") -> str:
+    """CTE sy: rows (item_id, pos, run, d, i: place in the word, n: its length) with the flags ss and se of syllables by vowel groups."""
+    w = "PARTITION BY item_id, run, d ORDER BY pos"
+    return f"""
+va AS (SELECT *, NOT d AND key_id IN (65, 69, 73, 79, 85, 89, 97, 101, 105, 111, 117, 121) AS v FROM {chars}),
+vb AS (SELECT *, v AND NOT coalesce(lag(v) OVER w, false) AND NOT (i = 0 AND key_id IN (89, 121)) AS c1, lag(key_id) OVER w AS pl FROM va WINDOW w AS ({w})),
+vc AS (SELECT *, c1 AND NOT (sum(c1::INT) OVER (PARTITION BY item_id, run, d) > 1 AND i = n - 1 AND key_id IN (69, 101) AND coalesce(pl, 0) NOT IN (76, 108)) AS c2 FROM vb),
+vd AS (SELECT *, c2 AND sum(c2::INT) OVER ({w} ROWS UNBOUNDED PRECEDING) > 1 AS cut FROM vc),
+ve AS (SELECT *, i = 0 OR coalesce(lead(cut) OVER ({w}), false) AS ss FROM vd),
+sy AS (SELECT *, i = n - 1 OR coalesce(lead(ss) OVER ({w}), false) AS se FROM ve)"""
 
 
-def linguistic(df: DataFrame, *keep: str) -> DataFrame:
-    """Place features of every character; one exchange by text serves all windows."""
-    chars = characters(df, "text", "doc_id", *keep)
-    return feat.word_position(feat.word_runs(feat.sequence_position(chars, "doc_id"), "doc_id"), "doc_id")
+SQL_IX = "ix AS (SELECT *, row_number() OVER (PARTITION BY item_id, run, d ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY item_id, run, d) AS n FROM rn)"
 
 
-@query(f"""WITH {sql_chars("documents", "doc_id AS item_id, lang")},
-dl AS (SELECT *, key_id IN {feat.DELIMITERS} AS d, count(*) OVER (PARTITION BY item_id) AS sl FROM chars),
-rn AS (SELECT *, sum(d::INT) OVER (PARTITION BY item_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM dl),
-ix AS (SELECT *, row_number() OVER (PARTITION BY item_id, run, d ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY item_id, run, d) AS n FROM rn)
-SELECT lang, count(*) AS n, sum(pos)::DOUBLE AS sequence_pos, round(sum(CASE WHEN sl > 1 THEN pos::DOUBLE / (sl - 1) ELSE 0.0 END), 4) AS sequence_relative_pos, sum(CASE WHEN NOT d THEN i::DOUBLE END) AS word_index,
- sum(CASE WHEN NOT d THEN n::DOUBLE END) AS word_length, round(sum(CASE WHEN d THEN NULL WHEN n > 1 THEN i::DOUBLE / (n - 1) ELSE 0.0 END), 4) AS word_relative_pos,
- sum((NOT d AND i = 0)::INT)::DOUBLE AS is_word_start, sum((NOT d AND i = n - 1)::INT)::DOUBLE AS is_word_end FROM ix GROUP BY lang""")
+@query(f"""WITH {sql_chars("benchmark", "item_id")}, {_sql_runs(feat.DELIMITERS)}, {SQL_IX}, {sql_syllables()}
+SELECT item_id, pos, CASE WHEN NOT d THEN ss::INT::DOUBLE END AS is_syllable_start, CASE WHEN NOT d THEN se::INT::DOUBLE END AS is_syllable_end FROM sy""")
+def syllable_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = characters(table(spark, sf_dir, "benchmark"), "text", "item_id")
+    rows = feat.word_position(feat.word_runs(chars, "item_id"), "item_id")
+    return syllables.positions(rows, "item_id").select("item_id", "pos", "is_syllable_start", "is_syllable_end")
+
+
+@query(f"""WITH {sql_gram_zipf(1)}, {sql_gram_zipf(2)}, {SQL_WORD_ZIPF}, {sql_chars("documents", "doc_id AS item_id, lang")},
+dl AS (SELECT *, key_id IN {feat.DELIMITERS} AS d, key_id IN {feat.FREQUENCY_DELIMITERS} AS fd, count(*) OVER (PARTITION BY item_id) AS sl, lag(k) OVER w || k AS pk,
+  coalesce(lag(key_id) OVER w, 0) AS p1, coalesce(lag(key_id, 2) OVER w, 0) AS p2 FROM chars WINDOW w AS (PARTITION BY item_id ORDER BY pos)),
+rn AS (SELECT *, sum(d::INT) OVER w AS run, sum(fd::INT) OVER w AS frun FROM dl WINDOW w AS (PARTITION BY item_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+fw AS (SELECT item_id, frun, string_agg(chr(key_id), '' ORDER BY pos) AS word FROM rn WHERE NOT fd GROUP BY item_id, frun),
+fz AS (SELECT item_id, frun, wz.zipf AS wzipf FROM fw JOIN wz ON lower(fw.word) = wz.word),
+{SQL_IX}, {sql_syllables()},
+al AS (SELECT sy.*, z1.zipf AS uzipf, z2.zipf AS bzipf, wzipf FROM sy LEFT JOIN z1 ON k = z1.gram LEFT JOIN z2 ON pk = z2.gram LEFT JOIN fz ON sy.item_id = fz.item_id AND sy.frun = fz.frun AND NOT fd)
+SELECT lang, count(*) AS n, sum(pos)::DOUBLE AS sequence_pos, sum(sl)::DOUBLE AS sequence_length, round(sum(CASE WHEN sl > 1 THEN pos::DOUBLE / (sl - 1) ELSE 0.0 END), 4) AS sequence_relative_pos,
+ sum(CASE WHEN NOT d THEN i::DOUBLE END) AS word_index, sum(CASE WHEN NOT d THEN n::DOUBLE END) AS word_length,
+ round(sum(CASE WHEN d THEN NULL WHEN n > 1 THEN i::DOUBLE / (n - 1) ELSE 0.0 END), 4) AS word_relative_pos, sum((NOT d AND i = 0)::INT)::DOUBLE AS is_word_start, sum((NOT d AND i = n - 1)::INT)::DOUBLE AS is_word_end,
+ sum(CASE WHEN NOT d THEN ss::INT END)::DOUBLE AS is_syllable_start, sum(CASE WHEN NOT d THEN se::INT END)::DOUBLE AS is_syllable_end,
+ sum(CASE WHEN key_id > 0 AND p1 > 0 THEN (p1 = key_id)::INT END)::DOUBLE AS repetition, sum(CASE WHEN key_id > 0 AND p1 > 0 AND p2 > 0 THEN (p2 = key_id AND p2 <> p1)::INT END)::DOUBLE AS skipgram_repetition,
+ round(sum(uzipf), 4) AS unigram_frequency, round(sum(bzipf), 4) AS bigram_frequency, round(sum(CASE WHEN NOT fd THEN coalesce(wzipf, 0.0) END), 4) AS word_frequency FROM al GROUP BY lang""")
 def enrich_linguistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = linguistic(corpus(spark, sf_dir, "doc_id", "lang", "text"), "lang")
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), *_summed(LINGUISTIC_COLUMNS))
+    """``linguistic_rows`` added up by language."""
+    return linguistic_rows(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), *_summed(enrichment.LINGUISTIC))
