@@ -20,7 +20,7 @@ def tokenised(df: DataFrame, text: str, key: str) -> DataFrame:
 def whole_matches(tokens: DataFrame, entries: DataFrame) -> DataFrame:
     """Tokens with their entry where the whole word has one, in column ``entry``."""
     known = entries.where("type != 'suffix'").select(F.lower("text").alias("low"), F.struct(F.lower("text").alias("text"), "abbr", "trigger_form").alias("entry"))
-    return tokens.join(F.broadcast(known), "low", "left")
+    return tokens.join(known, "low", "left")
 
 
 def suffix_matches(tokens: DataFrame, entries: DataFrame, longest: int, key: str) -> DataFrame:
@@ -28,7 +28,7 @@ def suffix_matches(tokens: DataFrame, entries: DataFrame, longest: int, key: str
     known = entries.where("type = 'suffix'").select(F.lower("text").alias("end"), F.struct(F.length("text").alias("n"), F.lower("text").alias("text"), "abbr", "trigger_form").alias("e"))
     lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("low") - 1))
     ends = tokens.select("low").where(F.length("low") > 1).distinct().select("low", F.explode(lengths).alias("k")).withColumn("end", F.right("low", F.col("k")))
-    best = ends.join(F.broadcast(known), "end").groupBy("low").agg(F.max_by("e", "e.n").alias("ending"))
+    best = ends.join(known, "end").groupBy("low").agg(F.max_by("e", "e.n").alias("ending"))
     return tokens.join(best, "low", "left")
 
 
@@ -99,7 +99,7 @@ def patched_pairs(chars: DataFrame, key: str, special: DataFrame, plain: DataFra
     rows = rows.withColumn("__g", F.when(odd, F.concat("__p", "key"))).withColumn("__h", F.when((F.col("__p") == marker) | (F.col("key") == marker), F.concat("__pr", "real")))
     one = special.select(F.col("gram").alias("__g"), F.col("zipf").alias("__a"))
     two = plain.select(F.col("gram").alias("__h"), F.col("zipf").alias("__b"))
-    joined = rows.join(F.broadcast(one), "__g", "left").join(two, "__h", "left")
+    joined = rows.join(one, "__g", "left").join(two, "__h", "left")
     return joined.withColumn(value, F.coalesce("__a", "__b", value)).drop("__p", "__pr", "__g", "__h", "__a", "__b", "real")
 
 
@@ -137,4 +137,4 @@ def by_kind(df: DataFrame, ms: str) -> DataFrame:
 
 def with_entries(stats: DataFrame, entries: DataFrame) -> DataFrame:
     """Per-entry figures with the entry's abbreviation and form; figures of unknown entries stay."""
-    return stats.join(F.broadcast(entries.select(F.lower("text").alias("text"), "abbr", "trigger_form")), "text", "left")
+    return stats.join(entries.select(F.lower("text").alias("text"), "abbr", "trigger_form"), "text", "left")

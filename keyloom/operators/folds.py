@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,32 +17,49 @@ from .sequences import running
 FOLDS = 10
 
 
+class Lightest:
+    """Folds that take weights one after another, each going to the lightest fold, the lowest-numbered one of several."""
+
+    def __init__(self, n: int = FOLDS) -> None:
+        self.heap = [(0.0, i) for i in range(n)]
+
+    def take(self, weight: float) -> int:
+        total, fold = self.heap[0]
+        heapq.heapreplace(self.heap, (total + weight, fold))
+        return fold
+
+    @property
+    def totals(self) -> list[float]:
+        return [total for total, _ in sorted(self.heap, key=lambda x: x[1])]
+
+
 def balanced(weights: list[tuple[str, float]], n: int = FOLDS) -> tuple[dict[str, int], list[float]]:
-    """(fold of each item, weight of each fold): the heaviest item goes to the lightest fold, the lowest-numbered one of several."""
-    heap = [(0.0, i) for i in range(n)]
-    fold, totals = {}, [0.0] * n
-    for item, weight in sorted(weights, key=lambda x: -x[1]):
-        _, i = heap[0]
-        totals[i] += weight
-        heapq.heapreplace(heap, (totals[i], i))
-        fold[item] = i
-    return fold, totals
-
-
-def balanced_table(weights: DataFrame, n: int = FOLDS, limit: int = 50_000) -> DataFrame:
-    """(item, fold) of ``weights(item, weight)``; packing is sequential, so the table, of at most ``limit`` rows, goes through the driver."""
-    rows = weights.orderBy(F.desc("weight"), "item").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} items")
-    fold, _ = balanced([(r.item, r.weight) for r in rows], n)
-    return weights.sparkSession.createDataFrame(list(fold.items()), "item string, fold int")
+    """(fold of each item, weight of each fold), the heaviest items first."""
+    folds = Lightest(n)
+    return {item: folds.take(weight) for item, weight in sorted(weights, key=lambda x: -x[1])}, folds.totals
+
+
+def balanced_table(weights: DataFrame, n: int = FOLDS) -> DataFrame:
+    """(item, fold) of ``weights(item, weight)``, the heaviest items first, equal ones by item.
+
+    Packing is sequential: the sorted rows stream through one task that holds the folds' totals only, so there may be any
+    number of items.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds = Lightest(n)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([folds.take(float(w)) for w in b.column(1).to_pylist()], pa.int32())], names=["item", "fold"])
+
+    ordered = weights.select("item", F.col("weight").cast("double").alias("weight")).repartition(1).sortWithinPartitions(F.desc("weight"), "item")
+    return ordered.mapInArrow(run, "item string, fold int")
 
 
 def fold_of(df: DataFrame, item: Column, table: DataFrame, name: str, n: int = FOLDS) -> DataFrame:
     """``name``: the item's fold in ``table(item, fold)``, else that of its characters."""
     df = df.withColumn("__item", item)
     known = table.select(F.col("item").alias("__known"), F.col("fold").alias("__fold"))
-    joined = df.join(F.broadcast(known), F.col("__item") == F.col("__known"), "left")
+    joined = df.join(known, F.col("__item") == F.col("__known"), "left")
     value = F.when(F.col("__item").isNull() | (F.col("__item") == ""), 0).otherwise(F.coalesce("__fold", ordinal_fold(F.col("__item"), n)))
     return joined.withColumn(name, value.cast("int")).drop("__item", "__known", "__fold")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sampling import bits
+from .sampling import bits, running_total
 
 #: Fixed value: the normal quantile of 97.5 %.
 Z_975 = 1.959963984540054
@@ -41,8 +43,7 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
 
     def ranked(column: str, name: str) -> DataFrame:
         counts = df.groupBy(F.col(column).alias(f"__{name}")).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.orderBy(f"__{name}").rowsBetween(Window.unboundedPreceding, 0))
-        return counts.select(f"__{name}", (upto - (F.col("n") - 1) / 2).alias(name))
+        return running_total(counts, f"__{name}", "n").select(f"__{name}", (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
 
     both = df.join(ranked(x, "rx"), F.col(x) == F.col("__rx")).join(ranked(y, "ry"), F.col(y) == F.col("__ry"))
 
@@ -53,25 +54,26 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def clusters(df: DataFrame, cluster: str, value: Column, *by: str) -> DataFrame:
-    """(by..., i, k, total, n): sums and counts by cluster, numbered within by. Bootstraps resample these, not the rows."""
-    sums = df.groupBy(*by, cluster).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
-    group = Window.partitionBy(*by)
-    return sums.withColumn("i", F.row_number().over(group.orderBy(cluster)) - 1).withColumn("k", F.count("*").over(group)).drop(cluster)
+    """(by..., cluster, total, n): sums and counts by cluster. Bootstraps resample these, not the rows."""
+    return df.groupBy(*by, F.col(cluster).alias("cluster")).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
 
 
-def draws(parts: DataFrame, rounds: int, seed: int, *by: str) -> DataFrame:
-    """(by..., b, pick) with as many picks a round as there are clusters."""
-    sizes = parts.groupBy(*by).agg(F.max("k").alias("k"))
-    each = sizes.select(*by, "k", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
-    each = each.select(*by, "k", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
-    key = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in by), F.col("b").cast("string"), F.col("j").cast("string"))
-    return each.select(*by, "b", (bits(key) % F.col("k")).alias("pick"))
+#: Least draws of 32 bits that give 1, 2, 3 and so on under a Poisson distribution of mean 1.
+POISSON = [math.ceil(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(11)]
 
 
 def bootstrap_means(parts: DataFrame, rounds: int, seed: int, *by: str) -> DataFrame:
-    """(by..., b, m): the mean over resampled clusters in each round."""
-    picked = draws(parts, rounds, seed, *by).join(parts.withColumnRenamed("i", "pick"), [*by, "pick"])
-    return picked.groupBy(*by, "b").agg((F.sum("total") / F.sum("n")).alias("m"))
+    """(by..., b, m): the mean over resampled clusters in each round.
+
+    How often a round takes a cluster is drawn by hash from a Poisson distribution of mean 1, the limit of drawing as many
+    clusters as there are with replacement. So clusters need no numbers, and rounds are summed before anything is shuffled.
+    """
+    each = parts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    keys = [F.lit(f"{seed}:"), *(x for c in (*by, "b") for x in (F.col(c).cast("string"), F.lit(":"))), F.col("cluster").cast("string")]
+    drawn = each.withColumn("__u", bits(F.concat(*keys)))
+    times = sum((F.col("__u") >= least).cast("int") for least in POISSON)
+    sums = drawn.withColumn("__w", times).groupBy(*by, "b").agg(F.sum(F.col("__w") * F.col("total")).alias("t"), F.sum(F.col("__w") * F.col("n")).alias("n"))
+    return sums.select(*by, "b", (F.col("t") / F.nullif("n", F.lit(0))).alias("m"))
 
 
 def interval(df: DataFrame, value: str, *by: str, level: float = 0.95) -> DataFrame:

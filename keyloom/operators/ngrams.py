@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import REPEAT, TRIGGER, tokens
@@ -27,15 +31,37 @@ def ngrams(df: DataFrame, text: str, n: int, *keep: str, collapse: bool = False)
     return df.select(*keep, value.alias("__t")).where(F.length("__t") >= n).select(*keep, F.explode(_grams(F.split("__t", ""), n)).alias("gram"))
 
 
+def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(at, tail, head) in order -> (at, tail, head, next) for each text but the last of the task, and a border: first at and head, last tail."""
+    first = last = None
+    for f in frames:
+        if not len(f):
+            continue
+        if first is None:
+            first = f.iloc[0]
+        tails = f["tail"].shift(1, fill_value=last)
+        inner = pd.DataFrame({"at": f["at"], "tail": tails, "head": None, "next": f["head"]})
+        yield inner if last is not None else inner.iloc[1:]
+        last = f["tail"].iloc[-1]
+    if first is not None:
+        yield pd.DataFrame({"at": [first["at"]], "tail": [last], "head": [first["head"]], "next": [None]})
+
+
 def crossing(df: DataFrame, text: str, n: int, order: str) -> DataFrame:
     """(gram) for the n-grams that span two texts, as if all were joined by a blank in order; empty texts fall out first.
 
-    Only the last and first n-1 characters of each text take part. The next text is found by the order's range, in one
-    window over those few characters.
+    Only the last and first n-1 characters of each text take part. They are dealt by ranges of the order; a task joins what
+    follows each other within its range, and gives its first head and last tail, of which one window over a row for each
+    range makes the rest.
     """
     ends = df.select(order, F.trim(F.regexp_replace(text, r"\s+", " ")).alias("__t")).where(F.length("__t") > 0)
     ends = ends.select(order, F.right("__t", F.lit(n - 1)).alias("tail"), F.left("__t", F.lit(n - 1)).alias("head"))
-    joint = ends.withColumn("next", F.lead("head").over(Window.orderBy(order))).where(F.col("next").isNotNull())
+    ranged = ends.select(F.col(order).alias("at"), "tail", "head").repartitionByRange("at").sortWithinPartitions("at")
+    met = ranged.mapInPandas(_neighbours, T.StructType([ranged.schema["at"], *(T.StructField(c, T.StringType()) for c in ("tail", "head", "next"))]))
+    # Rows of neighbours are spread; those of borders, whose next is not known, meet in one group.
+    group = F.when(F.col("next").isNull(), F.lit(0)).otherwise(F.xxhash64("at"))
+    following = F.coalesce("next", F.lead("head").over(Window.partitionBy(group).orderBy("at")))
+    joint = met.select("tail", following.alias("next")).where(F.col("next").isNotNull())
     both = joint.select(F.split(F.concat("tail", F.lit(" "), "next"), "").alias("chars"), F.length("tail").alias("at"))
     numbered = both.select(F.posexplode(_grams(F.col("chars"), n)).alias("i", "gram"), "at")
     return numbered.where((F.col("i") <= F.col("at")) & (F.col("i") + n > F.col("at"))).select("gram")

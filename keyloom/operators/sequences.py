@@ -103,4 +103,4 @@ def split_at_typos(
 def first_sequences(df: DataFrame, sequence: str, order: str, n: int) -> DataFrame:
     """Rows of the n sequences that come first."""
     first = df.groupBy(sequence).agg(F.min(order).alias("__first")).orderBy("__first", sequence).limit(n)
-    return df.join(F.broadcast(first.select(sequence)), sequence, "left_semi")
+    return df.join(first.select(sequence), sequence, "left_semi")

@@ -165,19 +165,14 @@ def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.correlations(table(spark, sf_dir, "labels"), "quality", "toxic").select(F.round("pearson", 8).alias("pearson"), F.round("spearman", 8).alias("spearman"))
 
 
-SQL_BOOT = """
-cl AS (SELECT {by} sum({x}) AS total, count({x}) AS n, row_number() OVER ({over} ORDER BY {cluster}) - 1 AS i, count(*) OVER ({over}) AS k FROM {t} GROUP BY {by} {cluster}),
-dr AS (SELECT {dby} b, ('0x' || substring(md5('{seed}:' || {keys} b || ':' || j), 1, 8))::BIGINT % k AS pick FROM (SELECT {by} max(k) AS k FROM cl {group}) s, unnest(range({rounds})) AS r(b), LATERAL (SELECT unnest(range(s.k)) AS j) q),
-bm AS (SELECT {dby2} b, sum(total) / sum(n) AS m FROM dr JOIN cl ON pick = i {on} GROUP BY {dby2} b)"""
-
-
 def _sql_boot(t: str, x: str, cluster: str, rounds: int, seed: int, by: tuple[str, ...] = ()) -> str:
+    """CTEs cl, dr and bm: the mean by round over clusters that are taken as often as a draw says."""
     cols = "".join(f"{c}, " for c in by)
-    return SQL_BOOT.format(
-        t=t, x=x, cluster=cluster, rounds=rounds, seed=seed, by=cols, over=f"PARTITION BY {', '.join(by)}" if by else "", dby="".join(f"s.{c}, " for c in by),
-        keys="".join(f"s.{c} || ':' || " for c in by), group=f"GROUP BY {', '.join(by)}" if by else "", dby2="".join(f"dr.{c}, " for c in by),
-        on="".join(f" AND dr.{c} = cl.{c}" for c in by),
-    )
+    keys = "".join(f"{c} || ':' || " for c in by)
+    times = " + ".join(f"(u >= {least})::INT" for least in metrics.POISSON)
+    return f"""cl AS (SELECT {cols}{cluster} AS cluster, sum({x}) AS total, count({x}) AS n FROM {t} GROUP BY {cols}{cluster}),
+dr AS (SELECT cl.*, b, ('0x' || substring(md5('{seed}:' || {keys}b || ':' || cluster), 1, 8))::BIGINT AS u FROM cl, range({rounds}) AS r(b)),
+bm AS (SELECT {cols}b, sum(w * total) / nullif(sum(w * n), 0) AS m FROM (SELECT *, {times} AS w FROM dr) GROUP BY {cols}b)"""
 
 
 @query(f"WITH {_sql_boot('customer', 'c_acctbal::DOUBLE', 'c_custkey', 50, 1)} SELECT round(avg(m), 8) AS mean, round(quantile_cont(m, 0.025::DOUBLE), 8) AS low, round(quantile_cont(m, 0.975::DOUBLE), 8) AS high FROM bm")
