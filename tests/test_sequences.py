@@ -138,7 +138,7 @@ def test_masks(spark):
 
 
 def test_feature_lists():
-    assert len(windows.all_features()) == 51 and len(windows.all_features(categorical=True)) == 36 and len(windows.LINGUISTIC) == 7
+    assert len(windows.all_features()) == 51 and len(windows.all_features(categorical=True)) == 36
     assert {k: len(v) for k, v in windows.MODELS.items()} == {"mlp": 35, "mlp_dl": 11, "lgbm": 23, "linreg": 41}
     assert windows.united(windows.MODELS["mlp"], windows.MODELS["lgbm"])[-3:] == ["word_index", "finger", "hand"]
     names = windows.all_features(categorical=True)
