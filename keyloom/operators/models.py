@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +85,67 @@ def fit_linear(df: DataFrame, vector: str, target: str, *, reg: float = 0.0, l1_
     return [float(w) for w in model.coefficients], float(model.intercept)
 
 
+#: Least residual in the weights of absolute loss, and change of the weights at which the fit has settled.
+LEAST_RESIDUAL, SETTLED = 1e-6, 1e-7
+
+
+def _normal_equations(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beta, total = shared.value, 0.0
+        for b in batches:
+            x = np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(float) if b.num_rows else np.zeros((0, len(beta) - 1))
+            x, y = np.append(x, np.ones((len(x), 1)), axis=1), b.column(1).to_numpy(zero_copy_only=False).astype(float)
+            w = 1 / np.maximum(np.abs(y - x @ beta), LEAST_RESIDUAL) if beta.any() else np.ones(len(y))
+            both = np.append(x, y[:, None], axis=1)
+            total = total + both.T @ (both * w[:, None])
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 8]), pa.array([total.tobytes()], pa.binary())], names=["slot", "sums"])
+
+    return run
+
+
+def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = sum(np.frombuffer(v.as_py(), float) for b in batches for v in b.column("sums"))
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
+def fit_absolute(df: DataFrame, vector: str, target: str, n: int, *, l1: float = 0.0, l2: float = 0.0, rounds: int = 50) -> tuple[list[float], float]:
+    """(weights, bias) that minimise the mean absolute error plus ``l1`` times the weights' sum of sizes and half ``l2`` times that of squares.
+
+    Reweighted least squares: in each round every partition adds up its normal equations, of a size that the number of
+    features fixes, with rows weighted by what makes their square an absolute value; a penalty is met by coordinate descent.
+    """
+    rows, beta = df.select(F.col(vector).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y")), np.zeros(n + 1)
+    count = 0.0
+    for _ in range(rounds):
+        shared = df.sparkSession.sparkContext.broadcast(beta)
+        sums = rows.mapInArrow(_normal_equations(shared), "slot long, sums binary").groupBy("slot").applyInArrow(_summed, "sums binary").collect()
+        if not sums:
+            break
+        whole = sum(np.frombuffer(bytes(r.sums), float) for r in sums).reshape(n + 2, n + 2)
+        gram, right, size = whole[:-1, :-1], whole[:-1, -1], max(whole[n, n], 1e-12)
+        gram, right, new = gram / size, right / size, beta.copy()
+        # In the first round all rows weigh 1, so their weights add up to their number. The bias, in the last place, bears no penalty.
+        count = count or whole[n, n]
+        scale = count / size
+        if l1 == 0:
+            new = np.linalg.lstsq(gram + np.diag([l2 * scale] * n + [0.0]), right, rcond=None)[0]
+        else:
+            for _sweep in range(200):
+                old = new.copy()
+                for j in range(n + 1):
+                    if gram[j, j] <= 0:
+                        continue
+                    part = right[j] - gram[j] @ new + gram[j, j] * new[j]
+                    new[j] = part / gram[j, j] if j == n else np.sign(part) * max(abs(part) - l1 * scale, 0.0) / (gram[j, j] + l2 * scale)
+                if np.abs(new - old).max() < SETTLED:
+                    break
+        moved, beta = np.abs(new - beta).max(), new
+        if moved < SETTLED:
+            break
+    return beta[:n].tolist(), float(beta[n])
+
+
 def selected_features(weights: list[float], features: list[str]) -> list[str]:
     """Features with a weight other than 0 in any step of the window."""
     n = len(features)
@@ -107,30 +170,54 @@ def predict_trees(model, df: DataFrame, vector: str, name: str = "prediction") -
     return model.setPredictionCol(name).transform(_ml_vector(df, vector)).drop("__features")
 
 
-def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 16, epochs: int = 30, rate: float = 0.01, seed: int = 42) -> dict[str, np.ndarray]:
-    """One hidden layer under absolute loss, fitted by Adam in mini-batches."""
+def train_network(
+    x: np.ndarray, y: np.ndarray, hidden: int | tuple[int, ...] = 16, epochs: int = 30, rate: float = 0.01, decay: float = 0.0, held: float = 0.0, patience: int = 5, seed: int = 42
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(weights, biases) of each layer of a network with rectified hidden layers under absolute loss.
+
+    Fitted by Adam with decoupled weight decay in mini-batches. With ``held``, that share of the rows is kept back: the rate is
+    halved when their error has not fallen for two epochs, training stops after ``patience`` of them, and the best layers stay.
+    """
     rng = np.random.default_rng(seed)
-    p = {"w1": rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, hidden**-0.5, hidden), "b2": np.array(np.median(y))}
-    m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    t = 0
+    sizes = [x.shape[1], *([hidden] if isinstance(hidden, int) else hidden)]
+    layers = [(rng.normal(0, (2 / a) ** 0.5, (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]
+    layers.append((rng.normal(0, sizes[-1] ** -0.5, (sizes[-1], 1)), np.array([float(np.median(y))])))
+    mixed = rng.permutation(len(x))
+    kept, fitted = mixed[: int(held * len(x))], mixed[int(held * len(x)) :]
+    moments = [[(np.zeros_like(p), np.zeros_like(p)) for p in layer] for layer in layers]
+    best, best_error, stale, t = layers, np.inf, 0, 0
     for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for at in np.array_split(order, max(1, len(x) // 256)):
-            h = np.maximum(x[at] @ p["w1"] + p["b1"], 0)
-            g = np.sign(h @ p["w2"] + p["b2"] - y[at]) / len(at)
-            back = np.outer(g, p["w2"]) * (h > 0)
-            grads = {"w1": x[at].T @ back, "b1": back.sum(axis=0), "w2": h.T @ g, "b2": np.array(g.sum())}
+        for at in np.array_split(rng.permutation(fitted), max(1, len(fitted) // 256)):
+            states = [x[at]]
+            for w, b in layers[:-1]:
+                states.append(np.maximum(states[-1] @ w + b, 0))
+            back = np.sign(states[-1] @ layers[-1][0] + layers[-1][1] - y[at][:, None]) / len(at)
             t += 1
-            for k in p:
-                a, b = m[k]
-                a += 0.1 * (grads[k] - a)
-                b += 0.001 * (grads[k] ** 2 - b)
-                p[k] = p[k] - rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-    return p
-
-
-def network(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    return np.maximum(x @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"]
+            new = []
+            for i in range(len(layers) - 1, -1, -1):
+                (w, b), grads = layers[i], (states[i].T @ back, back.sum(axis=0))
+                if i:
+                    back = back @ w.T * (states[i] > 0)
+                moved = []
+                for p, g, (m, v), shrink in zip((w, b), grads, moments[i], (decay, 0.0), strict=True):
+                    m += 0.1 * (g - m)
+                    v += 0.001 * (g * g - v)
+                    moved.append(p - rate * (m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) + shrink * p))
+                new.append(tuple(moved))
+            layers = new[::-1]
+        if len(kept):
+            error = float(np.abs(network(layers, x[kept]) - y[kept]).mean())
+            best, best_error, stale = (layers, error, 0) if error < best_error else (best, best_error, stale + 1)
+            rate *= 0.5 if stale and stale % 2 == 0 else 1.0
+            if stale >= patience:
+                break
+    return best if len(kept) else layers
+
+
+def network(layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    for w, b in layers[:-1]:
+        x = np.maximum(x @ w + b, 0)
+    return (x @ layers[-1][0] + layers[-1][1])[:, 0]
 
 
 def cross_validated_network(df: DataFrame, vector: str, target: str, fold: str, key: str, n_folds: int, max_fit: int = 20_000, **params) -> DataFrame:
@@ -146,21 +233,19 @@ def cross_validated_network(df: DataFrame, vector: str, target: str, fold: str,
     sample = first_rows(train, "net", max_fit, F.xxhash64(key), key)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        p = train_network(np.stack(frame[vector].to_numpy()).astype(float), frame[target].to_numpy(float), **params)
-        return pd.DataFrame({"net": [int(frame["net"].iloc[0])], "p": [np.concatenate([p["w1"].ravel(), p["b1"], p["w2"], [p["b2"]]]).tolist()]})
+        layers = train_network(np.stack(frame[vector].to_numpy()).astype(float), frame[target].to_numpy(float), **params)
+        return pd.DataFrame({"net": [int(frame["net"].iloc[0])], "w": [[w.ravel().tolist() for w, _ in layers]], "b": [[b.tolist() for _, b in layers]]})
 
-    nets = {r.net: np.array(r.p) for r in sample.groupBy("net").applyInPandas(fit, "net int, p array<double>").collect()}
-    hidden = params.get("hidden", 16)
+    trained = sample.groupBy("net").applyInPandas(fit, "net int, w array<array<double>>, b array<array<double>>").collect()
+    nets = {r.net: [(np.array(w).reshape(-1, len(b)), np.array(b)) for w, b in zip(r.w, r.b, strict=True)] for r in trained}
 
     def guess(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = np.zeros(len(f))
             x = np.stack(f[vector].to_numpy()).astype(float) if len(f) else np.zeros((0, 1))
-            for net, flat in nets.items():
+            for net, layers in nets.items():
                 at = (f[fold] == net).to_numpy()
-                n = x.shape[1]
-                p = {"w1": flat[: n * hidden].reshape(n, hidden), "b1": flat[n * hidden : (n + 1) * hidden], "w2": flat[(n + 1) * hidden : -1], "b2": flat[-1]}
-                out[at] = network(p, x[at])
+                out[at] = network(layers, x[at])
             yield pd.DataFrame({key: f[key], "prediction": out})
 
     return rows.mapInPandas(guess, f"{key} {dict(df.dtypes)[key]}, prediction double")

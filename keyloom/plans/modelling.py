@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, models
+from .. import session
+from ..operators import metrics, models, trees
+from ..operators.sampling import draw
 from ..sources.tables import table
 from ..streaming import events as st
 from .base import query
@@ -71,38 +73,109 @@ def _target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("y", models.linear("v", *FOLD_WEIGHTS[0])).withColumn("fold", (F.col("vec_id") % 3).cast("int"))
 
 
-@query()
+#: A row in four is off by 5 times a draw: noise with median 0 that squared loss would follow.
+_NOISE = "CASE WHEN vec_id % 4 = 0 THEN 5.0::DOUBLE * (('0x' || substring(md5('9:' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5::DOUBLE) ELSE 0.0::DOUBLE END"
+
+
+def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noise = F.when(F.col("vec_id") % 4 == 0, 5.0 * (draw(9, "vec_id") / 4294967296.0 - 0.5)).otherwise(0.0)
+    return _target(spark, sf_dir).withColumn("y", F.col("y") + noise)
+
+
+@query(f"""WITH t AS (SELECT vec_id, {_dot(0)} AS y FROM embeddings WHERE vec_id % 3 = 0)
+SELECT count(*) AS n, 0.0::DOUBLE AS mae, CASE WHEN var_pop(y) > 0 THEN 1.0::DOUBLE END AS r2, 0.0::DOUBLE AS bias, round(avg(y), 3) AS mean_pred FROM t""")
 def fit_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The robust linear model's error on the fold held out."""
+    """The robust linear model's error on the fold held out; the target is linear, so there is none."""
     rows = _target(spark, sf_dir)
     w, b = models.fit_linear(rows.where("fold <> 0"), "v", "y")
-    return metrics.errors(rows.where("fold = 0").withColumn("guess", models.linear("v", w, b)), "y", "guess")
+    found = metrics.errors(rows.where("fold = 0").withColumn("guess", models.linear("v", w, b)), "y", "guess")
+    return found.select("n", *(F.abs(F.round(c, 3)).alias(c) if c in ("mae", "bias") else F.round(c, 3).alias(c) for c in ("mae", "r2", "bias", "mean_pred")))
+
+
+@query(f"SELECT unnest(range({DIM}))::INT AS place, round(unnest({FOLD_WEIGHTS[0][0]}::DOUBLE[]), 3) AS weight UNION ALL SELECT {DIM}, round({FOLD_WEIGHTS[0][1]}::DOUBLE, 3)")
+def fit_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights under absolute loss of a target with gross errors in a quarter of its rows: those without the errors."""
+    w, b = models.fit_absolute(_noisy(spark, sf_dir), "v", "y", DIM)
+    return spark.createDataFrame([(i, round(x, 3) + 0.0) for i, x in enumerate([*w, b])], "place int, weight double")
 
 
 @query()
 def fit_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _target(spark, sf_dir).withColumn("held", F.col("fold") == 1)
-    model = models.fit_trees(rows.where("fold <> 0"), "v", "y", val="held", rounds=5, depth=3)
+    rows = _noisy(spark, sf_dir).withColumn("held", F.col("fold") == 1)
+    model = models.fit_trees(rows.where("fold <> 0"), "v", "y", val="held", rounds=20, depth=4)
     return metrics.errors(models.predict_trees(model, rows.where("fold = 0"), "v"), "y", "prediction")
 
 
 @query()
 def fit_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _target(spark, sf_dir)
-    guessed = models.cross_validated_network(rows, "v", "y", "fold", "vec_id", 3)
+    """Three hidden layers with early stopping, a network for each fold."""
+    rows = _noisy(spark, sf_dir)
+    guessed = models.cross_validated_network(rows, "v", "y", "fold", "vec_id", 3, hidden=(32, 16, 8), decay=0.001, held=0.1, epochs=60)
     return metrics.errors(rows.join(guessed, "vec_id"), "y", "prediction")
 
 
-@query()
+@query("SELECT s AS strength, CASE WHEN s > 1000 THEN 0 ELSE 16 END AS features FROM (SELECT unnest([0.000001, 100000.0]::DOUBLE[]) AS s)")
 def l1_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = models.l1_path(_target(spark, sf_dir), "v", "y", [f"f{i}" for i in range(16)], [0.001, 0.01, 0.1])
+    """Features with a weight at both ends of a path of L1 strengths: all at next to none, none at more than the target varies."""
+    path = models.l1_path(_target(spark, sf_dir), "v", "y", [f"f{i}" for i in range(16)], [0.000001, 100000.0])
     return spark.createDataFrame([(s, len(kept)) for s, kept in path], "strength double, features int")
 
 
+def _small_trees() -> list[trees.Tree]:
+    return trees.parse(_MODEL)[1]
+
+
+#: A model file of two trees over four places.
+_MODEL = """tree
+feature_names=a b c d
+
+Tree=0
+num_leaves=3
+split_feature=0 1
+threshold=0 0.1
+decision_type=2 2
+left_child=-1 -2
+right_child=1 -3
+leaf_value=1 2 4
+leaf_count=30 20 50
+
+Tree=1
+num_leaves=2
+split_feature=2
+threshold=-0.05
+decision_type=2
+left_child=-1
+right_child=-2
+leaf_value=-1 0.5
+leaf_count=40 60
+
+end of trees
+"""
+_SQL_TREES = """t AS (SELECT vec_id, embedding[1]::DOUBLE <= 0 AS a, embedding[2]::DOUBLE <= 0.1::DOUBLE AS b, embedding[3]::DOUBLE <= -0.05::DOUBLE AS c FROM embeddings)"""
+
+
+@query(f"WITH {_SQL_TREES} SELECT vec_id, CASE WHEN a THEN 1.0 WHEN b THEN 2.0 ELSE 4.0 END::DOUBLE + CASE WHEN c THEN -1.0 ELSE 0.5 END::DOUBLE AS mean, 0.0::DOUBLE AS std FROM t")
+def tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of a tree model read from its text format."""
+    mean, std = trees.TreeModel(["a", "b", "c", "d"], [_small_trees()], 0, 0).predict("v4")
+    rows = vectors(spark, sf_dir).withColumn("v4", F.slice("v", 1, 4))
+    return rows.select("vec_id", mean.alias("mean"), std.alias("std"))
+
+
+# The values of the coalitions {}, {a}, {b}, {a, b} of the first tree follow from its leaf counts: 30 to the left of a, then 20 of 70 to the left of b.
+@query(f"""WITH {_SQL_TREES}, g AS (SELECT *, CASE WHEN b THEN 2.0 ELSE 4.0 END::DOUBLE AS leaf_b, (2.0 * 20 + 4.0 * 50)::DOUBLE / 70 AS below FROM t),
+v AS (SELECT *, (0.3::DOUBLE * 1 + 0.7::DOUBLE * below) AS v0, CASE WHEN a THEN 1.0::DOUBLE ELSE below END AS va, 0.3::DOUBLE * 1 + 0.7::DOUBLE * leaf_b AS vb, CASE WHEN a THEN 1.0::DOUBLE ELSE leaf_b END AS vab FROM g)
+SELECT vec_id, round(((va - v0) + (vab - vb)) / 2, 9) AS a, round(((vb - v0) + (vab - va)) / 2, 9) AS b, round(CASE WHEN c THEN -1.0 ELSE 0.5 END::DOUBLE - (0.4::DOUBLE * -1 + 0.6::DOUBLE * 0.5), 9) AS c, 0.0::DOUBLE AS d FROM v""")
+def tree_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact Shapley values of the same model's predictions."""
+    rows = vectors(spark, sf_dir).withColumn("v4", F.slice("v", 1, 4))
+    values = trees.shapley_values(rows, "v4", _small_trees(), 4)
+    return values.select("vec_id", *(F.round(F.get("shapley", F.lit(i)), 9).alias(n) for i, n in enumerate("abcd")))
+
+
 def _drained(spark: SparkSession, sf_dir: str, make, name: str) -> DataFrame:
     """A stream's rows once it has processed what is there, by way of a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/keyloom-streams-{spark.sparkContext.applicationId}"
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{session.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     stream = make(st.read(spark, sf_dir, glob="events.parquet"))
     st.drain(stream, f"{path}/state", st.to_parquet(f"{path}/out"))
     return spark.read.schema(stream.schema).parquet(f"{path}/out/batch=*")
@@ -185,8 +258,8 @@ def compare_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hpo_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid of penalties for the linear model, poor ones pruned; best first in the phase table."""
-    from ..operators.tuning import search, study_name
+    """Penalties for the linear model by a Parzen estimator, poor ones pruned; best first in the phase table."""
+    from ..operators.tuning import Parzen, search, study_name
 
     rows = _target(spark, sf_dir)
 
@@ -194,7 +267,7 @@ def hpo_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         w, b = models.fit_linear(rows.where(F.col("fold") != fold), "v", "y", reg=params["reg"], l1_share=params["l1"])
         return metrics.errors(rows.where(F.col("fold") == fold).withColumn("g", models.linear("v", w, b)), "y", "g").first().mae
 
-    trials = search(spark, study_name("linreg_w", 0, 0), {"reg": [0.01, 0.1, 1.0, 10.0], "l1": [0.5]}, evaluate, 3, warm=2)
+    trials = search(spark, study_name("linreg_w", 0, 0), Parzen({"reg": (0.01, 10.0, "log"), "l1": [0.0, 0.5]}, 6, start=3), evaluate, 3, warm=2)
     return metrics.phase_table(trials, 10)
 
 
