@@ -76,6 +76,25 @@ def trials_jdbc(spark: SparkSession, url: str, query: str) -> DataFrame:
     return spark.read.format("jdbc").option("url", url).option("query", query).load()
 
 
+# Tables and columns of a study store in SQLite, and how it numbers directions and states.
+STUDY_SQL = """SELECT s.study_name AS study, t.number AS trial, t.datetime_start AS started, t.state AS state, v.value AS value
+FROM trials t JOIN studies s ON s.study_id = t.study_id LEFT JOIN trial_values v ON v.trial_id = t.trial_id AND v.objective = 0"""
+
+
+def trials_sqlite(spark: SparkSession, path: str, studies: tuple[str, ...] = ()) -> DataFrame:
+    """Trials (schema.TRIALS) of a study store in one SQLite file, read by the driver, as it is a file of one machine."""
+    import sqlite3
+
+    store = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    try:
+        rows = store.execute(STUDY_SQL).fetchall()
+    finally:
+        store.close()
+    frame = spark.createDataFrame(rows, "study string, trial long, started string, state string, value double")
+    chosen = frame.where(F.col("study").isin(*studies)) if studies else frame
+    return chosen.withColumn("started", F.to_timestamp("started"))
+
+
 def recent_sentences(df: DataFrame, text: str, created: str, since: Column, file: str, per_file: int, *order: str) -> DataFrame:
     """Clean sentences of posts since a date that are no spam, the first ones of each file. The date reaches the scan."""
     recent = df.where(F.col(created).isNotNull() & (F.col(created) >= since)).where(~is_spam(F.col(text)))
