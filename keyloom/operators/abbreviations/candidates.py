@@ -123,7 +123,9 @@ def generated(items: DataFrame, *, n: int = 1000, least: int = 1, changes: int =
             rows = [(r.text, r.type, r.frequency, c) for r in f.itertuples() for c in candidates(r.text, n, least, changes)]
             yield pd.DataFrame(rows, columns=["text", "type", "frequency", "abbr"])
 
-    return gated.select("text", "type", "frequency").mapInPandas(run, "text string, type string, frequency long, abbr string")
+    # A vocabulary is small but each of its words is much work, so it is spread over all cores.
+    spread = gated.select("text", "type", "frequency").repartition(4 * items.sparkSession.sparkContext.defaultParallelism, "text")
+    return spread.mapInPandas(run, "text string, type string, frequency long, abbr string")
 
 
 def with_triggers(df: DataFrame, repeat_key: bool) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import edits, phonetic
 from ..functions import text as tx
 from ..operators import ngrams as ng
@@ -378,10 +381,13 @@ def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey")
 
 
-@query()
+@query("SELECT a.p_partkey, true AS as_few, b.p_name AS typed FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def edit_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    script = part_pairs(spark, sf_dir).select("p_partkey", edits.edit_ops("p_name", "other").alias("ops"))
-    return script.select("p_partkey", F.array_join(F.transform("ops", lambda o: o["op"]), "").alias("script"))
+    """Whether each edit script has no more errors than without transpositions, and what was typed, made again from the script."""
+    script = part_pairs(spark, sf_dir).select("p_partkey", "p_name", "other", edits.edit_ops("p_name", "other").alias("ops"))
+    letter = lambda column, place: F.substring(column, place + 1, F.lit(1))
+    typed = F.transform("ops", lambda o: F.when(o["op"] == "M", letter(F.col("p_name"), o["i"])).when(o["op"] == "D", "").when(o["op"] == "T", F.substring(F.col("other"), o["j"] + 1, F.lit(2))).otherwise(letter(F.col("other"), o["j"])))
+    return script.select("p_partkey", (F.size(F.filter("ops", lambda o: o["op"] != "M")) <= F.levenshtein("p_name", "other")).alias("as_few"), F.array_join(typed, "").alias("typed"))
 
 
 _S = "lower(p_name)"
@@ -394,38 +400,52 @@ def phonetic_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", phonetic.sound_column(F.col("p_name")).alias("heard"), tx.core_word(F.col("p_name")).alias("core"))
 
 
-def vocabulary(spark: SparkSession, sf_dir: str, n: int = 60) -> DataFrame:
-    words = ng.word_counts(table(spark, sf_dir, "documents"), "text")
-    one = ng.top(words, "word", n).select(F.col("word").alias("text"), F.lit("singleword").alias("type"), F.col("n").alias("frequency"))
-    two = ng.suffixes(words, top_k=n, exclude=ng.top(words, "word", n)).select(F.col("suffix").alias("text"), F.lit("suffix").alias("type"), F.col("n").alias("frequency"))
+#: Words and suffixes that a dictionary may shorten, candidates tried for each, and those kept; entries of a dictionary and candidates of a text that compete for it.
+WORDS, SUFFIXES, TRIED, KEPT, SIZE, PER_TEXT = 4_000, 500, 1_000, 80, 160, 12
+
+
+def vocabulary(spark: SparkSession, sf_dir: str, words: int = WORDS, suffixes: int = SUFFIXES) -> DataFrame:
+    counts = ng.word_counts(table(spark, sf_dir, "documents"), "text")
+    one = ng.top(counts, "word", words).select(F.col("word").alias("text"), F.lit("singleword").alias("type"), F.col("n").alias("frequency"))
+    two = ng.suffixes(counts, top_k=suffixes, exclude=ng.top(counts, "word", words)).select(F.col("suffix").alias("text"), F.lit("suffix").alias("type"), F.col("n").alias("frequency"))
     return one.unionByName(two)
 
 
-def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = cand.with_triggers(cand.generated(vocabulary(spark, sf_dir), n=60), repeat_key=True)
-    return sel.keep_best(made.withColumn("intuitiveness", F.round(phonetic.intuitiveness_udf("text", "abbr"), 4)), "text", "intuitiveness", 20, ("doubletap", "rpt_trg"), "abbr", "trigger_form")
+def scored(items: DataFrame, tried: int = TRIED, kept: int = KEPT) -> DataFrame:
+    """The best candidates of each item with their intuitiveness."""
+    made = cand.with_triggers(cand.generated(items, n=tried), repeat_key=True)
+    return sel.keep_best(made.withColumn("intuitiveness", F.round(phonetic.intuitiveness_udf("text", "abbr"), 4)), "text", "intuitiveness", kept, ("doubletap", "rpt_trg"), "abbr", "trigger_form")
+
+
+def with_savings(rows: DataFrame) -> DataFrame:
+    """Keys saved stand for the savings that models would predict."""
+    saved = (F.length("text") + 1 - F.length(tx.key_stream(F.col("abbr"), F.col("trigger_form"), True))).cast("double")
+    return rows.withColumn("savings_z_lgbm", saved).withColumn("savings_z_lgbm_std", F.lit(0.1)).withColumn("savings_z_mean", saved)
+
+
+def stored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of the corpus' vocabulary, written once, as searches read them several times."""
+    path = f"{session.shared_folder(spark)}/candidates-{uuid.uuid4().hex}"
+    rows = scored(vocabulary(spark, sf_dir))
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query()
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_candidates(spark, sf_dir)
+    return scored(vocabulary(spark, sf_dir))
 
 
 @query()
 def optimize_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary from the corpus: candidates, keys saved as savings, selection under its constraints."""
-    rows = scored_candidates(spark, sf_dir)
-    saved = (F.length("text") + 1 - F.length(tx.key_stream(F.col("abbr"), F.col("trigger_form"), True))).cast("double")
-    rows = rows.withColumn("savings_z_lgbm", saved).withColumn("savings_z_lgbm_std", F.lit(0.1)).withColumn("savings_z_mean", saved)
-    return sel.optimise(rows, size=40).select("text", "abbr", "trigger_form", "type", "frequency", "intuitiveness", "savings_z_eff")
+    rows = with_savings(stored_candidates(spark, sf_dir))
+    return sel.optimise(rows, size=SIZE, per_text=PER_TEXT).select("text", "abbr", "trigger_form", "type", "frequency", "intuitiveness", "savings_z_eff")
 
 
 @query()
 def lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_candidates(spark, sf_dir)
-    saved = (F.length("text") + 1 - F.length(tx.key_stream(F.col("abbr"), F.col("trigger_form"), True))).cast("double")
-    rows = rows.withColumn("savings_z_lgbm", saved).withColumn("savings_z_lgbm_std", F.lit(0.1)).withColumn("savings_z_mean", saved)
-    return sel.sweep(rows, [0.0, 0.5, 1.0], size=20)
+    return sel.sweep(with_savings(stored_candidates(spark, sf_dir)), [0.0, 0.5, 1.0], size=SIZE, per_text=PER_TEXT)
 
 
 @query("""WITH d AS (SELECT DISTINCT unnest(string_split(lower(regexp_replace(p_name, '[^a-zA-Z]', '', 'g')), '')) AS c, lower(regexp_replace(p_name, '[^a-zA-Z]', '', 'g')) AS w FROM part),
