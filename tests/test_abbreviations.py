@@ -188,3 +188,20 @@ def test_large_selections_use_the_same_sums(monkeypatch):
     monkeypatch.setattr(sel, "THOROUGH", 0)
     quick = sel.choose(entries, pairs, 25)
     assert len(quick) <= 25 and len({entries[i].text for i in quick}) == len(quick) and sel.value(quick, entries, pairs) >= 0.9 * thorough
+
+
+def test_dictionary_from_a_small_vocabulary(spark):
+    """Candidates, selection and sweep as the registered queries put them together."""
+    from keyloom.plans import abbreviations as plan
+
+    items = spark.createDataFrame([("because", "singleword", 900), ("people", "singleword", 500), ("ation", "suffix", 300), ("ab", "singleword", 50)], "text string, type string, frequency long")
+    rows = plan.with_savings(plan.scored(items, tried=40, kept=10)).cache()
+    by = {}
+    for r in rows.collect():
+        assert len(r.abbr) <= len(r.text) and 0 <= r.intuitiveness <= 1
+        by.setdefault(r.text, []).append(r)
+    assert {"because", "people", "ation"} <= set(by) and all(sum(r.trigger_form == "trg" for r in rs) <= 10 for rs in by.values())
+    chosen = sel.optimise(rows, size=2, per_text=3).collect()
+    assert len(chosen) == 2 and len({r.text for r in chosen}) == 2 and len({(r.abbr, r.trigger_form) for r in chosen}) == 2
+    swept = {r["lambda"]: r for r in sel.sweep(rows, [0.0, 1.0], size=2, per_text=3).collect()}
+    assert swept[0.0].saving >= swept[1.0].saving and swept[1.0].intuitiveness >= swept[0.0].intuitiveness

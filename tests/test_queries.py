@@ -30,7 +30,11 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: Queries over whole vocabularies without SQL; tests/test_abbreviations.py has their steps on small ones.
+SLOW = {"candidates", "optimize_dict", "lambda_sweep"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -62,3 +66,15 @@ def test_works_without_the_optional_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; print(len(q))"
     out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, timeout=120)
     assert out.returncode == 0 and int(out.stdout) == len(QUERIES), out.stderr
+
+
+def test_missing_dependencies_are_not_hidden(tmp_path):
+    """Only the subpackage itself may be missing."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for name in os.listdir(root):
+        if name not in ("corpus_pipeline.py", ".git"):
+            os.symlink(f"{root}/{name}", tmp_path / name)
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_nowhere\n")
+    code = "import __spark_entry__ as e\ntry:\n    e.queries()\nexcept ModuleNotFoundError as x:\n    print(x.name)"
+    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, timeout=120)
+    assert out.stdout.strip() == "a_module_that_is_nowhere", out.stderr
