@@ -158,3 +158,31 @@ def test_unit_learns_from_each_training_document_once(spark, monkeypatch):
 
     monkeypatch.setattr(lm, "train", train)
     assert lm.score(docs, docs).count() == 4000 and got == [4000]
+
+
+def test_scores_are_those_of_a_plain_walk(spark, monkeypatch):
+    """The query's scores for given weights, word by word, with counts of all training tokens in one dictionary."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = {}
+
+    def train(texts, vocab):
+        unit = lm.Unit.start(vocab)
+        held["vocab"], held["unit"] = vocab, unit.filled(np.random.default_rng(1).normal(0, 0.3, unit.vector().shape) + unit.vector())
+        return held["unit"]
+
+    monkeypatch.setattr(lm, "train", train)
+    training = docs.where(lm.crc_mod("doc_id", 7) != 2)
+    got = {r.doc_id: r.score for r in lm.score(docs, training, top=3000).collect()}
+    vocab, unit = held["vocab"], held["unit"]
+    tokens = lambda text: [*lm.byte_words((text or "").encode()), lm.END]
+    counts = Counter(w for r in training.collect() for w in tokens(r.text))
+    top = {int(h): int(k) for h, k in zip(vocab.hashes, vocab.symbols, strict=True)}
+    for r in docs.collect()[:25]:
+        h, x, total = np.zeros((1, lm.HIDDEN), np.float32), vocab.n_symbols, 0.0
+        for w in tokens(r.text):
+            h = unit.step(unit.inp[[x]], h)
+            x = top.get(lm.token_hash(w), vocab.places + lm.ENDINGS + int(vocab.groups[lm.ending(w)]))
+            total += plain_log_odds(unit, h[0], x)
+            if x >= vocab.places:
+                total += math.log((counts[w] + 1) / vocab.sizes[x - vocab.places])
+        assert math.isclose(got[r.doc_id], total / math.log(10), rel_tol=1e-3)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from keyloom.llm import toxicity as t
 
@@ -73,3 +74,32 @@ def test_rows_of_every_kind(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 2, 3]
     empty = spark.createDataFrame([], docs.schema)
     assert t.drop_toxic(empty, t.fit(empty, none)).count() == 0
+
+
+def test_query_is_that_of_plain_steps(spark):
+    """Every document's score against steps taken one coordinate at a time over the labelled documents in their order."""
+    path = "/root/testdata/sf0.001"
+    docs, labels = t.training(spark, path)
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("i"), F.xxhash64("doc_id").alias("h"), F.col("toxic").cast("int").alias("y"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = [(t.features(texts[r.i].encode()).tolist(), r.y) for r in sorted(known.collect(), key=lambda r: (r.h, r.i, r.y)) if r.i in texts]
+    state = {}
+    for _ in range(t.EPOCHS):
+        for at, y in rows:
+            plain_step(state, at, y)
+    weight = lambda z, n: 0.0 if abs(z) <= t.L1 else -(z - np.sign(z) * t.L1) / ((t.BETA + n**0.5) / t.ALPHA + t.L2)
+    bias = -state["bias"][0] / ((t.BETA + state["bias"][1] ** 0.5) / t.ALPHA)
+    got = t.query(spark, path).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = 1 / (1 + np.exp(-(bias + sum(weight(*state.get(i, (0.0, 0.0))) for i in t.features(texts[r.doc_id].encode()).tolist()))))
+        assert abs(r.score - want) < 1e-4 and (r.predicted == 1) == (r.score >= 0.7)
+
+
+def test_an_id_of_many_documents_is_bounded(spark):
+    docs = spark.range(500).selectExpr("id % 2 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    whole, part = t.fit(docs, labels), t.fit(docs, labels, max_fit=40)
+    few = docs.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("text")).limit(40).select("doc_id", "text")
+    again = t.fit(few, labels)
+    assert part[0] == again[0] != whole[0] and (part[1] == again[1]).all()
