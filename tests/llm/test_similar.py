@@ -2,6 +2,8 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 import corpus_pipeline as cp
 from keyloom.llm import simhash, similar
@@ -61,6 +63,75 @@ def test_fingerprint_is_the_majority():
     assert simhash.majority(np.zeros(0, np.uint64)) == 0
 
 
+def plain_candidates(rows):
+    """Pairs of one shingle with different roots that may be similar, one by one."""
+    out = set()
+    for (h, n, x, p, a, r), (g, m, y, q, b, s) in itertools.combinations(rows, 2):
+        near = (a ^ b).bit_count() <= similar.RADIUS or min(n, m) < similar.LONG
+        if h == g and r != s and 5 * min(n, m) >= 4 * max(n, m) and 9 * min(n - p, m - q) >= 4 * (n + m) and near:
+            out.add((min(x, y), max(x, y)))
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 1 << 16])
+def test_crossing_is_that_of_all_pairs(monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "PAIRS", 5)
+    rng = random.Random(11)
+    for _ in range(40):
+        rows = [(rng.randrange(3), rng.choice([9, 10, 20, 70, 80, 90]), i, rng.randrange(12), rng.choice([0, 1, (1 << 40) - 1]), rng.randrange(5)) for i in range(rng.randrange(60))]
+        rows.sort()
+        batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64()) for k in range(6)], names=list("hnvpbr"))
+        cut = rng.randrange(len(rows) + 1)
+        got = {(u, v) for b in similar._crossing(iter([batch(rows[:cut]), batch(rows[cut:])])) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        assert got == plain_candidates(rows)
+
+
+def test_shared_rows_and_hubs():
+    rng = random.Random(12)
+    for _ in range(60):
+        rows = sorted({(rng.randrange(6), rng.randrange(3), rng.randrange(9)) for _ in range(rng.randrange(25))})
+        place = {(h, v): p for h, p, v in rows}
+        rows = sorted((h, p, v) for (h, v), p in place.items())
+        twice = sorted(rows + [r for r in rows if rng.random() < 0.3])
+        cut = rng.randrange(len(twice) + 1)
+        batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64()) for k in range(len(part[0]) if part else 3)], names=list("hpvnb")[: len(part[0]) if part else 3])
+        got = [r for b in similar._shared(iter([batch(twice[:cut]), batch(twice[cut:])])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        nodes = {h: {v for g, _, v in rows if g == h} for h, _, _ in rows}
+        assert got == [r for r in rows if len(nodes[r[0]]) > 1]
+        whole = [(*r, 20, 0) for r in rows]
+        cut = rng.randrange(len(whole) + 1)
+        parts = [batch(p) for p in (whole[:cut], whole[cut:]) if p]
+        pairs = {(u, v) for b in similar._to_hub(iter(parts)) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        hub = {h: next(v for g, _, v in rows if g == h) for h in nodes}
+        assert pairs == {(min(v, hub[h]), max(v, hub[h])) for h, p, v in rows if v != hub[h] and 9 * (20 - p) >= 160}
+
+
+def test_a_family_of_edited_copies_makes_few_candidates(spark):
+    """Copies with up to six edits each, most of them less alike than 0.8 to each other."""
+    rng, words = random.Random(13), [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 400):
+        edited = list(words)
+        for at in rng.sample(range(150), rng.randrange(1, 7)):
+            edited[at] = f"x{rng.random()}"
+        rows.append((i, " ".join(edited)))
+    made = []
+    verified = similar.verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    similar.verified = counted
+    try:
+        got = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r.doc_id for r in got.collect()) == plain_kept(rows)
+    finally:
+        similar.verified = verified
+    assert sum(made) < 10 * len(rows)
+
+
 def test_all_similar_pairs_are_joined(spark):
     rows = corpus()
     got = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
