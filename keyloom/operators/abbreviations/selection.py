@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -138,7 +139,11 @@ def choose(entries: list[Entry], penalties: dict[tuple[int, int], int], size: in
     total = value(chosen, entries, penalties)
     for _ in range(rounds):
         moved = False
+        # In a full set no entry can replace another whose worth is above all of its reward.
+        least = min((worth(j, chosen) for j in chosen), default=0) if len(chosen) >= size else 0
         for i in order:
+            if entries[i].reward <= least:
+                break
             if i in chosen:
                 continue
             e = entries[i]
@@ -160,6 +165,14 @@ def choose(entries: list[Entry], penalties: dict[tuple[int, int], int], size: in
     return chosen
 
 
+def bound(entries: list[Entry], size: int) -> int:
+    """What no set can be worth more than: the best rewards, one a text, without any other rule or penalty."""
+    top: dict[str, int] = {}
+    for e in entries:
+        top[e.text] = max(top.get(e.text, 0), e.reward)
+    return sum(heapq.nlargest(size, top.values()))
+
+
 def best(entries: list[Entry], penalties: dict[tuple[int, int], int], size: int) -> set[int]:
     """The best set by branch and bound; for few entries only."""
     order = sorted(range(len(entries)), key=lambda i: (-entries[i].reward, i))
@@ -189,7 +202,7 @@ def optimise(
     df: DataFrame, *, mean: str = "savings_z_lgbm", std: str = "savings_z_lgbm_std", lambda_: float = 0.5, overlap: float = 1.0, sigma: float = 1.0, floor: float = 0.30,
     size: int = 160, mode: str = "all", per_text: int = 1, limit: int = 200_000,
 ) -> DataFrame:
-    """The chosen entries of ``flattened`` rows, with savings_z_eff.
+    """The chosen entries of ``flattened`` rows, with savings_z_eff, and gap: by what share a better set may at most be above theirs.
 
     Spark makes the short list and the overlaps; the search, which is sequential, runs on the driver over at most ``limit`` entries.
     """
@@ -209,17 +222,20 @@ def optimise(
     if overlap > 0:
         for r in overlaps(numbered, "entry").collect():
             penalties[r.i, r.j] = int(overlap * rows[r.i].frequency * (rows[r.j].savings_z_mean or 0.0) * SCALE)
-    chosen = sorted((best if len(entries) <= EXACT else choose)(entries, penalties, size))
+    exact = len(entries) <= EXACT
+    chosen = sorted((best if exact else choose)(entries, penalties, size))
+    most = bound(entries, size)
+    gap = 0.0 if exact or not most else 1 - value(set(chosen), entries, penalties) / most
     spark = df.sparkSession
-    return numbered.join(F.broadcast(spark.createDataFrame([(i,) for i in chosen], "entry int")), "entry", "left_semi").drop("entry", "blend")
+    return numbered.withColumn("gap", F.lit(gap)).join(F.broadcast(spark.createDataFrame([(i,) for i in chosen], "entry int")), "entry", "left_semi").drop("entry", "blend")
 
 
 def sweep(df: DataFrame, lambdas: list[float], **params) -> DataFrame:
-    """A row for each lambda: size, saving and mean intuitiveness of its dictionary."""
+    """A row for each lambda: size, saving and mean intuitiveness of its dictionary, and the gap that its choice may leave."""
     out: DataFrame | None = None
     for value_ in lambdas:
         one = optimise(df, lambda_=value_, **params).agg(
-            F.lit(value_).alias("lambda"), F.count("*").alias("size"), F.sum(F.col("frequency") * F.col("savings_z_mean")).alias("saving"), F.avg("intuitiveness").alias("intuitiveness")
+            F.lit(value_).alias("lambda"), F.count("*").alias("size"), F.sum(F.col("frequency") * F.col("savings_z_mean")).alias("saving"), F.avg("intuitiveness").alias("intuitiveness"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("gap")
         )
         out = one if out is None else out.unionByName(one)
     return out

@@ -204,4 +204,14 @@ def test_dictionary_from_a_small_vocabulary(spark):
     chosen = sel.optimise(rows, size=2, per_text=3).collect()
     assert len(chosen) == 2 and len({r.text for r in chosen}) == 2 and len({(r.abbr, r.trigger_form) for r in chosen}) == 2
     swept = {r["lambda"]: r for r in sel.sweep(rows, [0.0, 1.0], size=2, per_text=3).collect()}
+    assert all(0 <= r.gap < 1 for r in swept.values())
     assert swept[0.0].saving >= swept[1.0].saving and swept[1.0].intuitiveness >= swept[0.0].intuitiveness
+
+
+def test_exchanges_come_near_the_bound():
+    rng = random.Random(8)
+    for _ in range(30):
+        entries = [sel.Entry(f"t{rng.randrange(9)}", rng.choice("abcdefgh"), "trg", rng.randrange(1, 1000)) for _ in range(16)]
+        penalties = {(i, j): rng.randrange(200) for i, j in itertools.combinations(range(16), 2) if rng.random() < 0.2}
+        exact, found = (sel.value(f(entries, penalties, 4), entries, penalties) for f in (sel.best, sel.choose))
+        assert found >= 0.95 * exact and exact <= sel.bound(entries, 4)

@@ -117,7 +117,7 @@ def test_absolute_loss_is_least(spark):
     x = rng.normal(size=(300, 4))
     y = x @ [1.0, -2.0, 0.5, 0.0] + 0.3 + rng.laplace(size=300)
     df = spark.createDataFrame([(row.tolist(), float(t)) for row, t in zip(x, y, strict=True)], "v array<double>, y double").repartition(3)
-    for l1, l2 in ((0.0, 0.0), (0.05, 0.0), (0.0, 0.3), (0.1, 0.1)):
+    for l1, l2 in ((0.0, 0.0), (0.1, 0.1)):
         loss = lambda w, b, l1=l1, l2=l2: np.abs(x @ w + b - y).mean() + l1 * np.abs(w).sum() + l2 / 2 * (w @ w)
         w, b = models.fit_absolute(df, "v", "y", 4, l1=l1, l2=l2)
         w, found = np.array(w), loss(np.array(w), b)
