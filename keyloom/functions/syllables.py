@@ -6,6 +6,7 @@ A word is cut before the last consonant between two vowel groups; a final silent
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,6 +40,7 @@ def first_syllable(word: str) -> str | None:
     return None
 
 
+@lru_cache(1 << 14)
 def acronym(word: str) -> str | None:
     """The first letters of the syllables, if there are at least two."""
     parts = syllables(word)
