@@ -208,6 +208,8 @@ def links(prints: DataFrame, *, radius: int = RADIUS, tree_limit: int = TREE_LIM
     """(u, v) over distinct ``prints(bits)``: a forest of the links within the radius (2 at most) of every shard."""
     if not 0 <= radius <= 2:
         raise ValueError("shards are complete for radius 0 to 2")
+    if tree_limit < 4:
+        raise ValueError("a shard of two free bits may hold 4 fingerprints")
     masks = F.explode(F.array(*(F.lit(_signed(m)) for m in _first_masks())))
     dealt, found = prints.select(masks.alias("mask"), "bits"), None
     while True:

@@ -93,3 +93,10 @@ def test_rows_of_every_kind(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0 and simhash.keep_one(df).count() == 0
+
+
+def test_tree_limit_below_what_splits_reach(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "bits long"), tree_limit=3)
