@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
 import os
 import tempfile
 import uuid
@@ -90,6 +92,22 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: cloudpickle.loads(held.value)
 
 
+def one_thread() -> bool:
+    """Let numpy's products use one thread; whether that could be set.
+
+    Spark runs a task a core, and helper threads that wait for the next small product take up as much time as the work.
+    """
+    done = False
+    for path in glob.glob(f"{os.path.dirname(os.path.dirname(np.__file__))}/numpy.libs/*openblas*"):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                done = True
+                break
+    return done
+
+
 def whole_rows() -> Column:
     """The row as one struct, whatever the names of its columns."""
     return F.struct(F.col("*")).alias("__doc")

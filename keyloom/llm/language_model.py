@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import byte_words, crc_mod, documents, share, slices, stored, struct, text_udf
+from .common import byte_words, crc_mod, documents, one_thread, share, slices, stored, struct, text_udf
 
 #: Tokens whose counts are broadcast, words of their own, words in a class, classes of endings (a quarter of them by hash).
 TOP, OWN, MEMBERS, ENDINGS = 300_000, 2_048, 64, 24
@@ -486,6 +486,7 @@ def _symbol_texts(texts: list[bytes], words: Words) -> list[np.ndarray]:
 
 def _train_task(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         vocab, unit, rate = shared()
         words, n = Words(vocab), 0
         for b in batches:
@@ -535,6 +536,7 @@ def parts_udf(shared):
     """Text to PARTS: what of its scores follows from the top tokens and the unit, and its other tokens with their numbers."""
 
     def make():
+        one_thread()
         vocab, unit = shared()
         state = {"words": Words(vocab)}
         log_sizes = np.append(np.zeros(vocab.places), np.log10(np.maximum(vocab.sizes, 1)))

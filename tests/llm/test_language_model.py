@@ -1,4 +1,7 @@
 import math
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -186,3 +189,9 @@ def test_scores_are_those_of_a_plain_walk(spark, monkeypatch):
             if x >= vocab.places:
                 total += math.log((counts[w] + 1) / vocab.sizes[x - vocab.places])
         assert math.isclose(got[r.doc_id], total / math.log(10), rel_tol=1e-3)
+
+
+def test_products_use_one_thread():
+    code = "import time, numpy as np; from keyloom.llm.common import one_thread; one_thread(); a = np.ones((400, 400)); w, c = time.perf_counter(), time.process_time(); [a @ a for _ in range(300)]; print((time.process_time() - c) / (time.perf_counter() - w))"
+    out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"OMP_NUM_THREADS": "4"}, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))), capture_output=True, text=True, timeout=60)
+    assert float(out.stdout) < 1.5, out.stderr

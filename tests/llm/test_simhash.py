@@ -96,7 +96,5 @@ def test_empty(spark):
 
 
 def test_tree_limit_below_what_splits_reach(spark):
-    import pytest
-
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "bits long"), tree_limit=3)
