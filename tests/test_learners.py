@@ -210,6 +210,24 @@ def test_features_within_rows_are_those_of_windows(spark):
         assert a == b, [(c, x, y) for c, x, y in zip(columns, a, b, strict=True) if x != y]
 
 
+def test_large_tables_shuffle_distinct_words_and_no_characters(spark):
+    """Tables beyond the limit: the same rows, a text's rarer words and grams joined to its row, no window over its characters."""
+    texts = ["the cat", "the cat", "", None, "Zoë's ΩΩ cat. the-dog?", "don't DON'T " * 30, "\U0001f600\U0001f600 the\x00cat"]
+    df = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "id long, text string")
+    gram = [("the"[i : i + 1], 1.0 + i) for i in range(3)] + [("Ω", 0.25), ("\U0001f600", 2.5)]
+    pairs = [("th", 3.0), ("ca", 2.0), ("ΩΩ", 0.5), ("\U0001f600\U0001f600", 0.0), ("'t", 1.0)]
+    words = [("the", 4.0), ("cat", 3.0), ("don't", 2.0), ("dog", 1.0), ("s", 0.0)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} string, zipf double")
+    tables = {"unigrams": frame(gram, "gram"), "bigrams": frame(pairs, "gram"), "vocabulary": frame(words, "word")}
+    give = lambda limit: enrichment.linguistic_rows(df, "text", "id", **tables, limit=limit)
+    want = sorted(map(repr, give(100).collect()))
+    assert len(want) == sum(len(t or "") for t in texts)
+    for limit in (0, 1, 3):
+        rows = give(limit)
+        assert sorted(map(repr, rows.collect())) == want
+        assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_blocks_do_not_matter(spark, monkeypatch):
     df = spark.createDataFrame(TEXTS, "id int, text string").coalesce(1)
     rows = lambda: enrichment.linguistic_rows(df, "text", "id", **_tables(spark)).orderBy("id", "pos").collect()
