@@ -7,8 +7,12 @@ other run of 12 or more credential characters in a text, and what is left of a r
 whatever characters it has; it is reported as ``format`` if an automaton gives it a likelihood a character that is near
 what the automaton gives its own credentials, and well above that of a background model of ordinary words and numbers.
 
-The automata are learned in one task from a bounded sample (``max_fit`` distinct values of each label, those with the
-smallest hashes); the scan covers all texts whole.
+The automata are learned from all distinct values in the corpus. Tasks count every prefix of every value; the driver merges
+the states of the prefixes that occur in enough values, ``TREE`` of a label at most (all prefixes, if there are no more), where
+a step to a rarer prefix is counted but leads nowhere yet. Then all values are read through the merged states, a step that
+leads nowhere going to the first state, which is where merging puts states that too few values reach to tell them apart; so
+likelihoods come from counts over all values, and thresholds from the likelihoods of all. The background counts the pairs of
+all distinct ordinary words. No count leaves a value out; what is bounded is the number of states that are told apart.
 
 Defined results: null is the empty text; offsets are code points, ends exclusive; invalid UTF-8 counts as U+FFFD does;
 repeated rows are scanned each; a corpus without credentials teaches no automaton and adds no span; an empty table gives
@@ -20,12 +24,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +37,14 @@ from pyspark.sql import types as T
 from .common import checkpoint, documents, share, slices, struct, text_udf, whole_rows, with_fields
 
 KINDS = ("assign", "access", "hex")
-#: Distinct values of a label that its automaton is learned from, at most.
-MAX_FIT = 400
+#: Prefixes of a label whose states are told apart, at most.
+TREE = 4096
+#: Entries of a table that a task adds up before it gives them.
+REMEMBERED = 200_000
+#: Words that the pairs of all ordinary words weigh as much as, beside what the background takes for granted.
+WORDS = 400
+#: Steps a bit in which likelihoods are added up, as sums of whole numbers have no order.
+STEPS = 1 << 24
 #: Confidence of the merge test; smaller merges more.
 ALPHA = 0.01
 #: Bits a character that a candidate may fall below its automaton's mean, and must lie above the background.
@@ -125,11 +135,42 @@ class Automaton:
             self.end[p] += self.end[q]
             for c, n in self.used[q].items():
                 self.used[p][c] = self.used[p].get(c, 0) + n
+                if c not in self.step[q]:
+                    continue
                 if c in self.step[p]:
                     todo.append((self.step[p][c], self.step[q][c]))
                 else:
                     self.step[p][c] = self.step[q][c]
 
+    @staticmethod
+    def of(total: int, nodes: dict[int, list[tuple[int, int, int, int]]], least: int) -> Automaton:
+        """The tree of ``total`` words from (c, n, ends, key) of each prefix by its parent's key; those of less than ``least`` words are counted steps only."""
+        tree = Automaton()
+        tree.arrive[0] = total
+        todo = [(0, c, n, ends, key) for c, n, ends, key in sorted(nodes.get(ROOT, []), reverse=True)]
+        while todo:
+            at, c, n, ends, key = todo.pop()
+            tree.used[at][c] = n
+            if n < least:
+                continue
+            tree.step[at][c] = q = len(tree.arrive)
+            tree.arrive.append(n)
+            tree.end.append(ends)
+            tree.step.append({})
+            tree.used.append({})
+            todo += [(q, *child) for child in sorted(nodes.get(key, []), reverse=True)]
+        return tree
+
+    def routes(self) -> list[dict[int, int]]:
+        """The states reached from the first one, numbered in the order of ``compact``, as {character: state}."""
+        order, place = [0], {0: 0}
+        for p in order:
+            for q in self.step[p].values():
+                if q not in place:
+                    place[q] = len(order)
+                    order.append(q)
+        return [{c: place[q] for c, q in self.step[p].items()} for p in order]
+
     def merge(self, alpha: float) -> None:
         """Red-blue state merging: each state next to the kept ones joins the first compatible one, or is kept."""
         bound = math.sqrt(0.5 * math.log(2 / alpha))
@@ -218,21 +259,30 @@ class Grammar:
         return base, added
 
 
-def infer(found: dict[str, list[bytes]], words: Counter, alpha: float = ALPHA, slack: float = SLACK) -> Grammar:
-    """A grammar from credentials by label and counts of ordinary words."""
-    pairs = np.ones((256, 256))
-    # Numbers are ordinary, and so are borders of words beside each other; samples of words show neither.
+def _background(pairs: np.ndarray) -> np.ndarray:
+    """log2 likelihoods of a character after another in ordinary words, from counts of pairs, blanks being borders."""
+    pairs = pairs + 1.0
+    # Numbers are ordinary, and so are borders of words beside each other; words of letters show neither.
     pairs[48:58, 48:58] += 256
     pairs[32, 32] += 256
     pairs[32, 48:58] += 16
     pairs[48:58, 32] += 256
+    return np.log2(pairs / pairs.sum(axis=1, keepdims=True))
+
+
+def _pairs_of(word: bytes) -> tuple[np.ndarray, np.ndarray]:
+    b = np.frombuffer(b" " + word + b" ", np.uint8)
+    return b[:-1], b[1:]
+
+
+def infer(found: dict[str, list[bytes]], words: Counter, alpha: float = ALPHA, slack: float = SLACK) -> Grammar:
+    """A grammar from credentials by label and counts of ordinary words."""
+    pairs = np.zeros((256, 256))
     for w, n in words.items():
-        b = np.frombuffer(b" " + w + b" ", np.uint8)
-        np.add.at(pairs, (b[:-1], b[1:]), n)
-    background = np.log2(pairs / pairs.sum(axis=1, keepdims=True))
+        np.add.at(pairs, _pairs_of(w), n)
     automata = {}
     for label, credentials in found.items():
-        if len(credentials) < 5:
+        if len(credentials) < FEWEST:
             continue
         tree = Automaton()
         for c in sorted(credentials):
@@ -241,37 +291,166 @@ def infer(found: dict[str, list[bytes]], words: Counter, alpha: float = ALPHA, s
         states = tree.compact()
         own = [likelihood(states, c) for c in credentials]
         automata[label] = (states, float(np.mean(own)) - slack)
-    return Grammar(automata, background)
+    return Grammar(automata, _background(pairs))
+
+
+#: Key of the empty prefix, and values without which a label has no automaton.
+ROOT, FEWEST = 0, 5
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """texts -> distinct (label, value) of the batch, and in label '' its words that could be candidates, with counts."""
+    """texts -> distinct (label, value) of the batch, and in label '' its words that could be candidates."""
     for b in batches:
         for texts in slices(b.column(0)):
-            got = Counter(v for t in texts for v in values(t))
+            got = {v for t in texts for v in values(t)}
             got.update(("", w) for t in texts for w in t.split() if len(w) >= SHORTEST and w.isalpha())
             keys = list(got)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in keys], pa.string()), pa.array([v for _, v in keys], pa.binary()), pa.array([zlib.crc32(v) for _, v in keys], pa.int64())],
-                names=["label", "value", "h"],
-            )
-
-
-def learn(docs: DataFrame, *, text_col: str = "text", max_fit: int = MAX_FIT, examples: dict[str, list[bytes]] | None = None) -> Grammar:
-    """The grammar of the credentials in a corpus, and of ``examples``, further labelled credentials by label."""
-    found = docs.select(text_col).mapInArrow(_labelled, "label string, value binary, h long")
-    # A collision of two values' checksums costs one of them its place in the sample.
-    kept: dict[str, list[bytes]] = {}
-    one = checkpoint(found.groupBy("label", "h").agg(F.min("value").alias("value")))
-    best = [one.where(F.col("label") == k).orderBy("h").limit(max_fit) for k in (*KINDS, "")]
-    for part in best[1:]:
-        best[0] = best[0].unionByName(part)
-    for r in best[0].select("label", "value").collect():
-        kept.setdefault(r.label, []).append(bytes(r.value))
-    words = Counter(kept.pop("", []))
-    for label, more in (examples or {}).items():
-        kept[label] = [*kept.get(label, []), *more]
-    return infer({k: sorted(v) for k, v in sorted(kept.items())}, words)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([v for _, v in keys], pa.binary())], names=["label", "value"])
+
+
+def _added(make: Callable[[], Callable[[str, bytes], Iterator[tuple]]], names: list[str], types: list[pa.DataType]):
+    """A task that adds up what each (label, value) gives: (label, key..., two numbers), whose keys have ``names`` and ``types``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each, sums = make(), {}
+
+        def flush() -> pa.RecordBatch:
+            keys, numbers = list(zip(*sums, strict=True)), list(zip(*sums.values(), strict=True))
+            sums.clear()
+            return pa.RecordBatch.from_arrays([*map(pa.array, keys, types), *(pa.array(n, pa.int64()) for n in numbers)], names=[*names, "n", "m"])
+
+        for b in batches:
+            for label, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for key, n, m in each(label, value.as_py()):
+                    old = sums.get(key, (0, 0))
+                    sums[key] = old[0] + n, old[1] + m
+                    if len(sums) > REMEMBERED:
+                        yield flush()
+        if sums:
+            yield flush()
+
+    return run
+
+
+def _sums(found: DataFrame, make: Callable, keys: dict[str, str]) -> DataFrame:
+    """(key..., n, m), sums over all rows of ``found(label, value)`` of what ``make()`` gives for each."""
+    arrow = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", n long, m long"
+    rows = found.mapInArrow(_added(make, list(keys), [arrow[t] for t in keys.values()]), schema)
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _prefixes(label: str, value: bytes) -> Iterator[tuple]:
+    """Each prefix of a value as (label, key of the prefix without its last character, that character, its own key)."""
+    at = ROOT
+    for i, c in enumerate(value):
+        key = xxhash.xxh64_intdigest(at.to_bytes(8, "little", signed=True) + value[i : i + 1]) - (1 << 63)
+        yield (label, at, c, key), 1, i == len(value) - 1
+        at = key
+
+
+def _tree_sizes(nodes: DataFrame, limit: int) -> dict[str, int]:
+    """By label the least number of values that no more than ``limit`` prefixes occur in."""
+    numbers: dict[str, list[tuple[int, int]]] = {}
+    for label, n, count in nodes.groupBy("label", "n").agg(F.count("*")).collect():
+        numbers.setdefault(label, []).append((n, count))
+    least = {}
+    for label, counts in numbers.items():
+        upto, least[label] = 0, 1 << 62
+        for n, count in sorted(counts, reverse=True):
+            upto += count
+            if upto > limit:
+                break
+            least[label] = n
+    return least
+
+
+def _trees(found: DataFrame, limit: int) -> dict[str, Automaton]:
+    """The prefix tree of each label, with counts over all its values."""
+    nodes = checkpoint(_sums(found, lambda: _prefixes, {"label": "string", "parent": "long", "c": "int", "key": "long"}))
+    least = _tree_sizes(nodes, limit)
+    known = found.sparkSession.createDataFrame(list(least.items()), "label string, least long")
+    kept = nodes.join(F.broadcast(known), "label").where(F.col("n") >= F.col("least")).select("label", F.col("key").alias("parent"))
+    first = known.select("label", F.lit(ROOT).cast("long").alias("parent"))
+    near = nodes.join(F.broadcast(kept.unionByName(first)), ["label", "parent"], "left_semi")
+    trees: dict[str, dict[int, list]] = {label: {} for label in least}
+    for label, parent, c, n, ends, key in near.select("label", "parent", "c", "n", "m", "key").toLocalIterator():
+        trees[label].setdefault(parent, []).append((c, n, ends, key))
+    return {label: Automaton.of(sum(x[1] for x in tree[ROOT]), tree, least[label]) for label, tree in sorted(trees.items())}
+
+
+def _walked(shared):
+    def make():
+        routes = shared()
+
+        def each(label: str, value: bytes) -> Iterator[tuple]:
+            """The steps of a value, and its end as character -1."""
+            if label in routes:
+                states, at = routes[label], 0
+                for c in value:
+                    yield (label, at, c), 1, 0
+                    at = states[at].get(c, 0)
+                yield (label, at, -1), 1, 0
+
+        return each
+
+    return make
+
+
+def _judged(shared):
+    def make():
+        automata = shared()
+
+        def each(label: str, value: bytes) -> Iterator[tuple]:
+            if label in automata:
+                yield (label,), 1, round(STEPS * likelihood(automata[label], value))
+
+        return each
+
+    return make
+
+
+def _word_pairs(label: str, value: bytes) -> Iterator[tuple]:
+    for a, b in zip(*_pairs_of(value), strict=True):
+        yield (int(a), int(b)), 1, 0
+
+
+def learn(docs: DataFrame, *, text_col: str = "text", tree: int = TREE, alpha: float = ALPHA, slack: float = SLACK, examples: dict[str, list[bytes]] | None = None) -> Grammar:
+    """The grammar of all credentials in a corpus, and of ``examples``, further labelled credentials by label."""
+    spark = docs.sparkSession
+    rows = docs.select(text_col).mapInArrow(_labelled, "label string, value binary")
+    if examples:
+        rows = rows.unionByName(spark.createDataFrame([(label, bytearray(v)) for label, more in examples.items() for v in more], "label string, value binary"))
+    found = checkpoint(rows.distinct())
+    credentials, words = found.where("label <> ''"), found.where("label = ''")
+
+    trees = {label: t for label, t in _trees(credentials, tree).items() if t.arrive[0] >= FEWEST}
+    for t in trees.values():
+        t.merge(alpha)
+    routes = {label: t.routes() for label, t in trees.items()}
+    counts: dict[str, dict[int, dict[int, int]]] = {label: {} for label in routes}
+    for label, at, c, n, _ in _sums(credentials, _walked(share(spark, routes)), {"label": "string", "at": "int", "c": "int"}).collect():
+        counts[label].setdefault(at, {})[c] = n
+    states = {label: _likelihoods(counts[label], routes[label]) for label in routes}
+    judged = _sums(credentials, _judged(share(spark, states)), {"label": "string"}).collect()
+    automata = {r.label: (states[r.label], r.m / STEPS / r.n - slack) for r in sorted(judged)}
+
+    pairs = np.zeros((256, 256))
+    for a, b, n, _ in _sums(words, lambda: _word_pairs, {"a": "int", "b": "int"}).collect():
+        pairs[a, b] = n
+    # Each word begins behind one blank.
+    return Grammar(automata, _background(pairs * min(1.0, WORDS / max(pairs[32].sum(), 1.0))))
+
+
+def _likelihoods(counts: dict[int, dict[int, int]], routes: list[dict[int, int]]) -> list:
+    """What ``Automaton.compact`` gives, from the numbers of steps and ends (character -1) of all values by state."""
+    out = []
+    for at, steps in enumerate(routes):
+        used = counts.get(at, {})
+        total = sum(used.values()) + 1.0
+        known = {c: (steps.get(c, 0), math.log2(max(used.get(c, 0), 0.5) / total)) for c in sorted({*steps, *used} - {-1})}
+        out.append((math.log2((used.get(-1, 0) + 0.5) / total), known))
+    return out
 
 
 def _points(text: bytes, places: list[int]) -> list[int]:

@@ -5,6 +5,8 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
+
 from keyloom.llm import secrets as sec
 
 ASSIGN = re.compile(r"""(?:%s)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""" % "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_key", "apikey")))
@@ -252,3 +254,44 @@ def test_many_spans_take_time_in_proportion():
         took.append(time.process_time() - start)
         assert len(base) == 5_000 * times
     assert took[1] < 25 * took[0] + 1
+
+
+def _corpus(spark, n=1500):
+    """More values of a label than a sample of 400 would hold, few of them of a second format, and their texts."""
+    rng = random.Random(11)
+    draw = lambda chars, k: "".join(rng.choices(chars, k=k))
+    keys = [draw("GHJKLMNP", 16) if i % 20 else "ghp_" + draw("qrstuvwxyz", 30) for i in range(n)]
+    words = [draw("etaoinshrdlu", 13) for _ in range(900)]
+    texts = [f"token={k} {words[i % 900]} {draw('0123456789abcdef', 20)}" for i, k in enumerate(keys)]
+    return spark.createDataFrame(list(enumerate([*texts, *texts[:50]])), "doc_id long, text string"), keys, texts, words
+
+
+def test_grammar_is_that_of_all_values(spark):
+    docs, keys, texts, words = _corpus(spark)
+    found = {"assign": sorted({k.encode() for k in keys}), "hex": sorted({t.rsplit(" ", 1)[1].encode() for t in texts})}
+    assert len(found["assign"]) == 1500
+    got, want = sec.learn(docs, tree=1 << 20), sec.infer(found, Counter(w.encode() for w in words))
+    assert set(got.automata) == {"assign", "hex"}
+    for label, (states, least) in want.automata.items():
+        mine, threshold = got.automata[label]
+        assert len(mine) == len(states) and math.isclose(threshold, least, abs_tol=1e-6)
+        for w in found[label]:
+            assert math.isclose(sec.likelihood(mine, w), sec.likelihood(states, w), abs_tol=1e-9)
+    # The background has the pairs of all 900 words, at the weight of 400.
+    scale = np.zeros((256, 256))
+    for w in words:
+        np.add.at(scale, sec._pairs_of(w.encode()), 400 / 900)
+    assert np.allclose(got.background, sec._background(scale))
+
+
+def test_bounded_trees_count_all_values(spark):
+    docs, keys, _, _ = _corpus(spark)
+    grammar = sec.learn(docs, tree=50)
+    states, least = grammar.automata["assign"]
+    own = [sec.likelihood(states, k.encode()) for k in keys]
+    assert math.isclose(sum(own) / len(own) - sec.SLACK, least, abs_tol=1e-6)
+    # Every step of every value is known, and steps and ends of all values are counted: they sum to 1 but for smoothing.
+    assert min(own) > sec.UNSEEN
+    for end, steps in states:
+        assert 0.5 < 2**end + sum(2**p for _, p in steps.values()) < 1.5
+    assert grammar.spans(b"bare PNMLKJHGGHJKLMNP here")[1] == [("format", 5, 21)]
