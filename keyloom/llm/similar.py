@@ -1,17 +1,18 @@
 """SimHash near-duplicates at a similarity of 0.8: every pair at that exact Jaccard similarity of five-word shingles is found.
 
-At 0.8 two 64-bit fingerprints differ in some 10 bits, give or take 3. Shards by blocks of bits cannot be complete for
-that, and a BK-tree cannot prune: distances of unrelated fingerprints are 32 give or take 4, so a walk within so many bits
-follows nearly every edge. Here shards come from the shingles themselves: with all shingles in one order, two texts at 0.8
-or above share at least one among the first fifth (and one more) of each text's shingles. The order puts frequent shingles
-last, by counts in a table of fixed size; any order is complete, this one makes few candidates.
+First come the candidates of SimHash: BK-trees over shards link the fingerprints of five-word shingles within two bits. At
+0.8 fingerprints differ in some 10 bits, though, give or take 3. Shards by blocks of bits cannot be complete for that, and a
+BK-tree cannot prune: distances of unrelated fingerprints are 32 give or take 4, so a walk within so many bits follows nearly
+every edge. The exact check that completes them has shards by the shingles themselves: with all shingles in one order, two
+texts at 0.8 or above share at least one among the first fifth (and one more) of each text's shingles. The order puts frequent
+shingles last, by counts in a table of fixed size; any order is complete, this one makes few candidates.
 
 Two members of a shard are a candidate if their numbers of shingles allow 0.8, if behind the shard's shingle each has as many
 left as they must share (the first shingle that a similar pair shares meets that), and if, for longer texts, their
 fingerprints lie within ``RADIUS`` bits, five standard deviations beyond what 0.8 gives. Candidates are verified by the exact
 similarity of their texts. Texts with the same set of shingles are one node with one fingerprint.
 
-Verification takes two steps. First all members of a shard are held against its hub, the one with the fewest rarer shingles:
+Verification takes two steps. First come the candidates of the trees, and all members of a shard are held against its hub, the one with the fewest rarer shingles:
 in a family of edited copies that is the one without edits of its own. Then members of a shard that are not in one component
 yet are held against each other; so the components are those of all similar pairs, though not all pairs within a family are
 looked at. A task holds a block of a shard and of the members before it only those that can be the shorter side of a pair.
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 
 from .common import byte_words, checkpoint, share, slices, stored, whole_rows
 from .components import components
+from .simhash import links as tree_links
 from .simhash import majority
 
 SHINGLE = 5
@@ -255,6 +257,20 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpoint(both.mapInArrow(_verify, "u long, v long, same boolean"))
 
 
+def near(reps: DataFrame) -> DataFrame:
+    """(u, v): candidates among ``reps(node, bits, n)`` by BK-trees over their fingerprints.
+
+    Nodes of one fingerprint are held against the first of them, fingerprints along a spanning forest of the trees' links; sizes
+    must allow the similarity.
+    """
+    heads = checkpoint(reps.groupBy("bits").agg(F.min(F.struct("node", "n")).alias("head")).select("bits", F.col("head.node").alias("head"), F.col("head.n").alias("m")))
+    same = reps.join(heads, "bits").where("node <> head").select("node", "n", "head", "m")
+    forest = tree_links(heads.select("bits")).join(heads.select(F.col("bits").alias("u"), F.col("head").alias("node"), F.col("m").alias("n")), "u")
+    both = same.unionByName(forest.join(heads.withColumnRenamed("bits", "v"), "v").select("node", "n", "head", "m"))
+    sized = both.where(F.least("n", "m") * LEAST[1] >= F.greatest("n", "m") * LEAST[0])
+    return sized.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v"))
+
+
 def groups(texts: DataFrame) -> DataFrame:
     """(key, id, root) of ``texts(key, id, text)``: rows of one root are joined by pairs of similar texts."""
     longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
@@ -271,7 +287,7 @@ def groups(texts: DataFrame) -> DataFrame:
     met = checkpoint(shared.join(reps.select("node", "n", "bits"), "node"))
 
     hubs = met.select("h", "p", "node", "n", "bits").repartition("h").sortWithinPartitions("h", "p", "node").mapInArrow(_to_hub, "u long, v long")
-    tested = verified(checkpoint(hubs.distinct()), reps.select("node", "key"), texts)
+    tested = verified(checkpoint(hubs.unionByName(near(reps)).distinct()), reps.select("node", "key"), texts)
     links = tested.where("same").select("u", "v")
 
     rooted = met.join(components(links).withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node"))

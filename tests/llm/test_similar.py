@@ -138,6 +138,28 @@ def test_all_similar_pairs_are_joined(spark):
     assert sorted(r.doc_id for r in got.collect()) == plain_kept(rows)
 
 
+def test_trees_give_candidates_of_the_stage(spark, monkeypatch):
+    """Fingerprints within two bits are linked by BK-trees, and what they give is verified with the other candidates."""
+    rng, rows = random.Random(8), []
+    for i in range(60):
+        bits = rng.getrandbits(63)
+        rows += [(10 * i + j, bits ^ (1 << rng.randrange(63)) * (j == 2), 100 + 30 * (j == 3)) for j in range(4)]
+    got = {(r.u, r.v) for r in similar.near(spark.createDataFrame(rows, "node long, bits long, n int")).collect()}
+    by = {r[0]: r for r in rows}
+    assert all(u < v and (by[u][1] ^ by[v][1]).bit_count() <= 2 and by[u][2] == by[v][2] for u, v in got)
+    assert {(10 * i, 10 * i + 1) for i in range(60)} <= got and {10 * i + 2 for i in range(60)} <= {x for pair in got for x in pair}
+
+    given, verified, made = [], similar.verified, similar.near
+    monkeypatch.setattr(similar, "near", lambda reps: given.append(made(reps).collect()) or made(reps))
+    tested = []
+    monkeypatch.setattr(similar, "verified", lambda pairs, *rest: tested.append(pairs.collect()) or verified(pairs, *rest))
+    long = [f"v{i}" for i in range(3000)]
+    texts = [(1, " ".join(long)), (2, " ".join([*long, "last"])), (3, "a text of its own")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.duplicate_stage(spark, docs, "").collect()) == plain_kept(texts) == [1, 3]
+    assert given[0] and set(given[0]) <= set(tested[0])
+
+
 def test_stage_finds_edited_copies_beyond_two_bits(spark):
     words = [f"w{i}" for i in range(200)]
     edited = list(words)
