@@ -108,6 +108,14 @@ def one_thread() -> bool:
     return done
 
 
+def give_back() -> None:
+    """Let glibc return freed memory to the system, and from now on large arrays at once; workers live on beside other tasks."""
+    library = ctypes.CDLL(None)
+    if hasattr(library, "mallopt") and hasattr(library, "malloc_trim"):
+        library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        library.malloc_trim(0)
+
+
 def whole_rows() -> Column:
     """The row as one struct, whatever the names of its columns."""
     return F.struct(F.col("*")).alias("__doc")
