@@ -23,12 +23,13 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import byte_words, crc_mod, documents, one_thread, share, slices, stored, struct, text_udf
+from .common import byte_words as byte_words  # tests hold tokens() against it
+from .common import SLICE_BYTES, crc_mod, documents, give_back, one_thread, share, slices, stored, struct, text_udf
 
 #: Tokens whose counts are broadcast, words of their own, words in a class, classes of endings (a quarter of them by hash).
 TOP, OWN, MEMBERS, ENDINGS = 300_000, 2_048, 64, 24
@@ -53,14 +55,13 @@ SEED = 5
 SLOTS = 8
 #: No word can be this, so its hash stands for the end of a text.
 END = b"\n"
-#: Distinct words that a task remembers at once.
+#: Distinct words whose counts a task holds at once.
 REMEMBERED = 400_000
 #: Bytes of text that are read side by side.
 SIDE_BY_SIDE = 16 << 20
 
 
-def token_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+token_hash = xxhash.xxh64_intdigest
 
 
 def ending(word: bytes) -> int:
@@ -68,32 +69,60 @@ def ending(word: bytes) -> int:
     return word[-1] << 8 | (word[-2] if len(word) > 1 else 0)
 
 
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(the tokens of all texts end to end as numbers of words, where each text's tokens end, the words).
+
+    Words are those of byte_words; a word may be there that no token is. Arrow's functions for ASCII leave other bytes as
+    they are and do not ask whether they are valid.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string())))
+    found = split.values.dictionary_encode()
+    numbers, distinct = found.indices.to_numpy(), found.dictionary.view(pa.large_binary())
+    # One long string is cut into words faster than Arrow hands them out singly.
+    words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.scalar(b"\n", pa.large_binary()))[0].as_py().split(b"\n")
+    # Blanks at an end of a text leave an empty word there.
+    real = numbers != (words.index(b"") if b"" in words else -1)
+    ends = np.append(0, np.cumsum(real))[split.offsets.to_numpy()[1:]] + np.arange(1, len(texts) + 1)
+    whole = np.full(ends[-1], len(words), np.int32)
+    inside = np.ones(len(whole), bool)
+    inside[ends - 1] = False
+    whole[inside] = numbers[real]
+    return whole, ends, [*words, END]
+
+
+def return_memory() -> None:
+    """Let Arrow and the C library return what they hold but do not use; workers live on beside other tasks."""
+    pa.default_memory_pool().release_unused()
+    give_back()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """texts -> partial counts (h, e, n), in parts of bounded size."""
-    seen: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        words = list(seen)
-        out = pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.fromiter(map(token_hash, words), np.uint64, len(words)).view(np.int64)),
-                pa.array(np.fromiter(map(ending, words), np.int32, len(words))),
-                pa.array(np.fromiter(seen.values(), np.int64, len(words))),
-            ],
-            names=["h", "e", "n"],
-        )
-        seen.clear()
-        return out
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def merged() -> tuple[np.ndarray, ...]:
+        h, e, n = (np.concatenate(column) for column in zip(*held, strict=True))
+        h, first, at = np.unique(h, return_index=True, return_inverse=True)
+        total = np.zeros(len(h), np.int64)
+        np.add.at(total, at, n)
+        return h, e[first], total
+
+    def batch(h: np.ndarray, e: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(e), pa.array(n)], names=["h", "e", "n"])
 
     for b in batches:
         for texts in slices(b.column(0)):
-            for t in texts:
-                seen.update(byte_words(t))
-            seen[END] += len(texts)
-            if len(seen) > REMEMBERED:
-                yield flush()
-    if seen:
-        yield flush()
+            numbers, _, words = tokens(texts)
+            n = np.bincount(numbers, minlength=len(words))
+            words = list(compress(words, n > 0))
+            held.append((np.fromiter(map(token_hash, words), np.uint64, len(words)), np.fromiter(map(ending, words), np.int32, len(words)), n[n > 0]))
+            if sum(len(h) for h, _, _ in held) > 1.5 * REMEMBERED:
+                held = [merged()]
+                if len(held[0][0]) > REMEMBERED:
+                    yield batch(*held.pop())
+        return_memory()
+    if held:
+        yield batch(*merged())
 
 
 @dataclass
@@ -165,44 +194,63 @@ def vocabulary(counts: DataFrame, top: int = TOP, own: int = OWN, members: int =
     return Vocabulary(tokens, distinct, h.view(np.uint64)[sort], c[sort], symbols[sort], groups.astype(np.int32), sizes, table.reshape(-1, members)), last
 
 
-class Words(dict):
-    """Numbers for the words a task has met, with their hashes, symbols and top counts in arrays."""
+class Words:
+    """The words of a block of texts by number: their hashes, symbols and top counts."""
 
     def __init__(self, vocab: Vocabulary) -> None:
-        super().__init__()
         self.vocab = vocab
-        self.new: list[bytes] = []
         self.hash = np.zeros(0, np.uint64)
         self.symbol = np.zeros(0, np.int32)
         self.count = np.zeros(0, np.int64)  # -1: not a top token
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
+    def __len__(self) -> int:
+        return len(self.hash)
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all texts end to end as numbers of words, and where each text's end; the words are looked up.
 
-    def settle(self) -> None:
-        """Look up the words that are new."""
-        if not self.new:
-            return
-        v = self.vocab
-        h = np.fromiter(map(token_hash, self.new), np.uint64, len(self.new))
-        rest = v.places + len(v.sizes) // 2 + v.groups[np.fromiter(map(ending, self.new), np.int64, len(self.new))]
-        at, known = v.find(h)
-        symbol, count = (np.where(known, v.symbols[at], rest), np.where(known, v.counts[at], -1)) if len(v.hashes) else (rest, np.full(len(h), -1))
-        self.hash, self.symbol, self.count = np.append(self.hash, h), np.append(self.symbol, symbol.astype(np.int32)), np.append(self.count, count)
-        self.new = []
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; exp() may overflow to infinity, which gives 0."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+        Texts are taken apart some megabytes at a time; a word that comes in several of these parts has a number in each.
+        """
+        v, found, n_words, n_tokens = self.vocab, [], 0, 0
+        parts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // SLICE_BYTES, prepend=0)).tolist()
+        for lo, hi in pairwise(sorted({0, *parts, len(texts)})):
+            numbers, ends, words = tokens(texts[lo:hi])
+            h = np.fromiter(map(token_hash, words), np.uint64, len(words))
+            at, known = v.find(h)
+            symbol, count = np.zeros(len(words), np.int32), np.full(len(words), -1)
+            symbol[known], count[known] = v.symbols[at[known]], v.counts[at[known]]
+            rest = [ending(w) if w else 0 for w in compress(words, ~known)]
+            symbol[~known] = v.places + len(v.sizes) // 2 + v.groups[np.array(rest, np.int64)]
+            found.append((numbers + np.int32(n_words), ends + n_tokens, h, symbol, count))
+            n_words, n_tokens = n_words + len(words), n_tokens + len(numbers)
+        numbers, ends, self.hash, self.symbol, self.count = (np.concatenate(column) for column in zip(*found, strict=True))
+        return_memory()
+        return numbers, ends
+
+
+def _by_gate(rows: np.ndarray) -> np.ndarray:
+    """Rows of 3 hidden as (3, rows, hidden), so that each gate's numbers lie side by side; those of r and z halved for ``_advance``."""
+    planes = np.ascontiguousarray(rows.reshape(len(rows), 3, -1).transpose(1, 0, 2))
+    planes[:2] *= 0.5
+    return planes
+
+
+def _advance(a: np.ndarray, h: np.ndarray, rec: np.ndarray, part: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The state after h, into ``after``; inputs by gate ``a`` become r, z and the candidate, ``part`` what h gives by gate."""
+    gates, r, z, n = a[:2], *a
+    np.matmul(h, rec, out=part)
+    gates += part[:2]
+    # A sigmoid is half of tanh at half its place, plus a half.
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    np.multiply(r, part[2], out=after)
+    n += after
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=after)
+    after *= z
+    after += n
+    return after
 
 
 class Buffers(dict):
@@ -259,34 +307,30 @@ class Unit:
         ends = np.cumsum([p.size for p in self.parts])[:-1]
         return Unit(*(v.reshape(p.shape).astype(np.float32) for v, p in zip(np.split(vector, ends), self.parts, strict=True)))
 
-    def step(self, a: np.ndarray, h: np.ndarray, out: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
-        """The state after h for inputs ``a``, rows of ``inp``; into ``out``, (gates, candidate, its recurrent part, state), if given."""
-        k, lanes = h.shape[1], len(h)
-        gates, n, gn, after = out or (np.empty((lanes, w), h.dtype) for w in (2 * k, k, k, k))
-        g = np.matmul(h, self.rec, out=self.buffers.get("g", (lanes, 3 * k), h.dtype))
-        np.add(a[:, : 2 * k], g[:, : 2 * k], out=gates)
-        _sigmoid(gates)
-        gn[:] = g[:, 2 * k :]
-        np.multiply(gates[:, :k], gn, out=n)
-        n += a[:, 2 * k :]
-        np.tanh(n, out=n)
-        np.subtract(h, n, out=after)
-        after *= gates[:, k:]
-        after += n
-        return after
+    def step(self, a: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The state after h for inputs ``a``, rows of ``inp``."""
+        return _advance(_by_gate(a), h, _by_gate(self.rec), np.empty((3, *h.shape), h.dtype), np.empty_like(h))
 
     def classes(self, symbols: np.ndarray) -> np.ndarray:
         places, (n, members) = self.inner_bias.size, self.inner_bias.shape
         return np.where(symbols < places, symbols // members, symbols - places + n)
 
-    def by_class(self, symbols: np.ndarray):
-        """(class, places of its words among the symbols) for each class of words that occurs."""
+    def _within(self, states: np.ndarray, symbols: np.ndarray):
+        """For words of their own, class by class: their places among the symbols, members, states with a 1 behind them, logits
+        (member, word), and (class, words, its weights with the biases behind them) of each class that occurs."""
+        members, k = self.inner_bias.shape[1], states.shape[1]
         own = np.flatnonzero((symbols >= 0) & (symbols < self.inner_bias.size))
-        cls = symbols[own] // self.inner_bias.shape[1]
-        order = np.argsort(cls, kind="stable")
-        own, ends = own[order], np.cumsum(np.bincount(cls, minlength=len(self.inner)))
-        for c in np.flatnonzero(np.diff(ends, prepend=0)):
-            yield c, own[ends[c - 1] if c else 0 : ends[c]]
+        cls = (symbols[own] // members).astype(np.min_scalar_type(len(self.inner)))
+        own, ends = own[np.argsort(cls, kind="stable")], np.cumsum(np.bincount(cls, minlength=len(self.inner))).tolist()
+        s = self.buffers.get("own", (len(own), k + 1), states.dtype)
+        s[:, :k] = np.take(states, own, axis=0, out=self.buffers.get("rows", (len(own), k), states.dtype), mode="clip")
+        s[:, k] = 1
+        logits = self.buffers.get("q", (members, len(own)), states.dtype)
+        weights = np.concatenate([self.inner, self.inner_bias[:, :, None]], axis=2)
+        spans = [(c, slice(lo, hi), weights[c]) for c, (lo, hi) in enumerate(zip([0, *ends], ends)) if lo < hi]  # noqa: B905
+        for _, at, w in spans:
+            np.matmul(w, s[at].T, out=logits[:, at])
+        return own, symbols[own] % members, s, logits, spans
 
     def learn(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, rate: float = RATE) -> tuple[np.ndarray, float]:
         """One window (steps, lanes): forward from h, back through the window, one Adam step; the state after it and the loss."""
@@ -296,126 +340,138 @@ class Unit:
         self.steps += 1
         scale = rate * math.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
         (rows, g), *dense = grads
-        np.clip(g, -0.25, 0.25, out=g)
-        m, v = self.moments[0]
         # Of the input vectors only those that the window has read move.
-        m[rows] = m_rows = 0.9 * m[rows] + 0.1 * g
-        v[rows] = v_rows = 0.999 * v[rows] + 0.001 * (g * g)
-        self.inp[rows] -= scale * m_rows / (np.sqrt(v_rows) + 1e-8)
+        p, m, v = (np.take(w, rows, axis=0) for w in (self.inp, *self.moments[0]))
+        self._move(p, g, m, v, scale)
+        self.inp[rows], self.moments[0][0][rows], self.moments[0][1][rows] = p, m, v
         for p, g, (m, v) in zip(self.parts[1:], dense, self.moments[1:], strict=True):
-            np.clip(g, -0.25, 0.25, out=g)
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= scale * m / (np.sqrt(v) + 1e-8)
+            self._move(p, g, m, v, scale)
         # Bounded output weights keep exp() of the logits finite.
         np.clip(self.out, -3, 3, out=self.out)
         np.clip(self.inner, -3, 3, out=self.inner)
         return h, loss
 
+    def _move(self, p: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, scale: float) -> None:
+        """One Adam step of p along g, all in place."""
+        some = self.buffers.get("some", p.shape, p.dtype)
+        np.clip(g, -0.25, 0.25, out=g)
+        np.subtract(g, m, out=some)
+        some *= 0.1
+        m += some
+        g *= g
+        g -= v
+        g *= 0.001
+        v += g
+        np.sqrt(v, out=some)
+        some += 1e-8
+        np.divide(m, some, out=some)
+        some *= scale
+        p -= some
+
     def gradients(self, x, y, fresh, h) -> tuple[list, float, np.ndarray]:
         """Gradients of the mean loss over a window in which y of -1 is no token; those of ``inp`` as (rows, values)."""
         k, (steps, lanes), kind = h.shape[1], x.shape, self.inp.dtype
-        room = lambda name, width: self.buffers.get(name, (steps, lanes, width), kind)
-        a, gates, n, gn, states, before = (room(name, w) for name, w in (("a", 3 * k), ("rz", 2 * k), ("cand", k), ("part", k), ("states", k), ("before", k)))
-        np.take(self.inp, x, axis=0, out=a, mode="clip")
-        going = None if not fresh.any() else (~fresh).astype(kind)[:, :, None]
+        room = lambda name, *planes: self.buffers.get(name, (*planes, steps, lanes, k), kind)
+        # Few and reused arrays, as a window is to stay near the core.
+        a, states, before, held, part = room("a", 3), room("states"), room("before"), room("held"), np.empty((3, lanes, k), kind)
+        np.take(_by_gate(self.inp), x, axis=1, out=a, mode="clip")
+        rec, some = _by_gate(self.rec), fresh.any(axis=1).tolist()
         for t in range(steps):
-            if going is None:
-                before[t] = h
-            else:
-                np.multiply(h, going[t], out=before[t])
-            h = self.step(a[t], before[t], (gates[t], n[t], gn[t], states[t]))
+            before[t] = h
+            if some[t]:
+                before[t, fresh[t]] = 0
+            h = _advance(a[:, t], before[t], rec, part, states[t])
+            held[t] = part[2]
         h = h.copy()
         flat, every = y.ravel(), states.reshape(-1, k)
         total = max(int((flat >= 0).sum()), 1)
         d_states, loss, outer = self._outputs(every, flat, total)
         d_states = d_states.reshape(steps, lanes, k)
-        da, dg = room("da", 3 * k), room("dg", 3 * k)
-        back, d, dn = (self.buffers.get(name, (lanes, k), kind) for name in ("back", "d", "dn"))
-        back[:] = 0
-        rec = np.ascontiguousarray(self.rec.T)
+        # What reaches the inputs of r and z and the recurrent part of the candidate is what reaches the state, times these.
+        (r, z, n), dg = a, room("dg", 3)
+        np.subtract(1, z, out=dg[0])
+        np.subtract(before, n, out=dg[1])
+        dg[1] *= z
+        dg[1] *= dg[0]
+        n *= n
+        own = np.subtract(1, n, out=n)
+        own *= dg[0]
+        np.multiply(own, r, out=dg[2])
+        np.subtract(1, r, out=dg[0])
+        dg[0] *= dg[2]
+        dg[0] *= held
+        back = np.zeros((lanes, k), kind)
+        turned = np.ascontiguousarray(self.rec.reshape(k, 3, k).transpose(1, 2, 0))
         for t in range(steps - 1, -1, -1):
-            r, z = gates[t, :, :k], gates[t, :, k:]
-            np.add(d_states[t], back, out=d)
-            # d times z goes on to the state before; the rest to the candidate.
-            np.multiply(d, z, out=back)
-            d -= back
-            np.multiply(n[t], n[t], out=dn)
-            np.subtract(1, dn, out=dn)
-            dn *= d
-            da[t, :, 2 * k :] = dn
-            np.multiply(dn, r, out=dg[t, :, 2 * k :])
-            np.subtract(before[t], n[t], out=d)
-            d *= back
-            np.subtract(1, z, out=da[t, :, k : 2 * k])
-            da[t, :, k : 2 * k] *= d
-            np.subtract(1, r, out=da[t, :, :k])
-            dn *= r
-            dn *= gn[t]
-            da[t, :, :k] *= dn
-            dg[t, :, : 2 * k] = da[t, :, : 2 * k]
-            back += np.matmul(dg[t], rec, out=d)
-            if going is not None:
-                back *= going[t]
-        order = np.argsort(x, axis=None, kind="stable")
-        ordered = x.ravel()[order]
+            d, now = d_states[t], dg[:, t]
+            d += back
+            now *= d
+            np.multiply(d, z[t], out=back)
+            for plane in np.matmul(now, turned, out=part):
+                back += plane
+            if some[t]:
+                back[fresh[t]] = 0
+        d_rec = np.matmul(before.reshape(-1, k).T, dg.reshape(3, -1, k))
+        own *= d_states
+        order = np.argsort(x.ravel().astype(np.min_scalar_type(len(self.inp))), kind="stable")
+        ordered, by_symbol = x.ravel()[order], self.buffers.get("by_symbol", (x.size, 3, k), kind)
         starts = np.flatnonzero(np.diff(ordered, prepend=-1))
-        sorted_ = np.take(da.reshape(-1, 3 * k), order, axis=0, out=a.reshape(-1, 3 * k), mode="clip")
-        d_inp = np.add.reduceat(sorted_, starts, axis=0)
-        d_rec = before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
-        return [(ordered[starts], d_inp), d_rec, *outer], loss / total, h
+        for i, plane in enumerate((dg[0], dg[1], own)):
+            by_symbol[:, i] = np.take(plane.reshape(-1, k), order, axis=0, out=held.reshape(-1, k), mode="clip")
+        rows, d_inp = ordered[starts], np.add.reduceat(by_symbol.reshape(-1, 3 * k), starts, axis=0)
+        return [(rows, d_inp), d_rec.transpose(1, 0, 2).reshape(k, 3 * k), *outer], loss / total, h
 
     def _outputs(self, states: np.ndarray, symbols: np.ndarray, total: int) -> tuple[np.ndarray, float, list[np.ndarray]]:
         """(gradients of the states, summed loss, gradients of out, bias, inner, inner_bias) over symbols, -1 being none."""
-        cls, kind, loss = self.classes(symbols), states.dtype, 0.0
+        cls, kind, k, loss = self.classes(symbols), states.dtype, states.shape[1], 0.0
         d_states = self.buffers.get("d_states", states.shape, kind)
-        d_out, d_bias, ones = np.zeros_like(self.out), np.zeros_like(self.bias), np.ones(max(self.out.shape[1], self.inner_bias.shape[1]), kind)
+        d_out, d_bias = np.zeros((len(self.bias), k), kind), np.zeros_like(self.bias)
         turned = np.ascontiguousarray(self.out.T)
+        # Probabilities stand by (class, place), so that what belongs to a place is spread along rows.
         for lo in range(0, len(symbols), PART):
             s, y, c = states[lo : lo + PART], symbols[lo : lo + PART], cls[lo : lo + PART]
-            p = np.matmul(s, self.out, out=self.buffers.get("p", (len(s), self.out.shape[1]), kind))
-            p += self.bias
+            p = np.matmul(turned, s.T, out=self.buffers.get("p", (len(turned), len(s)), kind))
+            p += self.bias[:, None]
             np.exp(p, out=p)
-            p *= 1 / (p @ ones[: p.shape[1]])[:, None]
+            p *= 1 / (np.ones(len(p), kind) @ p)
             real = y >= 0
             at = np.flatnonzero(real)
-            loss -= float(np.log(np.maximum(p[at, c[at]], 1e-30)).sum())
-            p[at, c[at]] -= 1
-            p *= 1 / total if len(at) == len(y) else (real / total).astype(kind)[:, None]
-            d_out += s.T @ p
-            d_bias += np.ones(len(s), kind) @ p
-            np.matmul(p, turned, out=d_states[lo : lo + PART])
-        d_inner, d_inner_bias = np.zeros_like(self.inner), np.zeros_like(self.inner_bias)
-        for c, at in self.by_class(symbols):
-            s, member, w = states[at], (np.arange(len(at)), symbols[at] % self.inner_bias.shape[1]), self.inner[c]
-            q = np.matmul(s, w.T, out=self.buffers.get("q", (len(s), len(w)), kind))
-            q += self.inner_bias[c]
-            np.exp(q, out=q)
-            q *= 1 / (q @ ones[: len(w)])[:, None]
-            loss -= float(np.log(np.maximum(q[member], 1e-30)).sum())
-            q[member] -= 1
-            q *= 1 / total
-            np.matmul(q.T, s, out=d_inner[c])
-            d_inner_bias[c] = np.ones(len(s), kind) @ q
-            d_states[at] += q @ w
-        return d_states, loss, [d_out, d_bias, d_inner, d_inner_bias]
+            picked = p[c[at], at]
+            loss -= float(np.log(np.maximum(picked, 1e-30)).sum())
+            p[c[at], at] = picked - 1
+            p *= 1 / total if len(at) == len(y) else (real / total).astype(kind)
+            d_out += p @ s
+            d_bias += p @ np.ones(len(s), kind)
+            np.matmul(p.T, turned, out=d_states[lo : lo + PART])
+        d_inner = np.zeros((*self.inner_bias.shape, k + 1), kind)
+        own, member, s, q, spans = self._within(states, symbols)
+        np.exp(q, out=q)
+        q *= 1 / (np.ones(len(q), kind) @ q)
+        places = np.arange(len(own))
+        picked = q[member, places]
+        loss -= float(np.log(np.maximum(picked, 1e-30)).sum())
+        q[member, places] = picked - 1
+        q *= 1 / total
+        d_own = self.buffers.get("d_own", s.shape, kind)
+        for c, at, w in spans:
+            np.matmul(q[:, at], s[at], out=d_inner[c])
+            np.matmul(q[:, at].T, w, out=d_own[at])
+        d_states[own] += d_own[:, :k]
+        return d_states, loss, [d_out.T, d_bias, np.ascontiguousarray(d_inner[:, :, :k]), np.ascontiguousarray(d_inner[:, :, k])]
 
     def log_odds(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log probability of each symbol after its state."""
         got, cls, kind = np.empty(len(symbols)), self.classes(symbols), states.dtype
-        ones = np.ones(max(self.out.shape[1], self.inner_bias.shape[1]), kind)
+        turned = np.ascontiguousarray(self.out.T)
         for lo in range(0, len(symbols), PART):
             s = states[lo : lo + PART]
-            logits = np.matmul(s, self.out, out=self.buffers.get("p", (len(s), self.out.shape[1]), kind))
-            logits += self.bias
-            picked = logits[np.arange(len(s)), cls[lo : lo + PART]]
-            got[lo : lo + PART] = picked - np.log(np.exp(logits, out=logits) @ ones[: logits.shape[1]])
-        for c, at in self.by_class(symbols):
-            w = self.inner[c]
-            logits = np.matmul(states[at], w.T, out=self.buffers.get("q", (len(at), len(w)), kind))
-            logits += self.inner_bias[c]
-            picked = logits[np.arange(len(at)), symbols[at] % len(w)]
-            got[at] += picked - np.log(np.exp(logits, out=logits) @ ones[: len(w)])
+            logits = np.matmul(turned, s.T, out=self.buffers.get("p", (len(turned), len(s)), kind))
+            logits += self.bias[:, None]
+            picked = logits[cls[lo : lo + PART], np.arange(len(s))]
+            got[lo : lo + PART] = picked - np.log(np.ones(len(logits), kind) @ np.exp(logits, out=logits))
+        own, member, _, logits, _ = self._within(states, symbols)
+        picked = logits[member, np.arange(len(own))]
+        got[own] += picked - np.log(np.ones(len(logits), kind) @ np.exp(logits, out=logits))
         return got
 
     def score(self, texts: list[np.ndarray], lanes: int = SCORE_LANES) -> np.ndarray:
@@ -439,22 +495,24 @@ class Unit:
         for lane, queue in enumerate(queues):
             y[: ends[lane], lane] = np.concatenate([texts[i] for i in queue])
             fresh[np.append(0, np.cumsum(lengths[queue])[:-1]), lane] = True
-        some, logs = fresh.any(axis=1), np.zeros(y.shape)
-        h, start = np.zeros((lanes, self.rec.shape[0]), np.float32), len(self.inp) - 1
+        x = np.vstack([y[:1], y[:-1]])
+        x[fresh] = len(self.inp) - 1
+        some, logs = fresh.any(axis=1).tolist(), np.zeros(y.shape)
+        inp, rec, k = _by_gate(self.inp), _by_gate(self.rec), self.rec.shape[0]
+        h = np.zeros((lanes, k), np.float32)
         t = 0
         while t < ends[0]:
             live = int(np.searchsorted(-ends, -t, side="left"))
             stop = min(int(ends[live - 1]), t + max(1, BLOCK // live))
-            states = self.buffers.get("states", (stop - t, live, h.shape[1]), h.dtype)
-            a, gates, n, gn = (self.buffers.get(name, (live, w * h.shape[1]), h.dtype) for name, w in (("a", 3), ("rz", 2), ("cand", 1), ("part", 1)))
+            states = self.buffers.get("states", (stop - t, live, k), h.dtype)
+            a, part = (self.buffers.get(name, (3, live, k), h.dtype) for name in ("a", "part"))
             h = h[:live]
             for u in range(t, stop):
-                x = np.where(fresh[u, :live], start, y[u - 1, :live]) if some[u] else y[u - 1, :live]
                 if some[u]:
                     h = h * ~fresh[u, :live, None]
-                np.take(self.inp, x, axis=0, out=a, mode="clip")
-                h = self.step(a, h, (gates, n, gn, states[u - t]))
-            logs[t:stop, :live] = self.log_odds(states.reshape(-1, h.shape[1]), y[t:stop, :live].ravel()).reshape(-1, live)
+                np.take(inp, x[u, :live], axis=1, out=a, mode="clip")
+                h = _advance(a, h, rec, part, states[u - t])
+            logs[t:stop, :live] = self.log_odds(states.reshape(-1, k), y[t:stop, :live].ravel()).reshape(-1, live)
             h, t = h.copy(), stop
         result = np.zeros(len(texts))
         for lane, queue in enumerate(queues):
@@ -479,9 +537,8 @@ def _streams(texts: list[np.ndarray], start: int, lanes: int) -> tuple[np.ndarra
 
 
 def _symbol_texts(texts: list[bytes], words: Words) -> list[np.ndarray]:
-    numbers = [words.numbers([*byte_words(t), END]) for t in texts]
-    words.settle()
-    return [words.symbol[n] for n in numbers]
+    numbers, ends = words.read(texts)
+    return np.split(words.symbol[numbers], ends[:-1])
 
 
 def _train_task(shared):
@@ -496,8 +553,6 @@ def _train_task(shared):
                 for t in range(0, len(x), WINDOW):
                     h, _ = unit.learn(x[t : t + WINDOW], y[t : t + WINDOW], fresh[t : t + WINDOW], h, rate)
                 n += int((y >= 0).sum())
-                if len(words) > REMEMBERED:
-                    words = Words(vocab)
         if n:
             slot = TaskContext.get().partitionId() % SLOTS
             yield pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([n]), pa.array([unit.vector().tobytes()], pa.binary())], names=["slot", "n", "v"])
@@ -538,27 +593,29 @@ def parts_udf(shared):
     def make():
         one_thread()
         vocab, unit = shared()
-        state = {"words": Words(vocab)}
+        words = Words(vocab)
         log_sizes = np.append(np.zeros(vocab.places), np.log10(np.maximum(vocab.sizes, 1)))
 
         def kernel(texts: list[bytes]) -> list:
-            words = state["words"]
-            numbers = [words.numbers([*byte_words(t), END]) for t in texts]
-            words.settle()
-            symbol_texts = [words.symbol[n] for n in numbers]
-            unit_logs = unit.score(symbol_texts) / math.log(10)
-            out: list[list] = [[] for _ in PARTS]
+            numbers, ends = words.read(texts)
+            starts, lengths = np.append(0, ends[:-1]), np.diff(ends, prepend=0)
+            unit_logs = unit.score(np.split(words.symbol[numbers], ends[:-1])) / math.log(10)
             top_log = np.log10(np.maximum(words.count, 0) + 1.0)
             rest_log = np.where(words.symbol < vocab.places, 0.0, top_log) - log_sizes[words.symbol]
-            far_word = words.count < 0
-            for n, log in zip(numbers, unit_logs, strict=True):
-                far, times = np.unique(n[far_word[n]], return_counts=True)
-                values = (len(n), len(n) - int(times.sum()), float(top_log[n].sum()), float(rest_log[n].sum()), float(log), words.hash[far].view(np.int64), times.astype(np.int32))
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            if len(words) > REMEMBERED:
-                state["words"] = Words(vocab)
-            return out
+            far = np.flatnonzero((words.count < 0)[numbers])
+            pairs, times = np.unique(np.searchsorted(ends, far, side="right") * len(words) + numbers[far], return_counts=True)
+            of, far_words = np.divmod(pairs, len(words))
+            n_far = np.bincount(of, times, minlength=len(texts)).astype(np.int64)
+            cuts = np.searchsorted(of, np.arange(1, len(texts)))
+            return [
+                lengths,
+                lengths - n_far,
+                np.add.reduceat(top_log[numbers], starts),
+                np.add.reduceat(rest_log[numbers], starts),
+                unit_logs,
+                np.split(words.hash[far_words].view(np.int64), cuts),
+                np.split(times.astype(np.int32), cuts),
+            ]
 
         return kernel
 

@@ -195,3 +195,44 @@ def test_products_use_one_thread():
     code = "import time, numpy as np; from keyloom.llm.common import one_thread; one_thread(); a = np.ones((400, 400)); w, c = time.perf_counter(), time.process_time(); [a @ a for _ in range(300)]; print((time.process_time() - c) / (time.perf_counter() - w))"
     out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"OMP_NUM_THREADS": "4"}, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))), capture_output=True, text=True, timeout=60)
     assert float(out.stdout) < 1.5, out.stderr
+
+
+ODD = [b"", b"  ", b" a  b ", b"A\tA\r\nb\x00c \x0b\x0c", b"x\x1cZ \xff\xfeQ \xc3\x84\xc3\xa4\x85 \xc2\xa0 ", b"\n", b"a"]
+
+
+def test_tokens_are_those_of_a_plain_split(monkeypatch):
+    rng = np.random.default_rng(6)
+    drawn = [bytes(rng.choice(list(b" \n\x0b\x1cAbZ\xff\xa0\x85"), rng.integers(12)).tolist()) for _ in range(300)]
+    vocab = lm.Vocabulary(0, 0, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int32), np.arange(1 << 16), np.zeros(2), np.zeros((0, 64)))
+    for size in (1, 5, 1 << 20):
+        monkeypatch.setattr(lm, "SLICE_BYTES", size)
+        for texts in (ODD, [b""], drawn, ODD[2:3]):
+            plain = [[*lm.byte_words(t), lm.END] for t in texts]
+            numbers, ends, words = lm.tokens(texts)
+            assert [[words[i] for i in n] for n in np.split(numbers, ends[:-1])] == plain
+            read = lm.Words(vocab)
+            numbers, ends = read.read(texts)
+            assert [read.hash[n].tolist() for n in np.split(numbers, ends[:-1])] == [[lm.token_hash(w) for w in p] for p in plain]
+            assert read.symbol[numbers].tolist() == [1 + lm.ending(w) for p in plain for w in p]
+
+
+@pytest.mark.parametrize("remembered", [1, 3, lm.REMEMBERED])
+def test_counts_in_parts_add_up_and_no_text_is_split_in_python(monkeypatch, remembered):
+    plain = Counter(w for t in ODD * 3 for w in [*lm.byte_words(t), lm.END])
+    monkeypatch.setattr(lm, "REMEMBERED", remembered)
+    monkeypatch.setattr(lm, "byte_words", None)
+    got = Counter()
+    for part in lm._count(iter([lm.pa.RecordBatch.from_arrays([lm.pa.array(ODD, lm.pa.binary())], names=["text"])] * 3)):
+        for h, e, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            got[h & (1 << 64) - 1, e] += n
+    assert got == {(lm.token_hash(w), lm.ending(w)): n for w, n in plain.items()}
+
+
+def test_classes_of_words_share_one_exponential(monkeypatch):
+    unit, calls, exp = small(classes=20, hidden=5), [], np.exp
+    y = np.random.default_rng(7).integers(0, 62, (8, 16))
+    monkeypatch.setattr(lm.np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+    unit.learn(y, y, np.zeros(y.shape, bool), np.zeros((16, 5), np.float32))
+    assert len(calls) == 2
+    unit.log_odds(np.zeros((128, 5), np.float32), y.ravel())
+    assert len(calls) == 4
