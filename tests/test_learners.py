@@ -5,7 +5,10 @@ import math
 import random
 import sqlite3
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from keyloom import __main__ as cli
 from keyloom.operators import enrichment, folds, models, sampling, trees, tuning
 from keyloom.operators import features as feat
 from keyloom.operators import layout
-from keyloom.plans import modelling
+from keyloom.plans import ORACLES, QUERIES, modelling
 from keyloom.sources import drawings, tables
 
 CATEGORICAL = """tree
@@ -236,6 +239,60 @@ def test_blocks_do_not_matter(spark, monkeypatch):
     assert rows() == whole
 
 
+ODD = [
+    ("en", "The cat's hat, the EYE of the yonder queue! don't 'tis rock''n'roll x1y; (the) [cat]\tthe\ncat a.b-c"),
+    ("en", "İstanbul KELVIN \u212aelvin İİ istanbul i\u0307s kelvin"),
+    ("en", "aaa bbbb aa"),
+    ("de", "Zoë grüßt naïve Ωmega \U0001f600\U0001f600 漢字漢字 ÿþÿ die Öl"),
+    (None, "no language, the cat"),
+    ("dots", "., !"),
+    ("one", "z"),
+    ("rare", "q\u4e00"),
+    ("empty", ""),
+    ("null", None),
+]
+
+
+def _odd_documents(tmp_path, times=7):
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(r for n, r in itertools.product(range(times), ODD) if r[0] != "rare" or n < 2)]
+    columns = list(zip(*rows, strict=True))
+    pq.write_table(pa.table({"doc_id": pa.array(columns[0], pa.int64()), "text": pa.array(columns[1], pa.string()), "lang": pa.array(columns[2], pa.string())}), tmp_path / "documents.parquet")
+    return str(tmp_path)
+
+
+def _close(a, b):
+    return a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 1.5e-4
+
+
+def test_sums_of_odd_texts_are_those_of_sql_without_a_row_for_each_character(spark, tmp_path, monkeypatch):
+    def no_rows(*_, **__):
+        raise AssertionError("a row for each character")
+
+    monkeypatch.setattr(enrichment, "_rows", no_rows)
+    folder = _odd_documents(tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    cursor = con.execute(ORACLES["enrich_linguistic"])
+    names = [c[0] for c in cursor.description]
+    want = {r[0]: dict(zip(names, r, strict=True)) for r in cursor.fetchall()}
+    for held, block in ((enrichment.HELD, enrichment.BLOCK), (1, 5)):
+        monkeypatch.setattr(enrichment, "HELD", held)
+        monkeypatch.setattr(enrichment, "BLOCK", block)
+        got = {r.lang: r.asDict() for r in QUERIES["enrich_linguistic"](spark, folder).collect()}
+        assert got.keys() == want.keys()
+        for lang, row in want.items():
+            assert all(_close(got[lang][c], v) for c, v in row.items()), (lang, [(c, got[lang][c], v) for c, v in row.items() if not _close(got[lang][c], v)])
+
+
+def test_sums_are_those_of_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{_odd_documents(tmp_path)}/documents.parquet").where("NOT text LIKE '%\u0130%'")
+    unigrams, bigrams, words = enrichment.frequency_tables(enrichment.counts(docs, "text"))
+    rows = enrichment.linguistic_rows(docs, "text", "lang", unigrams=unigrams, bigrams=bigrams, vocabulary=words.withColumnRenamed("gram", "word"))
+    want = {r.lang: r.asDict() for r in rows.groupBy("lang").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in enrichment.LINGUISTIC)).collect()}
+    got = {r.lang: r.asDict() for r in enrichment.linguistic_sums(docs, "text", "lang").collect()}
+    assert got.keys() == want.keys() and all(_close(got[lang][c], v) for lang, row in want.items() for c, v in row.items())
+
+
 def test_layout_rows_are_those_of_joins(spark):
     df = spark.createDataFrame(TEXTS, "id int, text string")
     dims = layout.dimensions(spark)
